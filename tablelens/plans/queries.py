@@ -550,8 +550,12 @@ def roundtrip_whole_text(spark, sf):
     return whole.agg(F.sum(F.size(F.split("text", "\n")) - 1).alias("lines"), F.sum(words.en_words(F.col("text"))).alias("en_words"))
 
 
-def file_listing(spark, sf):
-    return formats.list_files(spark, sf).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "format").where(F.col("format") != "text")
+def format_detection(spark, sf):
+    """Formats by ending; every tenth page gets the same one."""
+    endings = ["csv", "TSV", "json", "ndjson", "JSONL", "ipc", "arrow", "parquet", "xlsx", "md"]
+    ending = F.element_at(F.array(*[F.lit(e) for e in endings]), (F.col("page_id") % 10 + 1).cast("int"))
+    p = table(spark, sf, "pages")
+    return p.select("page_id", formats.detected_format(F.concat(F.lit("/data/p."), "page_id", F.lit("."), ending)).alias("format"))
 
 
 # --- streams -------------------------------------------------------------
@@ -619,7 +623,7 @@ QUERIES: list[Query] = [
     clean_replies,
     roundtrip_csv, roundtrip_tsv, roundtrip_forced_csv, roundtrip_headerless, roundtrip_ragged,
     roundtrip_json, roundtrip_parquet, roundtrip_ipc, roundtrip_xlsx, roundtrip_lines,
-    roundtrip_whole_text, file_listing,
+    roundtrip_whole_text, format_detection,
     stream_profile, stream_window_profile, stream_words, stream_top_values, stream_first_rows,
 ]
 
