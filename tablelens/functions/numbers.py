@@ -43,7 +43,11 @@ def parse_any(c: Column) -> Column:
         .when(c.startswith("-"), F.lit(float("-inf")))
         .otherwise(F.lit(float("inf")))
     )
-    return F.when(c.rlike(NUMBER), c.try_cast("double")).when(c.rlike(SPECIAL), special)
+    start = F.left(c, F.lit(1))
+    return (
+        F.when(start <= "9", F.when(c.rlike(NUMBER), c.try_cast("double")).when(c.rlike(SPECIAL), special))
+        .when(F.lower(start).isin("i", "n"), F.when(c.rlike(SPECIAL), special))
+    )
 
 
 def render_double(c: Column) -> Column:

@@ -187,58 +187,73 @@ def _number_modes(counts: DataFrame) -> DataFrame:
 
 
 def exact_medians(counts: DataFrame, bounds: DataFrame) -> DataFrame:
-    """(idx, median) from value counts (idx, v, n) and per-column bounds (idx, min, max).
+    """(idx, median) from value counts (idx, v, n) and per-column bounds (idx, min, max, valid).
 
-    Values fall into ranges that never overlap: by magnitude (64 steps per power of two)
-    and, within that, by linear position between min and max (4096 steps). Both are
-    monotone, so the pair orders like the value. Counting the ranges tells which one or
-    two hold the middle ranks; only their values are ranked one by one.
+    Two rounds count values by range and keep the one or two ranges that hold the middle
+    ranks; what is left is ranked value by value. Ranges are cut by magnitude (64 steps
+    per power of two) and by linear position (4096 steps). Both are monotone in the value,
+    so the pair orders like it, and a column would need more than 10^12 different values
+    before a range holds more than a task can sort in memory.
     """
-    low, high = F.col("min"), F.col("max")
     # Unusable values weigh nothing instead of being filtered out: a filter would be pushed
     # below the counting and keep Spark from reusing its shuffle for mode and median.
-    v = F.coalesce(finite_or_null(F.col("v")), low)
-    weight = F.when(finite_or_null(F.col("v")).isNotNull(), F.col("n")).otherwise(F.lit(0).cast("bigint"))
-    magnitude = F.signum(v) * F.floor((F.log2(F.abs(v)) + 1100) * 64)
-    # Halved before subtracting, so that the width of [-1.7e308, 1.7e308] stays finite.
-    share = (v / 2 - low / 2) / (high / 2 - low / 2)
-    placed = counts.join(F.broadcast(bounds), "idx").select(  # one row per column
+    # For the same reason `v` is never null: null checks would be pushed down as well.
+    weighed = counts.select(
         "idx",
-        v.alias("v"),
-        weight.alias("n"),
-        F.when(v == 0, F.lit(0).cast("double")).otherwise(magnitude).alias("r1"),
-        F.when(high > low, F.floor(share * 4096)).otherwise(F.lit(0).cast("bigint")).alias("r2"),
+        F.coalesce(finite_or_null(F.col("v")), F.lit(0.0)).alias("v"),
+        F.when(finite_or_null(F.col("v")).isNotNull(), F.col("n")).otherwise(F.lit(0).cast("bigint")).alias("n"),
     )
-    ranges = placed.groupBy("idx", "r1", "r2").agg(F.sum("n").alias("n"))
-    upto = Window.partitionBy("idx").orderBy("r1", "r2")
-    whole = Window.partitionBy("idx")
-    # 1-based ranks of the two middle values; equal when the count is odd.
-    total = F.sum("n").over(whole)
-    middle = (
-        ranges.select(
-            "idx",
-            "r1",
-            "r2",
-            "n",
-            (F.sum("n").over(upto) - F.col("n")).alias("before"),
-            F.floor((total + 1) / 2).alias("lower"),
-            F.floor(total / 2 + 1).alias("upper"),
-        )
-        .where(
-            F.col("lower").between(F.col("before") + 1, F.col("before") + F.col("n"))
-            | F.col("upper").between(F.col("before") + 1, F.col("before") + F.col("n"))
-        )
-        .drop("n")
+    whole = bounds.select(
+        "idx",
+        F.col("min").alias("low"),
+        F.col("max").alias("high"),
+        F.lit(0).cast("bigint").alias("before"),
+        F.floor((F.col("valid") + 1) / 2).alias("lower"),
+        F.floor(F.col("valid") / 2 + 1).alias("upper"),
     )
-    in_order = Window.partitionBy("idx", "r1", "r2").orderBy("v")
+    ranges = _narrow(weighed, _narrow(weighed, whole))
+    inside = weighed.join(F.broadcast(ranges), "idx").where(F.col("v").between(F.col("low"), F.col("high")))
+    in_order = Window.partitionBy("idx", "low").orderBy("v")
     last = F.col("before") + F.sum("n").over(in_order)
-    first = last - F.col("n") + 1
-    ranked = placed.join(F.broadcast(middle), ["idx", "r1", "r2"]).select(  # two rows per column
-        "idx", "v", "lower", "upper", first.alias("first"), last.alias("last")
+    ranked = inside.select(
+        "idx", "v", "lower", "upper", (last - F.col("n") + 1).alias("first"), last.alias("last")
     )
     at_lower = F.when(F.col("lower").between(F.col("first"), F.col("last")), F.col("v"))
     at_upper = F.when(F.col("upper").between(F.col("first"), F.col("last")), F.col("v"))
-    return ranked.groupBy("idx").agg(((F.max(at_lower) + F.max(at_upper)) / 2).alias("median"))
+    # Halved before adding, so that two huge values do not overflow.
+    return ranked.groupBy("idx").agg((F.max(at_lower) / 2 + F.max(at_upper) / 2).alias("median"))
+
+
+def _narrow(weighed: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Cut ranges (idx, low, high, before, lower, upper) and keep the pieces with a middle rank.
+
+    `before` counts the values below a range; lower and upper are the 1-based middle
+    ranks, equal when the count is odd. There are one or two ranges per column.
+    """
+    v, low, high = F.col("v"), F.col("low"), F.col("high")
+    magnitude = F.signum(v) * F.floor((F.log2(F.abs(v)) + 1100) * 64)
+    # Halved before subtracting, so that the width of [-1.7e308, 1.7e308] stays finite.
+    share = (v / 2 - low / 2) / (high / 2 - low / 2)
+    ranks = ["idx", "before", "lower", "upper"]
+    pieces = (
+        weighed.join(F.broadcast(ranges), "idx")
+        .where(v.between(low, high))
+        .select(
+            *ranks,
+            F.when(v == 0, F.lit(0.0)).otherwise(magnitude).alias("r1"),
+            F.when(high > low, F.floor(share * 4096)).otherwise(F.lit(0).cast("bigint")).alias("r2"),
+            "v",
+            "n",
+        )
+        .groupBy(*ranks, "r1", "r2")
+        .agg(F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    )
+    upto = Window.partitionBy("idx", "before").orderBy("r1", "r2")
+    ahead = F.col("before") + F.sum("n").over(upto) - F.col("n")
+    placed = pieces.select("idx", "low", "high", "n", ahead.alias("before"), "lower", "upper")
+    first, last = F.col("before") + 1, F.col("before") + F.col("n")
+    hit = F.col("lower").between(first, last) | F.col("upper").between(first, last)
+    return placed.where(hit).drop("n")
 
 
 def _text_blocks(counts: DataFrame) -> DataFrame:
@@ -294,7 +309,8 @@ def profile(df: DataFrame, full: bool = True, columns: str | None = None, number
     numbers = [c for c in cols if c.kind == "numeric"]
     texts = [c for c in cols if c.kind == "string"]
     out = stats.select("*", label)
-    bounds = stats.where("min is not null").select("idx", "min", "max")
+    valid = F.col("zero_count") + F.col("non_zero_valid_count")
+    bounds = stats.where("min is not null").select("idx", "min", "max", valid.alias("valid"))
     medians = []
     if numbers:
         counts = _number_counts(df, numbers)
@@ -371,13 +387,23 @@ def column_modes(df: DataFrame) -> DataFrame:
 
 # --- reports over all-string records -------------------------------------
 
+REPORT_FIELDS = ("name", "type", "total", "non_empty")
+SUMMARY_FIELDS = ("name", "type", "non_empty", "mean", "min", "max", "zero_count", "en_words", "cn_chars")
+
 
-def _string_stats(c: Column) -> dict[str, Column]:
+def string_stats(df: DataFrame, names: list[str], by: list[str] | None = None) -> DataFrame:
+    """(by, name, statistics): one row per column of all-string records.
+
+    Works on streams too; `by` names grouping columns, such as a window.
+    """
+    by = by or []
+    cells = [F.struct(F.lit(n).alias("name"), quoted(n).cast("string").alias("c")) for n in names]
+    c, number = F.col("c"), F.col("v")
     filled = F.when(c != "", c)
-    number = parse_any(filled)
+    long = df.select(*[F.col(b) for b in by], F.inline(F.array(*cells))).select("*", parse_any(filled).alias("v"))
     # The reference orders by '<', which NaN fails; extremes are those of real numbers.
     ordered = F.when(~F.isnan(number), number)
-    return {
+    stats = {
         "total": F.count(c),
         "non_empty": F.count(filled),
         "parsed": F.count(number),
@@ -388,31 +414,15 @@ def _string_stats(c: Column) -> dict[str, Column]:
         "en_words": F.coalesce(F.sum(en_words(c)), F.lit(0)),
         "cn_chars": F.coalesce(F.sum(cn_chars(c)), F.lit(0)),
     }
+    return long.groupBy(*by, "name").agg(*[s.alias(k) for k, s in stats.items()])
 
 
-REPORT_FIELDS = ("name", "type", "total", "non_empty")
-SUMMARY_FIELDS = ("name", "type", "non_empty", "mean", "min", "max", "zero_count", "en_words", "cn_chars")
-
-
-def string_report_aggregates(names: list[str]) -> list[Column]:
-    """The aggregates behind both reports, one struct per column; also used on streams."""
-    return [
-        F.struct(*[s.alias(k) for k, s in _string_stats(quoted(n)).items()]).alias(f"s{i}")
-        for i, n in enumerate(names)
-    ]
-
-
-def string_report_rows(aggregated: DataFrame, names: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
-    """Turn the aggregates into one row per column; `keep` names grouping columns."""
-    rows = aggregated.select(
-        *keep,
-        F.inline(
-            F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"s{i}").alias("s")) for i, n in enumerate(names)])
-        ),
-    ).select(*keep, "name", "s.*")
+def with_string_type(rows: DataFrame) -> DataFrame:
+    """Decide empty, numeric or string per row of string_stats and blank out what does not apply."""
     numeric = (F.col("non_empty") > 0) & (F.col("parsed") / F.col("non_empty") > INFER_RATE)
-    kind = F.when(F.col("non_empty") == 0, "empty").when(numeric, "numeric").otherwise("string")
-    rows = rows.withColumn("type", kind)
+    rows = rows.withColumn(
+        "type", F.when(F.col("non_empty") == 0, "empty").when(numeric, "numeric").otherwise("string")
+    )
     for stat in ("mean", "min", "max", "zero_count"):
         rows = rows.withColumn(stat, F.when(F.col("type") == "numeric", F.col(stat)))
     for stat in ("en_words", "cn_chars"):
@@ -420,16 +430,26 @@ def string_report_rows(aggregated: DataFrame, names: list[str], keep: tuple[str,
     return rows
 
 
+def summary_type(rows: DataFrame) -> DataFrame:
+    """The summary tells numeric columns from all others only."""
+    shown = F.when(F.col("type") == "numeric", "numeric").otherwise("string")
+    return rows.withColumn("type", shown)
+
+
+def _all_columns(df: DataFrame) -> DataFrame:
+    """string_stats with every column listed, also when there are no records."""
+    known = df.sparkSession.createDataFrame([(n,) for n in df.columns], "name string")
+    found = string_stats(df, df.columns)  # one row per column
+    counts = ["total", "non_empty", "parsed", "zero_count", "en_words", "cn_chars"]
+    return known.join(F.broadcast(found), "name", "left").fillna(0, counts)
+
+
 def string_report(df: DataFrame, columns: str | None = None) -> DataFrame:
     """Type report of an all-string table: empty, numeric (more than 0.9 parse) or string."""
-    df = select_columns(df, columns)
-    rows = string_report_rows(df.agg(*string_report_aggregates(df.columns)), df.columns)
-    return rows.select(*REPORT_FIELDS)
+    return with_string_type(_all_columns(select_columns(df, columns))).select(*REPORT_FIELDS)
 
 
 def string_summary(df: DataFrame, columns: str | None = None) -> DataFrame:
     """Summary of an all-string table; word counts for columns that are not numeric."""
-    df = select_columns(df, columns)
-    rows = string_report_rows(df.agg(*string_report_aggregates(df.columns)), df.columns)
-    shown = F.when(F.col("type") == "numeric", "numeric").otherwise("string")
-    return rows.withColumn("type", shown).select(*SUMMARY_FIELDS)
+    rows = with_string_type(_all_columns(select_columns(df, columns)))
+    return summary_type(rows).select(*SUMMARY_FIELDS)

@@ -135,25 +135,26 @@ def infer_types(records: DataFrame) -> T.StructType:
     """The narrowest type that every value of a string column fits.
 
     Whole numbers, decimals and true/false are told apart; all else, dates included, stays
-    text. One aggregate; one row reaches the driver.
+    text. One aggregate; one row per column reaches the driver.
     """
-    checks = []
-    for i, name in enumerate(records.columns):
-        c = F.col(f"`{name}`")
-        whole = c.rlike(r"^[+-]?[0-9]+\z") & c.try_cast("bigint").isNotNull()
-        real = c.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z|^(?i)[+-]?(inf|nan)\z")
-        checks += [
-            F.count(c).alias(f"n{i}"),
-            F.bool_and(whole).alias(f"bigint{i}"),
-            F.bool_and(real).alias(f"double{i}"),
-            F.bool_and(c.isin("true", "false")).alias(f"boolean{i}"),
-        ]
-    found = records.agg(*checks).first()
-    fields = []
-    for i, name in enumerate(records.columns):
-        fits = [t for t in ("bigint", "double", "boolean") if found[f"n{i}"] and found[f"{t}{i}"]]
-        fields.append(T.StructField(name, T._parse_datatype_string(fits[0] if fits else "string")))
-    return T.StructType(fields)
+    cells = [
+        F.struct(F.lit(i).alias("idx"), F.col(f"`{name}`").alias("c")) for i, name in enumerate(records.columns)
+    ]
+    c = F.col("c")
+    whole = c.rlike(r"^[+-]?[0-9]+\z") & c.try_cast("bigint").isNotNull()
+    real = c.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z|^(?i)[+-]?(inf|nan)\z")
+    long = records.select(F.inline(F.array(*cells))).where(c.isNotNull())
+    fits = long.groupBy("idx").agg(
+        F.when(F.bool_and(whole), "bigint")
+        .when(F.bool_and(real), "double")
+        .when(F.bool_and(c.isin("true", "false")), "boolean")
+        .alias("type")
+    )
+    found = {r.idx: r.type for r in fits.collect()}  # one row per column
+    simple = {"bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+    return T.StructType(
+        [T.StructField(n, simple.get(found.get(i), T.StringType())) for i, n in enumerate(records.columns)]
+    )
 
 
 def read_csv(

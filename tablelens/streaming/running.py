@@ -7,11 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tablelens.functions.columns import quoted
 from tablelens.functions.words import cn_chars, en_words
-from tablelens.operators.profile import (
-    SUMMARY_FIELDS,
-    string_report_aggregates,
-    string_report_rows,
-)
+from tablelens.operators.profile import SUMMARY_FIELDS, string_stats, summary_type, with_string_type
 from tablelens.sources.formats import without_cr
 
 
@@ -33,8 +29,8 @@ def stream_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def running_summary(stream: DataFrame) -> DataFrame:
     """string_summary of all records so far; for output mode complete or update."""
-    rows = string_report_rows(stream.agg(*string_report_aggregates(stream.columns)), stream.columns)
-    return rows.select(*SUMMARY_FIELDS)
+    rows = with_string_type(string_stats(stream, stream.columns))
+    return summary_type(rows).select(*SUMMARY_FIELDS)
 
 
 def windowed_summary(stream: DataFrame, time: str, width: str, delay: str) -> DataFrame:
@@ -44,8 +40,8 @@ def windowed_summary(stream: DataFrame, time: str, width: str, delay: str) -> Da
     its end. Rows that arrive later than that are left out.
     """
     names = [c for c in stream.columns if c != time]
-    grouped = stream.withWatermark(time, delay).groupBy(F.window(time, width).alias("w"))
-    rows = string_report_rows(grouped.agg(*string_report_aggregates(names)), names, keep=("w",))
+    windowed = stream.withWatermark(time, delay).withColumn("w", F.window(time, width))
+    rows = summary_type(with_string_type(string_stats(windowed, names, by=["w"])))
     return rows.select(
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *SUMMARY_FIELDS
     )
