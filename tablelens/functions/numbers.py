@@ -51,7 +51,10 @@ def parse_any(c: Column) -> Column:
 
 
 def render_double(c: Column) -> Column:
-    """Shortest text of a double in positional notation: 20.0 -> '20', 1.0E7 -> '10000000'."""
+    """Text of a double in positional notation: 20.0 -> '20', 1.0E7 -> '10000000'.
+
+    The digits are the JVM's; before Java 19 a few doubles show one digit too many.
+    """
     s = c.cast("string")
     sign = F.regexp_extract(s, r"^(-?)", 1)
     whole = F.regexp_extract(s, r"^-?(\d+)", 1)
