@@ -294,7 +294,7 @@ def soft_lines(c: Column, width: int) -> Column:
 
     def wrapped(line: Column, i: Column) -> Column:
         trimmed = strip_space(line)
-        n = F.lit(1).cast("bigint") if width == 0 else F.size(_fold_words(trimmed, width)).cast("bigint")
+        n = F.lit(1).cast("bigint") if width == 0 else F.array_size(_fold_words(trimmed, width)).cast("bigint")
         return F.when(trimmed != "", n).otherwise(_is_later_blank(line, i))
 
     return F.when(has_odd_width(c), _over_lines(c, wrapped)).otherwise(_count(flat, pattern) + blanks)
@@ -321,4 +321,4 @@ def paragraphs(c: Column) -> Column:
 
 
 def paragraph_count(c: Column) -> Column:
-    return F.size(paragraphs(c)).cast("bigint")
+    return F.array_size(paragraphs(c)).cast("bigint")

@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tablelens.functions.columns import number_columns, quoted, select_columns
 from tablelens.functions.numbers import finite_or_null, parse_any, parse_finite, render_double
-from tablelens.functions.words import bare_word, cn_chars, en_words, not_blank, split_words
+from tablelens.functions.words import SPACE, bare_word, cn_chars, en_words, not_blank
+from tablelens.session import spread
 
 INFER_RATE = 0.9
 WORDS = "struct<en_words:bigint,cn_chars:bigint,total:bigint>"
@@ -84,11 +85,14 @@ def _cells(df: DataFrame, cols: list[_Col]) -> DataFrame:
     number = finite_or_null(F.col("d"))
     if any(c.kind == "string" for c in cols):
         number = F.coalesce(number, parse_finite(F.col("s")))
-    return df.select(F.inline(F.array(*cells))).select("*", number.alias("v"))
+    return spread(df).select(F.inline(F.array(*cells))).select("*", number.alias("v"))
 
 
-def _one_pass(df: DataFrame, cols: list[_Col], full: bool) -> DataFrame:
-    """One row per column with all statistics that merge in a single pass, and the type decision."""
+def _one_pass(df: DataFrame, cols: list[_Col], full: bool, accuracy: int | None = None) -> DataFrame:
+    """One row per column with all statistics that merge in a single pass, and the type decision.
+
+    `accuracy` adds an approximate median to them.
+    """
     v, s, none = F.col("v"), F.col("s"), F.lit(None).cast("double")
     stats = {
         "count": F.count(F.lit(1)),
@@ -104,6 +108,8 @@ def _one_pass(df: DataFrame, cols: list[_Col], full: bool) -> DataFrame:
         "skewness": F.skewness(v) if full else F.first(none),
         "kurtosis": F.kurtosis(v) if full else F.first(none),
     }
+    if accuracy:
+        stats["median"] = F.percentile_approx(v, 0.5, accuracy)
     found = _cells(df, cols).groupBy("idx").agg(*[c.alias(k) for k, c in stats.items()])
     known = df.sparkSession.createDataFrame(
         [(c.idx, c.kind, c.dtype) for c in cols], "idx int, kind string, dtype string"
@@ -146,6 +152,7 @@ def _one_pass(df: DataFrame, cols: list[_Col], full: bool) -> DataFrame:
         shape("kurtosis"),
         stat("min"),
         stat("max"),
+        *([stat("median")] if accuracy else []),
     )
 
 
@@ -164,14 +171,16 @@ def _number_counts(df: DataFrame, cols: list[_Col]) -> DataFrame:
         cells.append(
             F.struct(F.lit(c.idx).alias("idx"), whole.alias("whole"), quoted(c.name).cast("double").alias("v"))
         )
-    long = df.select(F.inline(F.array(*cells))).where(F.col("v").isNotNull())
+    mine = df.select(*[quoted(c.name) for c in cols])
+    long = spread(mine).select(F.inline(F.array(*cells))).where(F.col("v").isNotNull())
     return long.groupBy("idx", "whole", "v").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _text_counts(df: DataFrame, cols: list[_Col]) -> DataFrame:
     """(idx, s, n): how often each non-empty text occurs in each string column."""
     cells = [F.struct(F.lit(c.idx).alias("idx"), quoted(c.name).alias("s")) for c in cols]
-    long = df.select(F.inline(F.array(*cells))).where(F.col("s") != "")
+    mine = df.select(*[quoted(c.name) for c in cols])
+    long = spread(mine).select(F.inline(F.array(*cells))).where(F.col("s") != "")
     return long.groupBy("idx", "s").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -271,9 +280,14 @@ def _text_blocks(counts: DataFrame) -> DataFrame:
 
 def top_words(counts: DataFrame, by: str = "idx") -> DataFrame:
     """The most frequent bare word per `by` of weighted texts (by, s, n); smallest on ties."""
+    # Words are counted as they stand first, so only different words have to be cleaned.
+    raw = (
+        counts.select(by, F.explode(F.split("s", f"{SPACE}+")).alias("word"), "n")
+        .groupBy(by, "word")
+        .agg(F.sum("n").alias("n"))
+    )
     found = (
-        counts.select(by, F.explode(split_words(F.col("s"))).alias("word"), "n")
-        .select(by, bare_word(F.col("word")).alias("word"), "n")
+        raw.select(by, bare_word(F.col("word")).alias("word"), "n")
         .where(F.col("word") != "")
         .groupBy(by, "word")
         .agg(F.sum("n").alias("n"))
@@ -285,20 +299,27 @@ def top_words(counts: DataFrame, by: str = "idx") -> DataFrame:
 # --- profiles ------------------------------------------------------------
 
 
-def profile(df: DataFrame, full: bool = True, columns: str | None = None, numbered: bool = False) -> DataFrame:
+def profile(
+    df: DataFrame,
+    full: bool = True,
+    columns: str | None = None,
+    numbered: bool = False,
+    median_accuracy: int | None = None,
+) -> DataFrame:
     """Profile every column: one row per column, schema PROFILE_SCHEMA.
 
     `columns` is a column spec (see parse_columns), `numbered` shows positions instead of
     names. Quick profiles leave the full-only fields null. A full profile first runs the
     one-scan statistics and takes its one row per column to the driver, because which
     string columns hold numbers decides what the frequency passes have to do.
+    `median_accuracy` trades the exact median for `percentile_approx` in the one scan.
     """
     df = select_columns(df, columns)
     names = [str(i) for i in range(len(df.columns))] if numbered else df.columns
     df = _distinct_names(df)
     cols = _columns(df)
     label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("idx") + 1).alias("name")
-    stats = _one_pass(df, cols, full)
+    stats = _one_pass(df, cols, full, median_accuracy if full else None)
     if not full:
         return _as_profile(stats.select("*", label))
 
@@ -315,7 +336,8 @@ def profile(df: DataFrame, full: bool = True, columns: str | None = None, number
     if numbers:
         counts = _number_counts(df, numbers)
         out = out.join(F.broadcast(_number_modes(counts)), "idx", "left")
-        medians.append(exact_medians(counts, bounds))
+        if not median_accuracy:
+            medians.append(exact_medians(counts, bounds))
     if texts:
         counts = _text_counts(df, texts)
         out = out.join(F.broadcast(_text_blocks(counts)), "idx", "left")
@@ -325,7 +347,7 @@ def profile(df: DataFrame, full: bool = True, columns: str | None = None, number
         out = out.join(
             F.broadcast(top_words(worded).select("idx", F.col("word").alias("top_freq_word"))), "idx", "left"
         )
-        if inferred:
+        if inferred and not median_accuracy:
             # Only numeric columns have bounds, so the join in there picks the inferred ones.
             parsed = counts.select("idx", parse_finite(F.col("s")).alias("v"), "n")
             medians.append(exact_medians(parsed, bounds))

@@ -8,6 +8,7 @@ from tablelens.functions.columns import cell_text, quoted, select_columns
 from tablelens.functions.numbers import finite_or_null, parse_any
 from tablelens.functions.words import split_words, word_count
 from tablelens.operators.positions import head, with_position
+from tablelens.session import spread
 
 
 def _number(df: DataFrame, name: str) -> Column:
@@ -87,7 +88,7 @@ def row_profile(
     else:
         label = quoted(name_column)
         cells = [c for c in cells if name_in_values or c != name_column]
-    base = df.select(
+    base = spread(df).select(
         label.cast("string").alias("name"),
         F.array(*[cell_text(df, c) for c in cells]).alias("__cells"),
         F.array(*[_number(df, c) for c in cells]).alias("__parsed"),
@@ -98,7 +99,7 @@ def row_profile(
         F.when(F.col("is_numeric"), F.array_sort(F.filter("__parsed", lambda x: finite_or_null(x).isNotNull())))
         .otherwise(F.array().cast("array<double>")),
     )
-    base = base.withColumn("__n", F.nullif(F.size("__nums"), F.lit(0)))
+    base = base.withColumn("__n", F.nullif(F.array_size("__nums"), F.lit(0)))
     nums, n = F.col("__nums"), F.col("__n")
     base = base.withColumn("mean", _sum(nums) / n)
     base = base.withColumn("variance", _power_mean(2)).withColumn("std_dev", F.sqrt("variance"))
@@ -110,7 +111,7 @@ def row_profile(
         "name",
         F.when(F.col("is_numeric"), "numeric").otherwise("str").alias("dtype"),
         "is_numeric",
-        F.size("__cells").cast("bigint").alias("count"),
+        F.array_size("__cells").cast("bigint").alias("count"),
         "mean",
         F.when(n.isNotNull(), (F.get(nums, low - 1) + F.get(nums, high - 1)) / 2).alias("median"),
         "std_dev",
@@ -119,8 +120,8 @@ def row_profile(
         F.when(var > 0, _power_mean(4) / (var * var) - 3.0).otherwise(flat).alias("kurtosis"),
         F.array_min(nums).alias("min"),
         F.array_max(nums).alias("max"),
-        F.coalesce(F.size(F.filter(nums, lambda x: x == 0.0)).cast("bigint"), zero).alias("zero_count"),
-        F.coalesce(F.size(F.filter(nums, lambda x: x != 0.0)).cast("bigint"), zero).alias("non_zero_valid_count"),
+        F.coalesce(F.array_size(F.filter(nums, lambda x: x == 0.0)).cast("bigint"), zero).alias("zero_count"),
+        F.coalesce(F.array_size(F.filter(nums, lambda x: x != 0.0)).cast("bigint"), zero).alias("non_zero_valid_count"),
         word_count(F.array_join("__cells", " ")).alias("word_count"),
         _top_content(F.col("__cells")).alias("top_freq_content"),
     )
@@ -131,7 +132,7 @@ def row_fields(df: DataFrame, n: int = 20, order_by: list[str] | None = None) ->
     first = head(df, n, order_by)
     words = F.lit(0)
     for c in df.columns:
-        words = words + F.coalesce(F.size(split_words(quoted(c).cast("string"))), F.lit(0))
+        words = words + F.coalesce(F.array_size(split_words(quoted(c).cast("string"))), F.lit(0))
     return with_rank(first, order_by).select(
         "Row", F.lit(len(df.columns)).cast("bigint").alias("fields"), words.cast("bigint").alias("words")
     )

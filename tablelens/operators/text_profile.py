@@ -15,6 +15,7 @@ from tablelens.functions.words import (
     soft_lines,
     wrap_lines,
 )
+from tablelens.session import spread
 
 DEFAULT_WIDTH = 80
 # Lines per chunk when a text is profiled from its lines.
@@ -24,7 +25,7 @@ CHUNK = 100_000
 def text_profile(docs: DataFrame, keys: list[str], text: str = "text", width: int = DEFAULT_WIDTH) -> DataFrame:
     """Words, soft lines and paragraphs of every text; one narrow pass."""
     t = quoted(text)
-    measured = docs.select(
+    measured = spread(docs.select(*keys, t)).select(
         *keys,
         en_words(t).alias("en_words"),
         cn_chars(t).alias("cn_chars"),
@@ -36,7 +37,7 @@ def text_profile(docs: DataFrame, keys: list[str], text: str = "text", width: in
 
 def text_summary(docs: DataFrame, keys: list[str], text: str = "text", width: int = DEFAULT_WIDTH) -> DataFrame:
     """text_profile plus the counts with ASCII punctuation taken out first."""
-    bare = docs.select("*", clean_punct(quoted(text)).alias("__bare"))
+    bare = spread(docs.select(*keys, quoted(text))).select("*", clean_punct(quoted(text)).alias("__bare"))
     t, b = quoted(text), F.col("__bare")
     return bare.select(
         *keys,
@@ -51,14 +52,16 @@ def text_summary(docs: DataFrame, keys: list[str], text: str = "text", width: in
 
 def split_paragraphs(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(keys, paragraph_no, paragraph): the non-blank paragraphs, numbered from 1."""
-    return docs.select(*keys, F.posexplode(paragraphs(quoted(text))).alias("i", "paragraph")).select(
+    mine = spread(docs.select(*keys, quoted(text)))
+    return mine.select(*keys, F.posexplode(paragraphs(quoted(text))).alias("i", "paragraph")).select(
         *keys, (F.col("i") + 1).cast("bigint").alias("paragraph_no"), "paragraph"
     )
 
 
 def wrapped(docs: DataFrame, keys: list[str], text: str = "line", width: int = DEFAULT_WIDTH) -> DataFrame:
     """(keys, part, line): every logical line as its soft-wrapped lines."""
-    return docs.select(*keys, F.posexplode(wrap_lines(quoted(text), width)).alias("part", "line")).select(
+    mine = spread(docs.select(*keys, quoted(text)))
+    return mine.select(*keys, F.posexplode(wrap_lines(quoted(text), width)).alias("part", "line")).select(
         *keys, F.col("part").cast("bigint").alias("part"), "line"
     )
 
@@ -76,7 +79,7 @@ def text_profile_of_lines(
     line = F.col("line")
     at = F.col("line_no")
     kind = F.when(line == "", "empty").when(not_blank(line), "full").otherwise("blank")
-    rows = lines.select(
+    rows = spread(lines.select(key, "line_no", "line")).select(
         F.col(key),
         at,
         F.floor(at / chunk).alias("chunk"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tablelens.functions import columns as cols, numbers, words
 from tablelens.operators import positions, profile as prof, prompts, row_profile as rowprof, text_profile as texts
 from tablelens.plans import fixtures
-from tablelens.session import scratch_dir
+from tablelens.session import scratch_dir, spread
 from tablelens.sources import formats
 from tablelens.streaming import running
 
@@ -96,7 +96,7 @@ def inferred_numeric(spark, sf):
 
 
 def top_word_by_lang(spark, sf):
-    d = table(spark, sf, "documents").select("lang", F.col("text").alias("s"), F.lit(1).cast("bigint").alias("n"))
+    d = spread(table(spark, sf, "documents").select("lang", F.col("text").alias("s"))).withColumn("n", F.lit(1).cast("bigint"))
     return prof.top_words(d, "lang")
 
 
@@ -299,7 +299,7 @@ def line_counts(spark, sf):
 
 def word_counts(spark, sf):
     t = F.col("text")
-    return table(spark, sf, "documents").select("doc_id", words.en_words(t).alias("en_words"), words.cn_chars(t).alias("cn_chars"), words.total_words(t).alias("total"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", words.en_words(t).alias("en_words"), words.cn_chars(t).alias("cn_chars"), words.total_words(t).alias("total"))
 
 
 def word_counts_nopunct(spark, sf):
@@ -331,7 +331,7 @@ def paragraph_table(spark, sf):
 
 
 def soft_lines(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", words.soft_lines(F.col("text"), WIDTH).alias("soft_lines"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", words.soft_lines(F.col("text"), WIDTH).alias("soft_lines"))
 
 
 def wrapped_lines(spark, sf):
@@ -506,7 +506,7 @@ def roundtrip_ragged(spark, sf):
     p.select(line.alias("value")).write.text(f)
     r = formats.read_ragged(spark, f, header=False)
     return r.select(
-        F.col("fields")[0].cast("bigint").alias("p_partkey"), F.col("fields")[1].alias("name"), F.size("fields").cast("bigint").alias("n")
+        F.col("fields")[0].cast("bigint").alias("p_partkey"), F.col("fields")[1].alias("name"), F.array_size("fields").cast("bigint").alias("n")
     )
 
 
@@ -547,7 +547,7 @@ def roundtrip_whole_text(spark, sf):
     f = _folder(spark, "whole")
     table(spark, sf, "benchmark").select("text").write.text(f)
     whole = formats.read_text(spark, f)
-    return whole.agg(F.sum(F.size(F.split("text", "\n")) - 1).alias("lines"), F.sum(words.en_words(F.col("text"))).alias("en_words"))
+    return whole.agg(F.sum(F.array_size(F.split("text", "\n")) - 1).alias("lines"), F.sum(words.en_words(F.col("text"))).alias("en_words"))
 
 
 def format_detection(spark, sf):

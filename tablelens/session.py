@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+# Input per core below which a table is spread before heavy per-row work.
+SPREAD_BYTES = 128 * 1024 * 1024
 # Above this many rows a lookup table is left for Spark to join as it sees fit.
 BROADCAST_ROWS = 200_000
 
@@ -28,3 +30,16 @@ def scratch_base(spark: SparkSession) -> str:
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh path for one run's files below the shared folder."""
     return f"{scratch_base(spark)}/tablelens/{label}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small input out to all cores; leave a large one where it is.
+
+    A file with one row group is one task, however long its rows take. Below one split
+    size per core, moving the rows costs less than leaving cores idle, and the bound keeps
+    that shuffle small. Tables beyond it have more splits than cores and are not moved.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()  # an estimate, no job
+    return df.repartition(cores) if int(str(size)) < cores * SPREAD_BYTES else df

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablelens.functions.columns import quoted
 from tablelens.functions.numbers import percent_to_fraction, render_double
-from tablelens.session import scratch_dir
+from tablelens.session import BROADCAST_ROWS, scratch_dir
 
 CELLS = "file string, sheet string, r int, c int, r1 int, c1 int, cell_type string, value string"
 BATCH = 50_000
@@ -195,10 +195,12 @@ def cells_to_table(cells: DataFrame) -> DataFrame:
     corner = cells.groupBy(*where).agg(
         F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1")
     )
-    width = corner.agg(F.max(F.col("c1") - F.col("c0") + 1)).first()[0] or 0
-    if width == 0:
+    width, sheets = corner.agg(F.max(F.col("c1") - F.col("c0") + 1), F.count(F.lit(1))).first()
+    if not sheets:
         raise ValueError("the sheet is empty")
-    placed = cells.join(corner, where).select(
+    # One row per sheet; sent to all tasks while that is small, so a large sheet stays spread.
+    sizes = F.broadcast(corner) if sheets <= BROADCAST_ROWS else corner
+    placed = cells.join(sizes, where).select(
         *where, "r", "r0", (F.col("c") - F.col("c0")).alias("c"), "cell_type", "value"
     )
     top = placed.where(F.col("r") == F.col("r0"))

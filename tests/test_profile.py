@@ -194,3 +194,9 @@ def test_string_report(spark):
 
 def test_shape(spark):
     assert P.shape(spark.range(7)).first() == (7, 1)
+
+
+def test_approximate_median(spark):
+    df = spark.range(0, 10001).select(F.col("id").cast("double").alias("v"), F.col("id").cast("string").alias("s"))
+    got = by_name(P.profile(df, median_accuracy=1000))
+    assert abs(got["v"].median - 5000) <= 20 and abs(got["s"].median - 5000) <= 20 and got["s"].is_inferred
