@@ -198,7 +198,7 @@ def wrap_lines(c: Column, width: int) -> Column:
         F.regexp_extract_all(flat, F.lit(_greedy(width)), F.lit(0)), lambda line: F.rtrim(line)
     )
     lines = F.when(has_odd_width(flat), _fold_words(c, width)).otherwise(narrow)
-    # The reference measures the indent in bytes, which for blanks and tabs is characters.
+    # The indent is measured in bytes, which for blanks and tabs is characters.
     indent = F.octet_length(c) - F.octet_length(strip_leading(c))
     return F.when(indent == 0, lines).otherwise(
         F.transform(lines, lambda line: F.concat(F.repeat(F.lit(" "), indent), line))

@@ -7,6 +7,7 @@ rows as they stand in the file; this needs a frame that comes straight from a fi
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_right
 from dataclasses import dataclass
 from itertools import accumulate
@@ -26,8 +27,8 @@ from tablelens.sources.formats import block_bound
 # Up to this many rows, "first n" is a top-n per task; beyond it, a position range.
 TOP_N = 100_000
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 4096
-KEYS_PER_BUCKET = 40
+MAX_BUCKETS = 16_384
+KEYS_PER_BUCKET = 20
 
 
 # --- row specs -----------------------------------------------------------
@@ -113,8 +114,10 @@ def _sort_key(df: DataFrame, name: str) -> Column:
     t = df.schema[name].dataType
     if isinstance(t, T.TimestampType):
         return F.unix_micros(quoted(name))
-    if isinstance(t, T.TimestampNTZType):
-        return F.unix_micros(quoted(name).cast("timestamp"))
+    if isinstance(t, T.TimestampNTZType):  # by the calendar, as a time zone may repeat an hour
+        c = quoted(name)
+        seconds = F.unix_date(c.cast("date")).cast("bigint") * 86_400 + F.hour(c) * 3600 + F.minute(c) * 60
+        return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
     return quoted(name)
 
 
@@ -134,26 +137,44 @@ class _Buckets:
     def bucket_of(self, position: int) -> int:
         return min(bisect_right(self.starts, position), len(self.starts) - 1) - 1
 
-    def positioned(self, first: int, last: int, name: str, among: list[int] | None = None) -> DataFrame:
-        """Rows of buckets first..last with their positions; other buckets are not shuffled."""
-        df = self.df
-        bucket = _bucket(df, self.order_by, self.splits)
+    def size(self, first: int, last: int) -> int:
+        return self.starts[last + 1] - self.starts[first]
+
+    def largest(self, first: int, last: int) -> int:
+        return max(self.size(b, b) for b in range(first, last + 1))
+
+    def keep(self, first: int, last: int) -> DataFrame:
+        """Rows of buckets first..last.
+
+        The bounds of the whole key cut exactly; those of the leading column are plain
+        comparisons that reach the file scan as well.
+        """
+        df, rows, splits = self.df, self.df, self.splits
         lead = self.order_by[0]
-        # The leading key's bounds are plain comparisons, which reach the file scan.
-        if first > 0 and _comparable(df, lead, self.splits[first - 1][0]):
-            df = df.where(quoted(lead) >= F.lit(self.splits[first - 1][0]))
-        if last < len(self.splits) and _comparable(df, lead, self.splits[last][0]):
-            bound = quoted(lead) <= F.lit(self.splits[last][0])
-            df = df.where(bound if first > 0 else bound | quoted(lead).isNull())
-        rows = df.withColumn("__bucket", bucket)
+        key = _key(df, self.order_by)
+        if first > 0:
+            low = splits[first - 1]
+            if _comparable(df, lead, low[0]):
+                rows = rows.where(quoted(lead) >= F.lit(low[0]))
+            rows = rows.where(key >= F.get(_split_table(df, self.order_by, [low]), F.lit(0)))
+        if last < len(splits):
+            high = splits[last]
+            if _comparable(df, lead, high[0]):
+                bound = quoted(lead) <= F.lit(high[0])
+                rows = rows.where(bound if first > 0 else bound | quoted(lead).isNull())
+            rows = rows.where(key < F.get(_split_table(df, self.order_by, [high]), F.lit(0)))
+        return rows
+
+    def positioned(self, first: int, last: int, name: str, among: list[int] | None = None) -> DataFrame:
+        """Rows of buckets first..last, or those `among` them, with positions; no others are shuffled."""
+        rows = self.keep(first, last).withColumn("__bucket", _bucket(self.df, self.order_by, self.splits[first:last]))
         if among is not None:
-            rows = rows.where(F.col("__bucket").isin(among))
-        elif first > 0 or last < len(self.splits):
-            rows = rows.where(F.col("__bucket").between(first, last))
-        ahead = F.element_at(F.array(*[F.lit(n).cast("bigint") for n in self.starts]), F.col("__bucket") + 1)
+            rows = rows.where(F.col("__bucket").isin([b - first for b in among]))
+        starts = F.from_json(F.lit(json.dumps(self.starts[first : last + 1])), "array<bigint>", {"mode": "FAILFAST"})
+        ahead = F.get(starts, F.col("__bucket"))
         ordered = Window.partitionBy("__bucket").orderBy(*[quoted(k) for k in self.order_by])
         position = ahead + F.row_number().over(ordered) - 1
-        return rows.select(position.alias(name), *[quoted(c) for c in df.columns])
+        return rows.select(position.alias(name), *[quoted(c) for c in self.df.columns])
 
 
 def _comparable(df: DataFrame, name: str, value) -> bool:
@@ -162,6 +183,17 @@ def _comparable(df: DataFrame, name: str, value) -> bool:
     return value is not None and isinstance(df.schema[name].dataType, plain)
 
 
+def _key(df: DataFrame, order_by: list[str]) -> Column:
+    return F.struct(*[_sort_key(df, k).alias(f"k{i}") for i, k in enumerate(order_by)])
+
+
+def _split_table(df: DataFrame, order_by: list[str], splits: list[tuple]) -> Column:
+    """Split keys as one array literal; thousands of single literals would take long to send over."""
+    key_type = df.select(_key(df, order_by).alias("k")).schema["k"].dataType
+    rows = [dict(zip(key_type.names, split)) for split in splits]
+    return F.from_json(F.lit(json.dumps(rows, default=str)), T.ArrayType(key_type), {"mode": "FAILFAST"})
+
+
 def _bucket(df: DataFrame, order_by: list[str], splits: list[tuple]) -> Column:
     """Which bucket a row belongs to: the number of splits at or below its key.
 
@@ -169,14 +201,7 @@ def _bucket(df: DataFrame, order_by: list[str], splits: list[tuple]) -> Column:
     """
     if not splits:
         return F.lit(0)
-    keys = [_sort_key(df, k) for k in order_by]
-    types = [df.select(k.alias("k")).schema["k"].dataType for k in keys]
-
-    def as_struct(values: list[Column]) -> Column:
-        return F.struct(*[v.cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(values, types))])
-
-    table = F.array(*[as_struct([F.lit(v) for v in split]) for split in splits])
-    key = as_struct(keys)
+    key, table = _key(df, order_by), _split_table(df, order_by, splits)
     n = len(splits)
     steps = [1 << i for i in reversed(range(n.bit_length()))]
 
@@ -288,9 +313,16 @@ def rows_between(
     cut = _cut(df, order_by, rows_per_bucket)
     if start >= cut.total:
         raise ValueError(f"start row {start} is out of range, there are {cut.total} rows")
-    end = min(end, cut.total - 1)
-    rows = cut.positioned(cut.bucket_of(start), cut.bucket_of(end), name)
-    return rows.where(F.col(name).between(start, end))
+    end, ahead = min(end, cut.total - 1), 0
+    first, last = cut.bucket_of(start), cut.bucket_of(end)
+    # Buckets of a huge table are large; a range in few of them is worth cutting again.
+    while cut.largest(first, last) > 2 * rows_per_bucket and cut.size(first, last) <= cut.total // 2:
+        skipped = cut.starts[first]
+        cut = _cut(cut.keep(first, last), order_by, rows_per_bucket)
+        start, end, ahead = start - skipped, end - skipped, ahead + skipped
+        first, last = cut.bucket_of(start), cut.bucket_of(end)
+    rows = cut.positioned(first, last, name).where(F.col(name).between(start, end))
+    return rows.withColumn(name, F.col(name) + ahead) if ahead else rows
 
 
 def rows_at(

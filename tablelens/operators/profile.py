@@ -423,7 +423,7 @@ def string_stats(df: DataFrame, names: list[str], by: list[str] | None = None) -
     c, number = F.col("c"), F.col("v")
     filled = F.when(c != "", c)
     long = df.select(*[F.col(b) for b in by], F.inline(F.array(*cells))).select("*", parse_any(filled).alias("v"))
-    # The reference orders by '<', which NaN fails; extremes are those of real numbers.
+    # Extremes are those of real numbers; Spark would take NaN for the largest.
     ordered = F.when(~F.isnan(number), number)
     stats = {
         "total": F.count(c),

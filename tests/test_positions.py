@@ -89,6 +89,14 @@ def test_ranges_by_time(spark, sf):
     assert [r.event_id for r in got] == want
 
 
+def test_ranges_in_large_buckets_are_cut_again(hot, monkeypatch):
+    rows, df = hot
+    monkeypatch.setattr(R, "MAX_BUCKETS", 4)
+    want = [(i, r[1]) for i, r in enumerate(in_order(rows))][1200:1211]
+    got = R.rows_between(df, 1200, 1210, ["k", "id"], rows_per_bucket=20).collect()
+    assert sorted((r.Row, r.id) for r in got) == want
+
+
 def test_range_beyond_the_end(people):
     with pytest.raises(ValueError):
         R.rows_between(people, 5, 9, ["name"])
