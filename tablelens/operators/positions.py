@@ -21,7 +21,7 @@ from tablelens.functions.columns import (
     truncate_cells,
 )
 from tablelens.functions.words import wrap_lines
-from tablelens.session import BROADCAST_ROWS
+from tablelens.session import BROADCAST_BLOCKS, BROADCAST_ROWS
 from tablelens.sources.formats import block_bound
 
 # Up to this many rows, "first n" is a top-n per task; beyond it, a position range.
@@ -101,7 +101,7 @@ def _file_positions(df: DataFrame, name: str) -> DataFrame:
         .join(files, "__file")
         .select("__file", "__block", "__first", (F.col("__in_file") + F.col("__ahead")).alias("__before"))
     )
-    if block_bound(df) <= BROADCAST_ROWS:
+    if block_bound(df) <= BROADCAST_BLOCKS:
         starts = F.broadcast(starts)
     position = F.col("__mid") - F.col("__first") + F.col("__before")
     return rows.join(starts, ["__file", "__block"]).select(

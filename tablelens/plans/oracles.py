@@ -409,6 +409,17 @@ def statements() -> dict[str, str]:
     sql["roundtrip_headerless"] = """select cast(n_nationkey as varchar) as column_0, n_name as column_1,
         cast(n_regionkey as varchar) as column_2 from nation"""
     sql["roundtrip_ragged"] = """select p_partkey, p_name || ', "q"' as name, 2 + p_partkey % 3 as n from part"""
+    records = "(select cast(c_custkey as varchar) as c_custkey, c_name, cast(c_acctbal as varchar) as c_acctbal, c_custkey as k from customer)"
+    sql["records_head"] = f"select * exclude (k) from {records} order by k limit 7"
+    sql["records_tail"] = f"select * exclude (k) from {records} order by k desc limit 7"
+    sql["records_rows"] = f"""select "Row", c_name, c_custkey from {numbered('*', records, 'k')} where "Row" between 40 and 90"""
+    sql["numbered_file_lines"] = """select o_orderstatus as status,
+        row_number() over (partition by o_orderstatus order by o_orderkey) - 1 as line_no,
+        o_orderkey || ' ' || o_orderpriority as line from orders"""
+    sql["fill_merged_cells"] = """select p_partkey as r, 1::bigint as c, p_name as value from part
+        union all select p.p_partkey, 0, t.p_type from part p join part t on t.p_partkey = p.p_partkey // 4 * 4"""
+    sql["cell_column_types"] = """select distinct c, ['boolean', 'bigint', 'double', 'string', 'percent', 'string', 'string', 'string'][c + 1] as type
+        from (select event_id % 8 as c from events)"""
     sql["roundtrip_json"] = "select s_suppkey, s_name, cast(s_nationkey as bigint) as s_nationkey, s_acctbal from supplier"
     sql["roundtrip_parquet"] = "select * from supplier"
     sql["roundtrip_ipc"] = "select o_orderkey, o_orderstatus, o_totalprice, o_custkey from orders"

@@ -10,7 +10,7 @@ from tablelens.functions import columns as cols, numbers, words
 from tablelens.operators import positions, profile as prof, prompts, row_profile as rowprof, text_profile as texts
 from tablelens.plans import fixtures
 from tablelens.session import scratch_dir, spread
-from tablelens.sources import formats
+from tablelens.sources import formats, workbook
 from tablelens.streaming import running
 
 WIDTH = 80
@@ -497,6 +497,36 @@ def roundtrip_headerless(spark, sf):
     return formats.read_records(spark, f + "/t.csv", header=False)
 
 
+def _customer_records(spark, sf) -> DataFrame:
+    """Customers as all-string CSV records; one file per partition, in key order."""
+    f = _folder(spark, "records")
+    c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
+    c.repartitionByRange(4, "c_custkey").sortWithinPartitions("c_custkey").write.option("header", True).csv(f + "/t.csv")
+    return formats.read_records(spark, f + "/t.csv")
+
+
+def records_head(spark, sf):
+    return positions.head(_customer_records(spark, sf), 7)
+
+
+def records_tail(spark, sf):
+    return positions.tail(_customer_records(spark, sf), 7)
+
+
+def records_rows(spark, sf):
+    return positions.rows(_customer_records(spark, sf), "40:90", columns="c_name,c_custkey")
+
+
+def numbered_file_lines(spark, sf):
+    """Line numbers within each of several files of lines."""
+    f = _folder(spark, "numbered")
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.concat_ws(" ", F.col("o_orderkey").cast("string"), "o_orderpriority").alias("value"))
+    o.repartition(3, "o_orderstatus").sortWithinPartitions("o_orderkey").select("o_orderstatus", "value").write.partitionBy("o_orderstatus").text(f)
+    lines = formats.read_lines(spark, f)
+    status = F.regexp_extract("file", "o_orderstatus=([^/]+)/", 1)
+    return lines.select(status.alias("status"), "line_no", "line")
+
+
 def roundtrip_ragged(spark, sf):
     """Records whose number of fields varies with the key."""
     f = _folder(spark, "ragged")
@@ -535,6 +565,32 @@ def roundtrip_xlsx(spark, sf):
     return formats.read_table(spark, f, format="excel")
 
 
+def fill_merged_cells(spark, sf):
+    """One sheet with a row per part; the first column is merged over four rows each."""
+    p = table(spark, sf, "part").where(F.col("p_partkey").isNotNull())
+    place = [F.lit("f").alias("file"), F.lit("s").alias("sheet"), F.col("p_partkey").cast("int").alias("r")]
+    kind = F.lit("string").alias("cell_type")
+    top = p.where(F.col("p_partkey") % 4 == 0).select(*place, F.lit(0).alias("c"), kind, F.col("p_type").alias("value"))
+    names = p.select(*place, F.lit(1).alias("c"), kind, F.col("p_name").alias("value"))
+    r0 = F.col("p_partkey").cast("int")
+    regions = p.where(F.col("p_partkey") % 4 == 0).select(
+        F.lit("f").alias("file"), F.lit("s").alias("sheet"), r0.alias("r0"), F.lit(0).alias("c0"), (r0 + 3).alias("r1"), F.lit(0).alias("c1")
+    )
+    filled = workbook.fill_merged(top.unionByName(names), regions)
+    return filled.select(F.col("r").cast("bigint").alias("r"), F.col("c").cast("bigint").alias("c"), "value")
+
+
+def cell_column_types(spark, sf):
+    """Columns of cells whose types follow from the event, one kind of mix per column."""
+    e = table(spark, sf, "events")
+    column, odd = F.col("event_id") % 8, (F.col("event_id") / 8).cast("bigint") % 2 == 1
+    kinds = ["bool", "int", "int", "date", "string", "string", "error", "float"]
+    kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), (column + 1).cast("int"))
+    kind = F.when((column == 2) & odd, "float").when((column == 5) & odd, "int").when((column == 7) & odd, "bool").otherwise(kind)
+    value = F.when(column == 4, F.concat(F.regexp_extract("props", r"(\d+)", 1), F.lit("%"))).otherwise(F.lit("1"))
+    return workbook.column_types(e.select(column.alias("c"), kind.alias("cell_type"), value.alias("value")))
+
+
 def roundtrip_lines(spark, sf):
     f = _folder(spark, "text")
     d = table(spark, sf, "documents").where("text <> ''")
@@ -622,6 +678,7 @@ QUERIES: list[Query] = [
     conversation_requests, request_bodies, effort_levels, attach_files, parse_responses, parse_chunks,
     clean_replies,
     roundtrip_csv, roundtrip_tsv, roundtrip_forced_csv, roundtrip_headerless, roundtrip_ragged,
+    records_head, records_tail, records_rows, numbered_file_lines, fill_merged_cells, cell_column_types,
     roundtrip_json, roundtrip_parquet, roundtrip_ipc, roundtrip_xlsx, roundtrip_lines,
     roundtrip_whole_text, format_detection,
     stream_profile, stream_window_profile, stream_words, stream_top_values, stream_first_rows,

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 SPREAD_BYTES = 128 * 1024 * 1024
 # Above this many rows a lookup table is left for Spark to join as it sees fit.
 BROADCAST_ROWS = 200_000
+# The same for file blocks: 120 TB in splits of 128 MB, a table of about 200 MB.
+BROADCAST_BLOCKS = 1_000_000
 
 
 def scratch_base(spark: SparkSession) -> str:

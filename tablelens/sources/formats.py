@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from tablelens.session import BROADCAST_ROWS
+from tablelens.session import BROADCAST_BLOCKS
 
 # File ending -> format. Anything else is text.
 FORMATS = {
@@ -199,7 +199,7 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
         without_cr(F.col("value")).alias("line"),
     )
     starts = block_starts(rows)
-    if block_bound(df) <= BROADCAST_ROWS:
+    if block_bound(df) <= BROADCAST_BLOCKS:
         starts = F.broadcast(starts)
     return rows.join(starts, ["file", "block"]).select(
         "file", (F.col("mid") - F.col("first") + F.col("before")).alias("line_no"), "line"
