@@ -29,6 +29,8 @@ TOP_N = 100_000
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 16_384
 KEYS_PER_BUCKET = 20
+# Up to this many files are picked by name when only their rows are wanted.
+MAX_FILES = 1000
 
 
 # --- row specs -----------------------------------------------------------
@@ -72,11 +74,19 @@ def _file_order() -> list[Column]:
     ]
 
 
-def _file_positions(df: DataFrame, name: str) -> DataFrame:
+def _rows_ahead(sizes: DataFrame) -> DataFrame:
+    """(__file, __ahead, __n) from counts per file (or per block): rows in the files before."""
+    earlier = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    per_file = sizes.groupBy("__file").agg(F.sum("__n").alias("__n"))
+    return per_file.select("__file", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__ahead"), "__n")
+
+
+def _file_positions(df: DataFrame, name: str, files: DataFrame | None = None) -> DataFrame:
     """Positions in file order without moving any data.
 
     A position is the rows in earlier files and blocks plus the offset in the block. Only
-    the block sizes are summed up, one row per file block.
+    the block sizes are summed up, one row per file block. `files` holds known (__file,
+    __ahead) when `df` reads only some of the files.
     """
     rows = df.select(
         F.col("_metadata.file_path").alias("__file"),
@@ -87,18 +97,12 @@ def _file_positions(df: DataFrame, name: str) -> DataFrame:
     sizes = rows.groupBy("__file", "__block").agg(
         F.min("__mid").alias("__first"), F.count(F.lit(1)).alias("__n")
     )
-    # Running totals in two levels: within each file, then over one row per file.
     until_now = Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     in_file = F.coalesce(F.sum("__n").over(until_now), F.lit(0))
-    earlier = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
-    files = (
-        sizes.groupBy("__file")
-        .agg(F.sum("__n").alias("__n"))
-        .select("__file", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__ahead"))
-    )
+    ahead = files if files is not None else _rows_ahead(sizes)
     starts = (
         sizes.select("__file", "__block", "__first", in_file.alias("__in_file"))
-        .join(files, "__file")
+        .join(ahead.select("__file", "__ahead"), "__file")
         .select("__file", "__block", "__first", (F.col("__in_file") + F.col("__ahead")).alias("__before"))
     )
     if block_bound(df) <= BROADCAST_BLOCKS:
@@ -109,6 +113,28 @@ def _file_positions(df: DataFrame, name: str) -> DataFrame:
     )
 
 
+def _positions_of(df: DataFrame, wanted: range | list[int], name: str) -> DataFrame | None:
+    """Rows with positions from the files that hold a wanted position; None if none does.
+
+    Counting rows per file needs no columns; after that only the files that matter are
+    read, unless there are very many of them.
+    """
+    counted = df.groupBy(F.col("_metadata.file_path").alias("__file")).agg(F.count(F.lit(1)).alias("__n"))
+    start, end = F.col("__ahead"), F.col("__ahead") + F.col("__n")
+    if isinstance(wanted, range):
+        hit = (start <= wanted[-1]) & (end > wanted.start)
+    else:
+        asked = F.from_json(F.lit(json.dumps(wanted)), "array<bigint>", {"mode": "FAILFAST"})
+        hit = F.exists(asked, lambda p: (start <= p) & (end > p))
+    found = _rows_ahead(counted).where(hit).take(MAX_FILES + 1)
+    if not found:
+        return None
+    if len(found) > MAX_FILES:
+        return _file_positions(df, name)
+    files = df.sparkSession.createDataFrame(found, "__file string, __ahead bigint, __n bigint")
+    return _file_positions(df.where(F.col("_metadata.file_path").isin([f[0] for f in found])), name, files)
+
+
 def _sort_key(df: DataFrame, name: str) -> Column:
     """A key column in a form whose Python value goes back and forth unchanged."""
     t = df.schema[name].dataType
@@ -307,9 +333,10 @@ def rows_between(
 ) -> DataFrame:
     """Rows start..end (inclusive, end cut to the last row) with their position in front."""
     if order_by is None:
-        if df.count() <= start:
+        found = _positions_of(df, range(start, end + 1), name)
+        if found is None:
             raise ValueError(f"start row {start} is out of range")
-        return _file_positions(df, name).where(F.col(name).between(start, end))
+        return found.where(F.col(name).between(start, end))
     cut = _cut(df, order_by, rows_per_bucket)
     if start >= cut.total:
         raise ValueError(f"start row {start} is out of range, there are {cut.total} rows")
@@ -339,7 +366,9 @@ def rows_at(
     spark = df.sparkSession
     asked = spark.createDataFrame(list(enumerate(wanted)), f"ord bigint, {name} bigint")
     if order_by is None:
-        rows = _file_positions(df, name).where(F.col(name).between(min(wanted), max(wanted)))
+        rows = _positions_of(df, wanted, name)
+        if rows is None:
+            rows = df.select(F.lit(0).cast("bigint").alias(name), *[quoted(c) for c in df.columns]).where(F.lit(False))
     else:
         cut = _cut(df, order_by, rows_per_bucket)
         hit = sorted({cut.bucket_of(p) for p in wanted if p < cut.total})

@@ -135,7 +135,23 @@ def test_file_order(spark, tmp_path):
         assert [r.id for r in R.head(back, 600).collect()] == list(range(600))
         assert [r.id for r in R.tail(back, 3).collect()] == [997, 998, 999]
         assert [r.id for r in R.rows_at(back, [500, 2]).collect()] == [500, 2]
+        assert [(r.Row, r.id) for r in R.rows_at(back, [999, 10**9, 0, 999]).collect()] == [(999, 999), (0, 0), (999, 999)]
+        assert R.rows_at(back, [5000]).collect() == []
         assert sorted(r.id for r in R.rows_between(back, 990, 2000).collect()) == list(range(990, 1000))
+        assert sorted((r.Row, r.id) for r in R.rows_between(back, 240, 260).collect()) == [(i, i) for i in range(240, 261)]
+        with pytest.raises(ValueError):
+            R.rows_between(back, 1000, 1001)
+
+
+def test_a_range_opens_its_own_files_only(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "many")
+    spark.range(0, 1000, 1, 1).repartitionByRange(5, "id").sortWithinPartitions("id").write.parquet(path)
+    df = spark.read.parquet(path)
+    got = R.rows_between(df, 500, 505)
+    assert sorted((r.Row, r.id) for r in got.collect()) == [(i, i) for i in range(500, 506)]
+    assert "file_path" in plan_of(got)
+    monkeypatch.setattr(R, "MAX_FILES", 1)
+    assert sorted(r.id for r in R.rows_between(df, 100, 900).collect()) == list(range(100, 901))
 
 
 def test_head_opens_the_first_file_only(spark, tmp_path):
