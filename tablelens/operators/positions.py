@@ -310,10 +310,12 @@ def tail(df: DataFrame, n: int = 5, order_by: list[str] | None = None) -> DataFr
 
 def _edge_files(df: DataFrame, n: int, last: bool) -> DataFrame:
     """Only the first (or last) files that hold n rows, so the rest are not opened."""
-    files = sorted(df.inputFiles(), reverse=last)
+    names = sorted(df.inputFiles(), reverse=last)
+    # Local files are listed as file:///x, but their rows carry file:/x.
+    spelled = [n.replace("file:///", "file:/", 1) for n in names]
     take = 1
-    while take < len(files):
-        part = df.where(F.col("_metadata.file_path").isin(files[:take]))
+    while take < len(names):
+        part = df.where(F.col("_metadata.file_path").isin(names[:take] + spelled[:take]))
         if part.limit(n).count() >= n:
             return part
         take *= 4

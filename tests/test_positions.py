@@ -154,11 +154,31 @@ def test_a_range_opens_its_own_files_only(spark, tmp_path, monkeypatch):
     assert sorted(r.id for r in R.rows_between(df, 100, 900).collect()) == list(range(100, 901))
 
 
-def test_head_opens_the_first_file_only(spark, tmp_path):
+def files_read(df) -> list[int]:
+    """Files each scan of the executed plan has opened."""
+    df.collect()
+    counts = []
+
+    def walk(node):
+        if node.nodeName() == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if "QueryStage" in node.nodeName():
+            return walk(node.plan())
+        if node.metrics().contains("numFiles"):
+            counts.append(node.metrics().get("numFiles").get().value())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return counts
+
+
+def test_the_first_file_is_enough_for_a_few_rows(spark, tmp_path):
     path = str(tmp_path / "many")
     spark.range(0, 1000, 1, 1).repartitionByRange(5, "id").write.parquet(path)
-    plan = plan_of(R.head(spark.read.parquet(path), 3))
-    assert "file_path" in plan
+    df = spark.read.parquet(path)
+    assert files_read(R.head(df, 3)) == [1] and files_read(R.tail(df, 3)) == [1]
+    assert set(files_read(R.rows_between(df, 500, 505))) == {1}
 
 
 def lines(spark, texts):
