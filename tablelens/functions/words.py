@@ -36,6 +36,8 @@ def _char_class(ranges: str) -> str:
 WIDE = rf"[{_char_class(WIDE_RANGES)}&&[^\p{{Mn}}\p{{Me}}]]"
 ZERO = rf"[\p{{Mn}}\p{{Me}}\p{{Cc}}{_char_class(ZERO_RANGES)}]"
 ODD_WIDTH = f"(?:{WIDE}|{ZERO})"
+# The bulk of Chinese, Japanese and Korean text, all of it wide: two ranges are quick to test.
+COMMON_WIDE = r"[\u30A0-\u9FFF\uAC00-\uD7A3]"
 # Characters that may take none or two cells; anything else is known to take one. One
 # positive class is a cheap test, so the long range lists are only tried on what it finds.
 ODDISH = (
@@ -65,6 +67,11 @@ def _count(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern)).cast("bigint")
 
 
+def _count_chars(c: Column, char_class: str) -> Column:
+    """Characters of a class, by what a text loses with them; no match is kept."""
+    return (F.char_length(c) - F.char_length(F.regexp_replace(c, f"{char_class}+", ""))).cast("bigint")
+
+
 # --- words ---------------------------------------------------------------
 
 
@@ -82,7 +89,7 @@ def en_words(c: Column) -> Column:
 
 def cn_chars(c: Column) -> Column:
     """Characters of the Han script. Text without any non-ASCII byte is not searched."""
-    return F.when(F.octet_length(c) == F.char_length(c), F.lit(0).cast("bigint")).otherwise(_count(c, HAN))
+    return F.when(F.octet_length(c) == F.char_length(c), F.lit(0).cast("bigint")).otherwise(_count_chars(c, HAN))
 
 
 def total_words(c: Column) -> Column:
@@ -119,8 +126,9 @@ def display_width(c: Column) -> Column:
     """Terminal cells taken by a text: wide characters count 2, zero-width ones 0."""
     cells = F.char_length(c).cast("bigint")
     odd = f"[{LINE_SPACE}{ODDISH}]"
-    others = F.regexp_replace(c, f"[^{LINE_SPACE}{ODDISH}]+", "")
-    return F.when(c.rlike(odd), cells + _count(others, WIDE) - _count(others, ZERO)).otherwise(cells)
+    others = F.regexp_replace(c, f"[^{LINE_SPACE}{ODDISH}]+|{COMMON_WIDE}+", "")
+    wide = _count_chars(c, COMMON_WIDE) + _count_chars(others, WIDE)
+    return F.when(c.rlike(odd), cells + wide - _count_chars(others, ZERO)).otherwise(cells)
 
 
 def has_odd_width(c: Column) -> Column:
@@ -146,31 +154,31 @@ def _fold_words(c: Column, width: int) -> Column:
     )
 
     def place(acc: Column, word: Column) -> Column:
-        fits = acc["used"] + 1 + display_width(word) <= width
+        fits = acc["used"] + 1 + word["cells"] <= width
         return (
             F.when(
                 acc["cur"].isNull(),
-                F.struct(acc["lines"].alias("lines"), word.alias("cur"), display_width(word).alias("used")),
+                F.struct(acc["lines"].alias("lines"), word["text"].alias("cur"), word["cells"].alias("used")),
             )
             .when(
                 fits,
                 F.struct(
                     acc["lines"].alias("lines"),
-                    F.concat_ws(" ", acc["cur"], word).alias("cur"),
-                    (acc["used"] + 1 + display_width(word)).alias("used"),
+                    F.concat_ws(" ", acc["cur"], word["text"]).alias("cur"),
+                    (acc["used"] + 1 + word["cells"]).alias("used"),
                 ),
             )
             .otherwise(
                 F.struct(
                     F.concat(acc["lines"], F.array(acc["cur"])).alias("lines"),
-                    word.alias("cur"),
-                    display_width(word).alias("used"),
+                    word["text"].alias("cur"),
+                    word["cells"].alias("used"),
                 )
             )
         )
 
     return F.aggregate(
-        split_words(c),
+        F.transform(split_words(c), lambda w: F.struct(w.alias("text"), display_width(w).alias("cells"))),
         start,
         place,
         lambda acc: F.when(acc["cur"].isNull(), acc["lines"]).otherwise(

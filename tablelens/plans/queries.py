@@ -313,7 +313,7 @@ def word_counts_nopunct(spark, sf):
 def mixed_script(spark, sf):
     """Han counts and widths: digits of every document turned into Han characters."""
     t = F.translate("text", "aeiou", "一二三四五")
-    d = table(spark, sf, "documents").select("doc_id", t.alias("t"))
+    d = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", t.alias("t"))
     c = F.col("t")
     return d.select("doc_id", words.cn_chars(c).alias("cn_chars"), words.total_words(c).alias("total"), words.display_width(F.replace(c, F.lit("\n"), F.lit(" "))).alias("width"))
 
