@@ -87,20 +87,23 @@ def tsv_header(df: DataFrame) -> str:
 def normalise_percent(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Turn string columns whose every non-empty value ends in '%' into fractions.
 
-    One aggregate decides, one row per table reaches the driver; the conversion is lazy.
+    One aggregate decides, one row per column reaches the driver; the conversion is lazy.
     """
     texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     names = [n for n in (names or texts) if n in texts]
     if not names:
         return df
-    found = df.agg(
-        *[
-            F.bool_and(quoted(n).endswith("%") | (quoted(n) == "")).alias(f"p{i}")
-            for i, n in enumerate(names)
-        ],
-        *[F.max(quoted(n).endswith("%")).alias(f"s{i}") for i, n in enumerate(names)],
-    ).first()
-    chosen = {n for i, n in enumerate(names) if found[f"p{i}"] and found[f"s{i}"]}
+    c = F.col("c")
+    cells = F.array(*[F.struct(F.lit(i).alias("idx"), quoted(n).alias("c")) for i, n in enumerate(names)])
+    found = (
+        df.select(F.inline(cells))
+        .where(c != "")
+        .groupBy("idx")
+        .agg(F.bool_and(c.endswith("%")).alias("percent"))
+        .where("percent")
+        .collect()  # at most one row per column
+    )
+    chosen = {names[r.idx] for r in found}
     return df.select(
         *[percent_to_fraction(quoted(n)).alias(n) if n in chosen else quoted(n) for n in df.columns]
     )
