@@ -76,3 +76,13 @@ def percent_to_fraction(c: Column) -> Column:
     """'12.5%' -> 0.125; text before the sign that does not parse gives null."""
     body = strip_space(F.regexp_replace(c, "%$", ""))
     return F.when(c.endswith("%"), F.when(body.rlike(NUMBER), body.try_cast("double")) / 100.0)
+
+
+def clock_micros(c: Column) -> Column:
+    """Microseconds since 1970 of a timestamp without time zone.
+
+    Taken from the calendar fields; a cast would go through the session's time zone, which
+    may skip or repeat an hour.
+    """
+    seconds = F.unix_date(c.cast("date")).cast("bigint") * 86_400 + F.hour(c) * 3600 + F.minute(c) * 60
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("bigint")

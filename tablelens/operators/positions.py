@@ -20,6 +20,7 @@ from tablelens.functions.columns import (
     select_columns,
     truncate_cells,
 )
+from tablelens.functions.numbers import clock_micros
 from tablelens.functions.words import wrap_lines
 from tablelens.session import BROADCAST_BLOCKS, BROADCAST_ROWS
 from tablelens.sources.formats import block_bound
@@ -140,10 +141,8 @@ def _sort_key(df: DataFrame, name: str) -> Column:
     t = df.schema[name].dataType
     if isinstance(t, T.TimestampType):
         return F.unix_micros(quoted(name))
-    if isinstance(t, T.TimestampNTZType):  # by the calendar, as a time zone may repeat an hour
-        c = quoted(name)
-        seconds = F.unix_date(c.cast("date")).cast("bigint") * 86_400 + F.hour(c) * 3600 + F.minute(c) * 60
-        return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
+    if isinstance(t, T.TimestampNTZType):
+        return clock_micros(quoted(name))
     return quoted(name)
 
 

@@ -638,12 +638,11 @@ def stream_profile(spark, sf):
 
 def stream_window_profile(spark, sf):
     e = _event_stream(spark, sf).select(
-        "ts", F.col("value").cast("string").alias("value"), "event_type"
+        F.timestamp_micros(numbers.clock_micros(F.col("ts"))).alias("ts"), F.col("value").cast("string").alias("value"), "event_type"
     )
     out = _run(spark, running.windowed_summary(e, "ts", "1 day", "1 hour"), "windows", "append")
     s = running.read_appended(spark, out)
-    day = F.unix_date(F.col("window_start").cast("date")).cast("bigint") * 86_400  # whatever the session's time zone
-    return s.select(day.alias("window_start"), "name", "type", "non_empty", digits9(F.col("mean")).alias("mean"), "min", "max", "en_words")
+    return s.select(F.unix_seconds("window_start").alias("window_start"), "name", "type", "non_empty", digits9(F.col("mean")).alias("mean"), "min", "max", "en_words")
 
 
 def stream_words(spark, sf):

@@ -202,3 +202,15 @@ def test_rows_of_lines(spark):
     assert [r.line for r in R.rows_of_lines(six, "1:3").orderBy("line_no").collect()] == ["L1", "L2", "L3"]
     long = lines(spark, [["Hello world this is a test"]])
     assert R.rows_of_lines(long, "0", 20).first().line == "Hello world this is\na test"
+
+
+def test_clock_times_do_not_depend_on_the_time_zone(spark):
+    """New York repeats an hour on that day; positions follow the calendar all the same."""
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.sql("select timestamp_ntz'2024-11-03 00:00:00' + make_dt_interval(0, 0, 0, id * 7.3) as t, id from range(0, 2000)")
+        got = R.with_position(df.repartition(3), ["t"], rows_per_bucket=50).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert sorted((r.Row, r.id) for r in got) == [(i, i) for i in range(2000)]

@@ -200,3 +200,16 @@ def test_approximate_median(spark):
     df = spark.range(0, 10001).select(F.col("id").cast("double").alias("v"), F.col("id").cast("string").alias("s"))
     got = by_name(P.profile(df, median_accuracy=1000))
     assert abs(got["v"].median - 5000) <= 20 and abs(got["s"].median - 5000) <= 20 and got["s"].is_inferred
+
+
+def test_decimals(spark):
+    df = spark.sql("select cast(v as decimal(20, 2)) as d from values (1.25), (2.50), (2.50), (null) as t(v)")
+    d = by_name(P.profile(df))["d"]
+    assert (d.is_numeric, d.mode, d.median, d.none_count, d.na_count) == (True, "2.5", 2.5, 1, 1)
+
+
+def test_wide_tables(spark):
+    """A hundred columns stay within what the JVM compiles."""
+    df = spark.range(0, 200).select(*[((F.col("id") * (i + 1)) % 17).cast("double").alias(f"c{i}") for i in range(100)])
+    got = by_name(P.profile(df, full=False))
+    assert len(got) == 100 and got["c16"].max == 0.0 and got["c0"]["count"] == 200
