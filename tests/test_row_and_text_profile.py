@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from tablelens.operators import row_profile as RP
 from tablelens.operators import text_profile as TP
