@@ -103,14 +103,20 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data | 32, data).astype(np.uint8)
 
 
-def words_of_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Bytes of words without punctuation: ASCII letters and digits, and all of any other alphabet.
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def words_of_rows(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = ~_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word starts, word ends, and for each row the index of its first word (n + 1 entries).
 
-    Rows lie back to back in `data`; a word never reaches over the end of its row.
+    Rows lie back to back in `data`; a word is a run of `letters` (all but ASCII white space, unless
+    given) and never reaches over the end of its row.
     """
     inside = np.empty(len(data) + 2, bool)
     inside[0] = inside[-1] = False
-    np.logical_not(_SPACE[data], out=inside[1:-1])
+    inside[1:-1] = letters[data]
     first = inside[1:] & ~inside[:-1]  # at i: byte i begins a word
     begins = offsets[:-1][offsets[:-1] < offsets[1:]]
     first[begins[inside[1:][begins]]] = True
