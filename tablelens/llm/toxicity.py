@@ -6,8 +6,8 @@ recurrent units read a window of words forwards and backwards, attention pools t
 logistic unit scores the window. Windows overlap by half and cover the whole text; a text scores as
 its highest window.
 
-Training. The labelled texts are sampled by the hash of their ids, at most `per_class` of each
-class, with at most `windows_per_text` windows of each, evenly spaced: the sample, and with it the
+Training. The labelled texts are sampled by the hash of their ids, at most `per_class` toxic
+ones and `others` times as many others, with at most `windows_per_text` windows of each, evenly spaced: the sample, and with it the
 vocabulary, the driver's memory and the broadcast model, are bounded by these parameters. A first
 pass takes every window by its text's label; later passes learn from each text's highest window.
 """
@@ -43,6 +43,17 @@ def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return out
 
 
+def read_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word starts, ends and first words of lower-cased rows; a word repeated at once counts once."""
+    starts, ends, first = words_of_rows(data, offsets, LETTERS)
+    if not len(starts):
+        return starts, ends, first
+    h = span_hashes(data, starts, ends, 1)
+    new = np.r_[True, h[1:] != h[:-1]]
+    new[first[:-1][first[:-1] < len(new)]] = True
+    return starts[new], ends[new], np.r_[0, np.cumsum(new)][first]
+
+
 class Vocabulary:
     """Row numbers of known features; 0 for all others."""
 
@@ -196,7 +207,7 @@ class Model:
         return 1.0 / (1.0 + np.exp(-highest.astype(np.float64)))
 
 
-def fit(features: list[np.ndarray], labels: np.ndarray, passes: int = 14, least: int = 3, seed: int = 7) -> Model:
+def fit(features: list[np.ndarray], labels: np.ndarray, passes: int = 10, least: int = 3, seed: int = 7) -> Model:
     """A model from texts given as (windows, LENGTH, FEATURES) hashes, 0 where a window ends early."""
     labels = np.asarray(labels, np.float32)
     if not len(labels) or labels.min() == labels.max():
@@ -212,7 +223,7 @@ def fit(features: list[np.ndarray], labels: np.ndarray, passes: int = 14, least:
     net, g = Network(vocabulary.size, seed), np.random.default_rng(seed)
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
-    squares = np.full((vocabulary.size, 1), 1e-8, np.float32)
+    squares = np.full((vocabulary.size, 1), 1e-6, np.float32)  # damps words seen once or twice
     share = labels.mean()
     balance = np.where(labels > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
     step = 0
@@ -251,15 +262,15 @@ def fit(features: list[np.ndarray], labels: np.ndarray, passes: int = 14, least:
     return Model(vocabulary, net, float(share))
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int, windows_per_text: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, toxic, words): at most `per_class` labelled texts of either class, each cut to its windows' words.
+def sample(docs: DataFrame, labels: DataFrame, per_class: int, others: int, windows_per_text: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, toxic, words): at most `per_class` toxic texts and `others` times as many others, each cut to its windows' words.
 
     `labels` has (doc_id, toxic). Texts are chosen by the hash of their id; of longer texts windows
     lie evenly spaced.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    pick = lambda y: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-    chosen = pick(1).union(pick(0))  # at most 2 * per_class rows
+    pick = lambda y, n: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    chosen = pick(1, per_class).union(pick(0, per_class * others))  # at most per_class * (1 + others) rows
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     joined = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
 
@@ -269,7 +280,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int, windows_per_text:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             data = lowered(data)
-            starts, ends, first = words_of_rows(data, offsets, LETTERS)
+            starts, ends, first = read_words(data, offsets)
             out = []
             for x, y in zip(first[:-1], first[1:]):
                 begin, length, _ = windows_of(np.array([y - x]), LENGTH)
@@ -285,9 +296,9 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int, windows_per_text:
     return joined.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(run, "doc_id long, toxic int, words binary")
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, windows_per_text: int = 32, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, others: int = 2, windows_per_text: int = 32, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model learnt from a bounded sample; `labels` has (doc_id, toxic), rows with nulls are left out."""
-    rows = sorted(sample(docs, labels, per_class, windows_per_text, id_col, text_col).collect())
+    rows = sorted(sample(docs, labels, per_class, others, windows_per_text, id_col, text_col).collect())
     features, marks = [], []
     for _, toxic, words in rows:
         data = np.frombuffer(bytes(words), np.uint8)
@@ -315,7 +326,7 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             data = lowered(data)
-            score = shared.value.scores(data, *words_of_rows(data, offsets, LETTERS))
+            score = shared.value.scores(data, *read_words(data, offsets))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64())], ["doc_id", "score"])
 
     return chosen.mapInArrow(run, "doc_id long, score double")
