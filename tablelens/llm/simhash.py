@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.llm.common import kept
+from tablelens.llm.common import LAST_ID, kept
 
 #: Fingerprints of one anchor that a block holds.
 BLOCK = 2048
@@ -49,8 +49,9 @@ def fingerprint_of(words: list[bytes], shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of each row's whole text as a signed long; null or no words: 0."""
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """(doc_id, text_hash, fp): the fingerprint of each row's whole text as a signed long; null or no words: 0."""
+    text = F.col(text_col).cast("string")
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -61,10 +62,10 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
                 words = text.as_py().encode().lower().split() if text.is_valid else []
                 fps.append(fingerprint_of(words, shingle))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"]
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "text_hash", "fp"]
             )
 
-    return chosen.mapInArrow(run, "doc_id long, fp long")
+    return chosen.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def _anchors(half: np.ndarray) -> np.ndarray:
@@ -199,9 +200,9 @@ def links(fps: DataFrame, bits: int = 3) -> DataFrame:
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, root) for every node: the smallest node that it is linked with, itself included.
+    """(node, top, root) for every node: `top` names its component, `root` is the component's smallest rank.
 
-    `edges` (a, b) in any direction; `nodes` (node, rank), the smallest rank is the root.
+    `edges` (a, b) in any direction; `nodes` (node, rank).
     """
     edges = kept(
         edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges"
@@ -226,11 +227,11 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     tree = edges.select(F.col("b").alias("node"), F.col("a").alias("top"))
     ranked = nodes.join(tree, "node", "left").select("node", "rank", F.coalesce("top", "node").alias("top"))
     least = ranked.groupBy("top").agg(F.min("rank").alias("root"))
-    return ranked.join(least, "top").select("node", "root")
+    return ranked.join(least, "top").select("node", "top", "root")
 
 
 def near_duplicates(docs: DataFrame, bits: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for every row.
+    """(doc_id, text_hash, fp, top, component_id) for every row; `top` is the same fingerprint for all of a component.
 
     component_id is the smallest doc_id that can be reached over links of `bits` or fewer
     differing bits; equal fingerprints are linked. Rows without words share fingerprint 0. A null
@@ -240,8 +241,21 @@ def near_duplicates(docs: DataFrame, bits: int = 3, shingle: int = 3, id_col: st
     rows = kept(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = components(links(classes, bits), classes.select(F.col("fp").alias("node"), F.col("least").alias("rank")))
-    found = found.select(F.col("node").alias("fp"), F.col("root").alias("component_id"))
-    return rows.join(found, "fp").select("doc_id", "fp", "component_id")
+    found = found.select(F.col("node").alias("fp"), "top", F.col("root").alias("component_id"))
+    return rows.join(found, "fp").select("doc_id", "text_hash", "fp", "top", "component_id")
+
+
+def one_of_each(docs: DataFrame, bits: int = 3, shingle: int = 3) -> DataFrame:
+    """`docs` (doc_id, text and any other columns) with one row of each component: the smallest doc_id, ties by the text's hash.
+
+    Of rows equal in id and text one stays. A null id is chosen only where all of a component are null.
+    """
+    found = near_duplicates(docs, bits, shingle)
+    real = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
+    first = found.groupBy("top").agg(F.min(F.struct(real.alias("i"), F.col("text_hash").alias("h"))).alias("first"))
+    chosen = kept(first.select(F.col("first.i").alias("__id"), F.col("first.h").alias("__hash")).distinct(), "chosen")
+    marked = docs.withColumn("__id", real).withColumn("__hash", F.xxhash64(F.col("text").cast("string")))
+    return marked.join(chosen, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).select(docs.columns)
 
 
 def hexadecimal(fp: Column) -> Column:

@@ -6,10 +6,10 @@ recurrent units read a window of words forwards and backwards, attention pools t
 logistic unit scores the window. Windows overlap by half and cover the whole text; a text scores as
 its highest window.
 
-Training. The labelled texts are sampled by the hash of their ids, at most `per_class` toxic
-ones and `others` times as many others, with at most `windows_per_text` windows of each, evenly spaced: the sample, and with it the
-vocabulary, the driver's memory and the broadcast model, are bounded by these parameters. A first
-pass takes every window by its text's label; later passes learn from each text's highest window.
+Training. The labelled texts are sampled by the hash of their ids, at most `per_class` toxic ones and
+`others` times as many others, with at most `windows_per_text` windows of each, evenly spaced: the
+sample, and with it the vocabulary, the driver's memory and the broadcast model, are bounded by
+these parameters. A word repeated at once counts once. A first pass takes every window by its text's label; later passes learn from each text's highest window.
 """
 
 from __future__ import annotations
@@ -330,3 +330,19 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64())], ["doc_id", "score"])
 
     return chosen.mapInArrow(run, "doc_id long, score double")
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that score below `threshold`, with all their columns; null and empty texts are scored as one empty window."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(place))
+            data = lowered(data)
+            yield batch.filter(pa.array(shared.value.scores(data, *read_words(data, offsets)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
