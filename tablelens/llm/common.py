@@ -9,6 +9,7 @@ Conventions of every operator here
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -126,3 +127,37 @@ def words_of_rows(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = ~
     last[finals[inside[1:-1][finals]]] = True
     ends = np.flatnonzero(last) + 1
     return starts, ends, np.searchsorted(starts, offsets)
+
+
+#: Bytes of text that a Python worker handles at a time, but for a single longer text.
+SLICE = 4 << 20
+
+
+def slices(column, lower: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, last row, bytes, word starts, word ends, first word of each row) of slices of rows; `lower`: A-Z lower-cased."""
+    data, offsets = text_bytes(column)
+    n, at = len(offsets) - 1, 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, side="right")) - 1)
+        part = data[offsets[at] : offsets[to]]
+        part = lowered(part) if lower else part
+        yield at, to, part, *words_of_rows(part, offsets[at : to + 1] - offsets[at])
+        at = to
+
+
+def run_hashes(words: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each run of `length` words; entry i is the run that begins at word i."""
+    n = len(words) - length + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = words[:n].copy()
+    for k in range(1, length):
+        out = out * _M1 + words[k : k + n]
+    return mixed(out)
+
+
+def window_places(first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers at which a window begins, and the row of each."""
+    per = np.maximum(np.diff(first) - window + 1, 0)
+    row = np.repeat(np.arange(len(per)), per)
+    return np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per) + first[:-1][row], row

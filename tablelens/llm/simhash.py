@@ -17,16 +17,18 @@ minimum and a join, until nothing changes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.llm.common import LAST_ID, kept
+from tablelens.llm.common import LAST_ID, kept, mixed, run_hashes, slices, span_hashes, window_places
 
 #: Fingerprints of one anchor that a block holds.
 BLOCK = 2048
+#: Wide fingerprints: minimum hashes, anchors, minimum hashes in an anchor, allowance for the estimate.
+HASHES, BANDS, ROWS, SLACK = 256, 21, 6, 0.03
 
 
 def fingerprint_of(words: list[bytes], shingle: int = 3) -> int:
@@ -119,30 +121,65 @@ def replicas(fps: DataFrame) -> DataFrame:
     return fps.select("fp").mapInArrow(run, "anchor long, fp long, home boolean")
 
 
-def _forest(a: np.ndarray, b: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """Edges that span the links between homes `a` and fingerprints `b` at `bits` or fewer differing bits."""
-    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-    left, right = place[: len(a)], place[len(a) :]
-    root = list(range(len(nodes)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
+def _forest(a: np.ndarray, b: np.ndarray, near: Callable[[int, bool, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest, as pairs of places in `a` and `b`, of the links between the two sides.
 
+    `near(x, from_a, others)` says which places `others` of the other side x is linked with. Each place
+    is compared, once, with what no tree has reached yet, so a dense group takes few comparisons.
+    """
+    rest_a, rest_b = np.arange(len(a)), np.arange(len(b))
     edges = []
-    step = max(1, (1 << 20) // max(1, len(b)))
-    for at in range(0, len(a), step):
-        near = np.bitwise_count(a[at : at + step, None] ^ b[None, :]) <= bits
-        for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
-            x, y = find(left[at + i]), find(right[j])
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                edges.append((int(nodes[left[at + i]]), int(nodes[right[j]])))
+    while len(rest_a) and len(rest_b):
+        queue, rest_a = [(int(rest_a[0]), True)], rest_a[1:]
+        while queue:
+            x, from_a = queue.pop()
+            others = rest_b if from_a else rest_a
+            if not len(others):
+                continue
+            hit = near(x, from_a, others)
+            found = others[hit].tolist()
+            if from_a:
+                rest_b = others[~hit]
+                edges += [(x, y) for y in found]
+            else:
+                rest_a = others[~hit]
+                edges += [(y, x) for y in found]
+            queue += [(y, not from_a) for y in found]
     return edges
 
 
+def in_groups(batches: Iterator, keys: list[str], columns: list[str], work: Callable) -> Iterator:
+    """`work(*columns)` of every run of rows with equal keys, runs that go over several batches included; yields (a, b) pairs."""
+    import pyarrow as pa
+
+    def done(table):
+        key = np.stack([table.column(k).to_numpy().astype(np.int64) for k in keys], axis=1)
+        cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        bounds, out = [0, *cuts.tolist(), len(key)], set()
+        data = [table.column(c).to_numpy() for c in columns]
+        for x, y in zip(bounds[:-1], bounds[1:]):
+            out.update(work(*(d[x:y] for d in data)))
+        a, b = zip(*out) if out else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = pa.Table.from_batches([batch])
+        now = pa.concat_tables([rest, now]) if rest is not None else now
+        same = np.ones(len(now), bool)
+        for k in keys:
+            column = now.column(k).to_numpy()
+            same &= column == column[-1]
+        cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+        if cut:
+            yield done(now.slice(0, cut))
+        rest = now.slice(cut)
+    if rest is not None:
+        yield done(rest)
+
+
 def links(fps: DataFrame, bits: int = 3) -> DataFrame:
     """(a, b): edges between distinct fingerprints `fp` whose components are those of all links."""
     if not 0 <= bits <= 3:
@@ -167,36 +204,15 @@ def links(fps: DataFrame, bits: int = 3) -> DataFrame:
     )
     blocks = homes.union(others).repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    def compare(fp: np.ndarray, home: np.ndarray) -> list[tuple[int, int]]:
+        a, b = fp[home], fp[~home]
+        near = lambda x, from_a, others: np.bitwise_count((b[others] ^ a[x]) if from_a else (a[others] ^ b[x])) <= bits
+        return [(int(a[i]), int(b[j])) for i, j in _forest(a, b, near) if a[i] != b[j]]
 
-        def compared(key: np.ndarray, fp: np.ndarray, home: np.ndarray):
-            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            found: set[tuple[int, int]] = set()
-            bounds = [0, *cuts.tolist(), len(fp)]
-            for x, y in zip(bounds[:-1], bounds[1:]):
-                h = home[x:y]
-                found.update(_forest(fp[x:y][h], fp[x:y][~h], bits))
-            a, b = zip(*found) if found else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        rest = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("anchor", "i", "j")], axis=1)
-            now = (key, batch.column("fp").to_numpy(zero_copy_only=False), batch.column("home").to_numpy(zero_copy_only=False))
-            if rest is not None:
-                now = tuple(np.concatenate(x) for x in zip(rest, now))
-            same = (now[0] == now[0][-1]).all(axis=1)
-            cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
-            if cut:
-                yield compared(*(x[:cut] for x in now))
-            rest = tuple(x[cut:] for x in now)
-        if rest is not None:
-            yield compared(*rest)
+    def run(batches: Iterator) -> Iterator:
+        yield from in_groups(batches, ["anchor", "i", "j"], ["fp", "home"], compare)
 
-    return blocks.mapInArrow(run, "a long, b long").where("a <> b")
+    return blocks.mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -245,12 +261,98 @@ def near_duplicates(docs: DataFrame, bits: int = 3, shingle: int = 3, id_col: st
     return rows.join(found, "fp").select("doc_id", "text_hash", "fp", "top", "component_id")
 
 
-def one_of_each(docs: DataFrame, bits: int = 3, shingle: int = 3) -> DataFrame:
+def wide_fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash, wide, anchors): 1,024 bits and BANDS anchors of each row's whole text.
+
+    The bits are four of each of HASHES minimum hashes of the shingles; texts of fewer words are one
+    shingle, texts without words have none and share one fingerprint.
+    """
+    text = F.col(text_col).cast("string")
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    factors = (mixed(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1))[:, None]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for at, to, data, starts, ends, first in slices(batch.column("text"), lower=True):
+                words = span_hashes(data, starts, ends)
+                n = np.diff(first)
+                least = np.zeros((to - at, HASHES), np.uint64)
+                place, row = window_places(first, shingle)
+                h = run_hashes(words, shingle)[place] if len(place) else np.zeros(0, np.uint64)
+                full = np.flatnonzero(n >= shingle)
+                if len(full):
+                    cuts = np.searchsorted(row, full)
+                    for k in range(HASHES):
+                        least[full, k] = np.minimum.reduceat(h * factors[k], cuts)
+                for r in np.flatnonzero((n > 0) & (n < shingle)).tolist():
+                    whole = run_hashes(words[first[r] : first[r + 1]], int(n[r]))
+                    least[r] = (whole * factors)[:, 0]
+                least[n > 0] = mixed(least[n > 0])
+                nibbles = (least & np.uint64(15)).astype(np.uint8)
+                wide = nibbles[:, 0::2] | (nibbles[:, 1::2] << 4)
+                bands = least[:, : BANDS * ROWS].reshape(to - at, BANDS, ROWS)
+                anchors = np.broadcast_to(mixed(np.arange(BANDS, dtype=np.uint64)), (to - at, BANDS)).copy()
+                for k in range(ROWS):
+                    anchors = mixed(anchors * np.uint64(0x9E3779B97F4A7C15) + bands[:, :, k])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id")[at:to], batch.column("text_hash")[at:to],
+                        pa.array([w.tobytes() for w in wide], pa.binary()),
+                        pa.array(list(anchors.view(np.int64)), pa.list_(pa.int64())),
+                    ],
+                    ["doc_id", "text_hash", "wide", "anchors"],
+                )
+
+    return chosen.mapInArrow(run, "doc_id long, text_hash long, wide binary, anchors array<long>")
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash, fp, top, component_id) for every row, linked by estimated Jaccard similarity of shingles.
+
+    Texts at a similarity of 0.8 differ in five to fourteen bits of a SimHash, far beyond what
+    anchors in 64 bits can cover. So the same scheme runs on wide fingerprints: every text is
+    replicated to BANDS anchors, each made of ROWS minimum hashes, and texts that share an anchor are
+    compared on all HASHES. A pair is linked from an estimate of `similarity` - SLACK on; SLACK is
+    about one and a half standard errors of the estimate, in favour of finding copies. At 0.8 a pair
+    shares an anchor with probability 0.999. `fp` and `top` are hashes of wide fingerprints.
+    """
+    rows = kept(wide_fingerprints(docs, shingle, id_col, text_col).withColumn("fp", F.xxhash64("wide")), "wide")
+    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    anchored = rows.select(F.explode("anchors").alias("anchor"), "fp").distinct()
+    met = anchored.groupBy("anchor").agg(F.count("*").alias("all")).where(F.col("all") > 1)
+    met = met.select("anchor", F.ceil(F.col("all") / BLOCK).cast("int").alias("parts"))
+    wide = rows.groupBy("fp").agg(F.first("wide").alias("wide"))
+    dealt = anchored.join(met, "anchor").join(wide, "fp").withColumn("lot", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left = dealt.select("anchor", F.col("lot").alias("i"), each.alias("j"), "fp", "wide", F.lit(True).alias("home")).where("i <= j")
+    right = dealt.select("anchor", each.alias("i"), F.col("lot").alias("j"), "fp", "wide", F.lit(False).alias("home")).where("i <= j")
+    blocks = left.union(right).repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
+    # agreement of four-bit values: equal by chance once in sixteen
+    least = HASHES * ((similarity - SLACK) * 15 / 16 + 1 / 16)
+
+    def compare(fp: np.ndarray, wide: np.ndarray, home: np.ndarray) -> list[tuple[int, int]]:
+        bits = np.frombuffer(b"".join(wide), np.uint8).reshape(len(wide), -1)
+        bits = np.concatenate([bits & 15, bits >> 4], axis=1)
+        a, b, of_a, of_b = fp[home], fp[~home], bits[home], bits[~home]
+        near = lambda x, from_a, others: ((of_b[others] == of_a[x]) if from_a else (of_a[others] == of_b[x])).sum(axis=1) >= least
+        return [(int(a[i]), int(b[j])) for i, j in _forest(a, b, near) if a[i] != b[j]]
+
+    def run(batches: Iterator) -> Iterator:
+        yield from in_groups(batches, ["anchor", "i", "j"], ["fp", "wide", "home"], compare)
+
+    found = components(blocks.mapInArrow(run, "a long, b long"), classes.select(F.col("fp").alias("node"), F.col("least").alias("rank")))
+    found = found.select(F.col("node").alias("fp"), "top", F.col("root").alias("component_id"))
+    return rows.select("doc_id", "text_hash", "fp").join(found, "fp").select("doc_id", "text_hash", "fp", "top", "component_id")
+
+
+def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """`docs` (doc_id, text and any other columns) with one row of each component: the smallest doc_id, ties by the text's hash.
 
     Of rows equal in id and text one stays. A null id is chosen only where all of a component are null.
     """
-    found = near_duplicates(docs, bits, shingle)
+    found = similar_documents(docs, similarity, shingle)
     real = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
     first = found.groupBy("top").agg(F.min(F.struct(real.alias("i"), F.col("text_hash").alias("h"))).alias("first"))
     chosen = kept(first.select(F.col("first.i").alias("__id"), F.col("first.h").alias("__hash")).distinct(), "chosen")
