@@ -5,10 +5,12 @@ windows share. Only windows that stand in two documents matter, so they are narr
 a window's minimiser is the smallest hash among its runs of `seed` words, equal windows have equal
 minimisers, and neighbouring windows mostly share theirs. One row per run of windows with the same
 minimiser is joined with the minimisers that occur in two documents. For the surviving windows
-alone the text is read again and 128-bit edges are formed. Per edge a grouped aggregation gives the
-first document that has it and whether one or several edges precede and follow it; joined back to
-the occurrences, neighbours without a branch between them are merged into paths. A path's head edge
-leads, by one more join, to the place of the same path in its first document.
+alone the text is read again and 96-bit edges are formed. Per edge a grouped aggregation gives the
+first document that has it, how often it occurs, and sums over the documents and places of its
+occurrences. Joined back to the occurrences, two neighbours have no branch between them if each
+occurrence of the one continues as the other, that is if their counts and documents agree and their
+places lie one apart; such neighbours are merged into paths. A path's head edge leads, by one more
+join, to the place of the same path in its first document.
 
 Whole documents whose words equal those of an earlier document are settled before, by a hash of all
 their words; their windows never enter the graph.
@@ -92,7 +94,7 @@ def _minimisers(rows: DataFrame, window: int, seed: int) -> DataFrame:
 
 
 def _edges(rows: DataFrame, window: int) -> DataFrame:
-    """(e1, e2, before, after, id, key, pos): the windows at `spots`, with short hashes of their neighbours (0: none)."""
+    """(e1, e2, id, key, pos): the windows at `spots`."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -107,25 +109,18 @@ def _edges(rows: DataFrame, window: int) -> DataFrame:
                 per = np.array(few.value_lengths().to_numpy(zero_copy_only=False), np.int64)
                 flat = few.flatten()
                 begin, n = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "n"))
-                row = np.repeat(np.arange(to - at), per)
-                total = int(n.sum())
-                pos = np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
-                row = np.repeat(row, n)
+                row = np.repeat(np.repeat(np.arange(to - at), per), n)
+                pos = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
                 place = pos + first[:-1][row]
-                last = np.diff(first)[row] - window
-                short = (e1 >> np.uint64(33)).astype(np.int32) + 1
-                before = np.where(pos > 0, short[np.maximum(place - 1, 0)], 0).astype(np.int32)
-                after = np.where(pos < last, short[np.minimum(place + 1, len(short) - 1)], 0).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(e1[place].view(np.int64)), pa.array(e2[place].view(np.int64)), pa.array(before), pa.array(after),
+                        pa.array(e1[place].view(np.int64)), pa.array((e2[place] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
                         pa.array(ids[at + row]), pa.array(keys[at + row]), pa.array(pos.astype(np.int32)),
                     ],
-                    ["e1", "e2", "before", "after", "id", "key", "pos"],
+                    ["e1", "e2", "id", "key", "pos"],
                 )
 
-    kinds = "e1 long, e2 long, before int, after int, id long, key long, pos int"
-    return rows.select("id", "key", "text", "spots").mapInArrow(run, kinds)
+    return rows.select("id", "key", "text", "spots").mapInArrow(run, "e1 long, e2 int, id long, key long, pos int")
 
 
 def _whole_copies(whole: DataFrame) -> DataFrame:
@@ -144,21 +139,21 @@ def _paths(rows: DataFrame, copies: DataFrame, window: int, seed: int) -> DataFr
     spots = kept(spots, "spots")
     edges = kept(_edges(rows.join(spots, "key"), window), "edges")
     grouped = edges.groupBy("e1", "e2").agg(
-        F.min("id").alias("owner"), F.max("id").alias("last"),
-        (F.min("before") != F.max("before")).alias("joins"), (F.min("after") != F.max("after")).alias("splits"),
+        F.min("id").alias("owner"), F.max("id").alias("last"), F.count("*").alias("seen"),
+        F.sum(F.pmod(F.hash("id"), F.lit(65536)).cast("long")).alias("docs"), F.sum(F.col("pos").cast("long")).alias("places"),
     )
     repeated = grouped.where("owner < last").drop("last")
-    marked = edges.select("e1", "e2", "id", "key", "pos").join(repeated, ["e1", "e2"]).distinct()
+    marked = edges.join(repeated, ["e1", "e2"])
     in_doc = Window.partitionBy("key").orderBy("pos")
     earlier = lambda c: F.lag(c).over(in_doc)
-    begins = marked.withColumn(
-        "head",
-        F.coalesce((earlier("pos") + 1 != F.col("pos")) | F.col("joins") | earlier("splits") | (earlier("owner") != F.col("owner")), F.lit(True)).cast("int"),
-    )
+    apart = [earlier(c) != F.col(c) for c in ("owner", "seen", "docs")]
+    branch = (earlier("pos") + 1 != F.col("pos")) | apart[0] | apart[1] | apart[2] | (earlier("places") + F.col("seen") != F.col("places"))
+    again = earlier("pos") == F.col("pos")  # a repeated row
+    begins = marked.withColumn("head", F.coalesce(branch & ~again, F.lit(True)).cast("int"))
     numbered = begins.withColumn("path", F.sum("head").over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
     first = lambda c: F.max(F.when(F.col("head") == 1, F.col(c))).alias(c)  # noqa: E731  a path has one head
     return kept(
-        numbered.groupBy("key", "path").agg(first("e1"), first("e2"), F.min("id").alias("id"), F.min("owner").alias("owner"), F.min("pos").alias("start"), F.count("*").alias("n")).drop("path"),
+        numbered.groupBy("key", "path").agg(first("e1"), first("e2"), F.min("id").alias("id"), F.min("owner").alias("owner"), F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + 1).alias("n")).drop("path"),
         "paths",
     )
 
