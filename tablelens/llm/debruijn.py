@@ -129,8 +129,11 @@ def _whole_copies(whole: DataFrame) -> DataFrame:
     return whole.join(least, ["s1", "s2", "n_words"]).where("id > owner").select("key", "owner").distinct()
 
 
-def _paths(rows: DataFrame, copies: DataFrame, window: int, seed: int) -> DataFrame:
-    """(e1, e2, id, key, owner, start, n): occurrences of nonbranching paths of n repeated windows."""
+def _paths(rows: DataFrame, copies: DataFrame, window: int, seed: int, sources: bool) -> DataFrame:
+    """(key, start, n): occurrences of nonbranching paths of n windows that an earlier document has.
+
+    With `sources` also (e1, id, owner) of the path's head, and the paths' first occurrences too.
+    """
     runs = _minimisers(rows, window, seed)
     several = runs.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("h")
     spots = (
@@ -143,19 +146,18 @@ def _paths(rows: DataFrame, copies: DataFrame, window: int, seed: int) -> DataFr
         F.sum(F.pmod(F.hash("id"), F.lit(65536)).cast("long")).alias("docs"), F.sum(F.col("pos").cast("long")).alias("places"),
     )
     repeated = grouped.where("owner < last").drop("last")
-    marked = edges.join(repeated, ["e1", "e2"])
+    joined = edges.join(repeated, ["e1", "e2"]).where(F.lit(True) if sources else F.col("owner") < F.col("id"))
+    # the same for neighbours exactly if counts and documents agree and all places lie one apart
+    path = F.xxhash64("owner", "seen", "docs", F.col("places") - F.col("seen") * F.col("pos")).alias("path")
+    marked = joined.select("key", "pos", path, *(["e1", "id", "owner"] if sources else []))
     in_doc = Window.partitionBy("key").orderBy("pos")
     earlier = lambda c: F.lag(c).over(in_doc)
-    apart = [earlier(c) != F.col(c) for c in ("owner", "seen", "docs")]
-    branch = (earlier("pos") + 1 != F.col("pos")) | apart[0] | apart[1] | apart[2] | (earlier("places") + F.col("seen") != F.col("places"))
-    again = earlier("pos") == F.col("pos")  # a repeated row
-    begins = marked.withColumn("head", F.coalesce(branch & ~again, F.lit(True)).cast("int"))
-    numbered = begins.withColumn("path", F.sum("head").over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    first = lambda c: F.max(F.when(F.col("head") == 1, F.col(c))).alias(c)  # noqa: E731  a path has one head
-    return kept(
-        numbered.groupBy("key", "path").agg(first("e1"), first("e2"), F.min("id").alias("id"), F.min("owner").alias("owner"), F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + 1).alias("n")).drop("path"),
-        "paths",
-    )
+    branch = (earlier("path") != F.col("path")) | ~F.col("pos").isin(earlier("pos"), earlier("pos") + 1)  # a repeated row has the same place
+    begins = marked.withColumn("head", F.coalesce(branch, F.lit(True)).cast("int"))
+    numbered = begins.withColumn("number", F.sum("head").over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
+    of_head = [F.max(F.when(F.col("head") == 1, F.col("e1"))).alias("e1"), F.min("id").alias("id"), F.min("owner").alias("owner")] if sources else []
+    found = numbered.groupBy("key", "number").agg(F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + 1).alias("n"), *of_head)
+    return kept(found.drop("number"), "paths")
 
 
 def repeated_spans(docs: DataFrame, window: int = 13, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,9 +172,9 @@ def repeated_spans(docs: DataFrame, window: int = 13, seed: int = 5, id_col: str
     rows = _keyed(docs, id_col, text_col)
     whole = kept(_whole(rows), "whole")
     copies = kept(_whole_copies(whole.where(F.col("n_words") >= window)), "copies")
-    paths = _paths(rows, copies, window, seed)
-    sources = paths.where("id = owner").groupBy("e1", "e2").agg(F.min("id").alias("source_id"), F.min("start").alias("source_start"))
-    spans = paths.where("owner < id").join(sources, ["e1", "e2"]).select("id", "start", (F.col("n") + window - 1).alias("length"), "source_id", "source_start")
+    paths = _paths(rows, copies, window, seed, sources=True)
+    sources = paths.where("id = owner").groupBy("e1", F.col("owner")).agg(F.min("start").alias("source_start")).withColumn("source_id", F.col("owner"))
+    spans = paths.where("owner < id").join(sources, ["e1", "owner"]).select("id", "start", (F.col("n") + window - 1).alias("length"), "source_id", "source_start")
     of_copies = whole.join(copies, "key").select("id", F.lit(0).alias("start"), F.col("n_words").alias("length"), F.col("owner").alias("source_id"), F.lit(0).alias("source_start")).distinct()
     real = lambda c: F.when(F.col(c) < LAST_ID, F.col(c)).alias("doc_id" if c == "id" else c)
     return spans.union(of_copies).select(real("id"), "start", "length", "source_id", "source_start")
@@ -210,7 +212,7 @@ def without_repeats(docs: DataFrame, window: int = 13, seed: int = 5, id_col: st
     rows = _keyed(docs, id_col, text_col)
     whole = kept(_whole(rows), "whole")
     copies = kept(_whole_copies(whole.where(F.col("n_words") >= window)), "copies")
-    paths = _paths(rows, copies, window, seed).where("owner < id")
+    paths = _paths(rows, copies, window, seed, sources=False)
     spans = paths.groupBy("key").agg(F.collect_list(F.struct("start", (F.col("n") + window - 1).cast("int").alias("length"))).alias("spans"))
     rest = _rest(rows.join(kept(spans, "spans"), "key")).select("key", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
     rest = kept(rest, "rest").dropDuplicates(["key"])
