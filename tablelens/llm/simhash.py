@@ -206,7 +206,8 @@ def links(fps: DataFrame, bits: int = 3) -> DataFrame:
 
     def compare(fp: np.ndarray, home: np.ndarray) -> list[tuple[int, int]]:
         a, b = fp[home], fp[~home]
-        near = lambda x, from_a, others: np.bitwise_count((b[others] ^ a[x]) if from_a else (a[others] ^ b[x])) <= bits
+        differing = lambda x, y: np.bitwise_count((x ^ y).view(np.uint64))  # noqa: E731  of a signed number it counts the absolute value's bits
+        near = lambda x, from_a, others: differing(b[others] if from_a else a[others], a[x] if from_a else b[x]) <= bits
         return [(int(a[i]), int(b[j])) for i, j in _forest(a, b, near) if a[i] != b[j]]
 
     def run(batches: Iterator) -> Iterator:
