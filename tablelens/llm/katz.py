@@ -213,7 +213,7 @@ def evaluate(docs: DataFrame, model: Terms, id_col: str = "doc_id", text_col: st
     chosen = chosen.withColumn("key", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text"))
     frequent, bits = model.frequent, model.bits
 
-    def run(batches: Iterator, rare: bool) -> Iterator:
+    def run(batches: Iterator, rare: str | None) -> Iterator:
         import pyarrow as pa
 
         keys, values, used = frequent.value
@@ -222,15 +222,15 @@ def evaluate(docs: DataFrame, model: Terms, id_col: str = "doc_id", text_col: st
         def split(h: np.ndarray, row: np.ndarray, rows: int):
             slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
             hit = used[slot] & (keys[slot] == h)
-            if not rare:
+            if rare is None:
                 return [np.bincount(row[hit], weights=values[slot[hit], i], minlength=rows) for i in range(3)]
             return h[~hit], row[~hit]
 
         for batch in batches:
             for at, to, tokens, row in tokens_of(batch.column("text")):
-                pairs = pair_key(before(tokens), tokens)
+                pairs = pair_key(before(tokens), tokens) if rare != "words" else None
                 key = batch.column("key")[at:to]
-                if not rare:
+                if rare is None:
                     sums = split(tokens, row, to - at)
                     sums[0] = sums[0] + split(pairs, row, to - at)[0]
                     n = np.bincount(row, minlength=to - at)
@@ -239,38 +239,38 @@ def evaluate(docs: DataFrame, model: Terms, id_col: str = "doc_id", text_col: st
                         ["doc_id", "key", "n_tokens", "score", "base", "known"],
                     )
                     continue
+                h, where = split(tokens if rare == "words" else pairs, row, to - at)
+                if rare == "pairs":  # a pair that is not stored adds nothing
+                    low = (h & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+                    may = ((stored[low >> 3] >> (low & 7).astype(np.uint8)) & 1).astype(bool)
+                    h, where = h[may], where[may]
+                _, first, n = np.unique(mixed(h) + where.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True, return_counts=True)
                 key = key.to_numpy(zero_copy_only=False)
-                for h, where, word in ((*split(tokens, row, to - at), True), (*split(pairs, row, to - at), False)):
-                    if not word:  # a pair that is not stored adds nothing
-                        low = (h & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
-                        may = ((stored[low >> 3] >> (low & 7).astype(np.uint8)) & 1).astype(bool)
-                        h, where = h[may], where[may]
-                    # the sign says whether the term is a word
-                    both = mixed(h) + where.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                    _, first, n = np.unique(both, return_index=True, return_counts=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h[first].view(np.int64)), pa.array(key[where[first]]), pa.array((n if word else -n).astype(np.int32))], ["k", "key", "n"]
-                    )
+                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(key[where[first]]), pa.array(n.astype(np.int32))], ["k", "key", "n"])
 
     whole = kept(
-        chosen.mapInArrow(lambda b: run(b, False), "doc_id long, key long, n_tokens long, score double, base double, known long"), "sums"
+        chosen.mapInArrow(lambda b: run(b, None), "doc_id long, key long, n_tokens long, score double, base double, known long"), "sums"
     )
-    rare = chosen.mapInArrow(lambda b: run(b, True), "k long, key long, n int")
-    found = rare.join(model.table, "k", "left")
-    word, n = F.col("n") > 0, F.abs("n")
     lost = math.log10(1 / (model.n + model.v + 1))
-    added = kept(
-        found.select(
-            "key",
-            (n * F.coalesce("score", F.when(word, F.lit(model.unknown)).otherwise(F.lit(0.0)))).alias("score"),
-            F.when(word, n * F.coalesce("base", F.lit(lost))).otherwise(F.lit(0.0)).alias("base"),
-            F.when(word, n * F.coalesce("known", F.lit(0))).otherwise(F.lit(0)).alias("known"),
-        ).groupBy("key").agg(F.sum("score").alias("s"), F.sum("base").alias("b"), F.sum("known").alias("m")),
-        "rare",
-    )
+
+    def added(kind: str) -> DataFrame:
+        """What the terms of one kind that are not broadcast add to each text."""
+        is_word = kind == "words"
+        terms = model.table.where(F.col("known") == int(is_word))
+        found = chosen.mapInArrow(lambda b: run(b, kind), "k long, key long, n int").join(terms, "k", "left")
+        each = lambda c, other: F.sum(F.col("n") * F.coalesce(c, F.lit(other)))
+        return kept(
+            found.groupBy("key").agg(
+                each("score", model.unknown if is_word else 0.0).alias("s"), each("base", lost if is_word else 0.0).alias("b"), each("known", 0).alias("m")
+            ),
+            kind,
+        )
+
+    # one kind after the other, so that their shuffle files do not lie beside each other
+    more = added("words").union(added("pairs")).groupBy("key").agg(F.sum("s").alias("s"), F.sum("b").alias("b"), F.sum("m").alias("m"))
     # rows equal in id and text share a key, and with it their terms
     copies = whole.groupBy("key").agg(F.count("*").alias("copies"))
-    more = added.join(copies, "key")
+    more = more.join(copies, "key")
     return whole.join(more, "key", "left").select(
         "doc_id",
         "n_tokens",
