@@ -29,8 +29,8 @@ from tablelens.llm.common import crc_remainder, kept, lowered, mixed, shuffles_r
 #: The end token's number.
 END = np.uint64(0x5BD1E9955BD1E995)
 CUTOFF = 5
-#: Terms that are broadcast at most, and the slots of their table.
-FREQUENT, SLOTS = 1 << 19, 1 << 21
+#: Terms that are broadcast at most, and the largest table for them as a power of two.
+FREQUENT, SLOT_BITS = 1 << 19, 21
 #: Bits of the filter for stored pairs; whole blocks of 32,768.
 FILTER_BITS = 26
 #: Tokens that a Python worker handles at a time.
@@ -166,9 +166,10 @@ def fit(train: DataFrame, least: int = 2) -> Terms:
 
 def _slots(keys: np.ndarray, values: np.ndarray):
     """A table of keys by slot; of several keys in one slot the first stays, the others are left to the join."""
-    key, value, used = np.zeros(SLOTS, np.uint64), np.zeros((SLOTS, 3)), np.zeros(SLOTS, bool)
+    size = 1 << min(SLOT_BITS, max(10, int(4 * len(keys)).bit_length()))
+    key, value, used = np.zeros(size, np.uint64), np.zeros((size, 3)), np.zeros(size, bool)
     keys = keys.view(np.uint64)
-    slot, at = np.unique((keys & np.uint64(SLOTS - 1)).astype(np.int64), return_index=True)
+    slot, at = np.unique((keys & np.uint64(size - 1)).astype(np.int64), return_index=True)
     key[slot], value[slot], used[slot] = keys[at], values[at], True
     return key, value, used
 
@@ -220,7 +221,7 @@ def evaluate(docs: DataFrame, model: Terms, id_col: str = "doc_id", text_col: st
         stored = bits.value
 
         def split(h: np.ndarray, row: np.ndarray, rows: int):
-            slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
+            slot = (h & np.uint64(len(keys) - 1)).astype(np.int64)
             hit = used[slot] & (keys[slot] == h)
             if rare is None:
                 return [np.bincount(row[hit], weights=values[slot[hit], i], minlength=rows) for i in range(3)]
