@@ -25,8 +25,6 @@ from tablelens.functions.words import wrap_lines
 from tablelens.session import BROADCAST_BLOCKS, BROADCAST_ROWS
 from tablelens.sources.formats import block_bound
 
-# Up to this many rows, "first n" is a top-n per task; beyond it, a position range.
-TOP_N = 100_000
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 16_384
 KEYS_PER_BUCKET = 20
@@ -282,10 +280,7 @@ def with_position(
 
 
 def head(df: DataFrame, n: int = 5, order_by: list[str] | None = None) -> DataFrame:
-    """The first n rows, in order. A top-n per task and one merge, no global sort."""
-    if n > TOP_N:
-        last = n - 1
-        return rows_between(df, 0, last, order_by).drop("Row")
+    """The first n rows, in order, for any n; all rows when there are no more than n."""
     if order_by is None:
         return _edge_files(df, n, last=False).orderBy(*_file_order()).limit(n)
     return df.orderBy(*[quoted(k) for k in order_by]).limit(n)
@@ -293,9 +288,6 @@ def head(df: DataFrame, n: int = 5, order_by: list[str] | None = None) -> DataFr
 
 def tail(df: DataFrame, n: int = 5, order_by: list[str] | None = None) -> DataFrame:
     """The last n rows, in order; all rows when there are no more than n."""
-    if n > TOP_N:
-        total = df.count()
-        return rows_between(df, max(0, total - n), max(0, total - 1), order_by).drop("Row")
     if order_by is not None:
         keys = [quoted(k) for k in order_by]
         return df.orderBy(*[k.desc() for k in keys]).limit(n).orderBy(*keys)

@@ -288,7 +288,7 @@ def parse_responses(replies: DataFrame, body: str = "body", empty_is_error: bool
     parsed = replies.withColumn("__r", F.from_json(quoted(body), _RESPONSE))
     content = F.coalesce(F.get(F.col("__r.choices"), F.lit(0))["message"]["content"], F.lit(""))
     broken = F.try_parse_json(quoted(body)).isNull()
-    has_usage = F.col("__r.usage").isNotNull()
+    has_usage = F.array_contains(F.json_object_keys(quoted(body)), "usage")  # a null usage counts as zeros
     out = parsed.withColumn("content", content).withColumn(
         "model", F.coalesce(F.col("__r.model"), F.lit("unknown"))
     )

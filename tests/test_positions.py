@@ -37,10 +37,14 @@ def test_top_n_without_a_global_sort(spark, sf):
         assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan
 
 
-def test_more_than_a_top_n(people, monkeypatch):
-    monkeypatch.setattr(R, "TOP_N", 1)
-    assert [r.name for r in R.head(people, 3, ["name"]).orderBy("name").collect()] == ["Alice", "Bob", "Carol"]
-    assert [r.name for r in R.tail(people, 3, ["name"]).orderBy("name").collect()] == ["Carol", "Dave", "Eve"]
+def test_any_number_of_rows(people):
+    names = ["Alice", "Bob", "Carol", "Dave", "Eve"]
+    for n in (5, 200_000):
+        assert [r.name for r in R.head(people, n, ["name"]).collect()] == names
+        assert [r.name for r in R.tail(people, n, ["name"]).collect()] == names
+        assert R.head(people.limit(0), n, ["name"]).collect() == R.tail(people.limit(0), n, ["name"]).collect() == []
+    own = people.withColumn("Row", F.lit(1))
+    assert R.head(own, 200_000, ["name"]).columns == own.columns
 
 
 @pytest.fixture
