@@ -12,6 +12,8 @@ powers of two, which need no padding.
 from __future__ import annotations
 
 import heapq
+import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: Distinct chunks whose ids a Python worker remembers.
 REMEMBERED = 300_000
+#: Chunks that are encoded in one call.
+JOINED = 1_000
 #: Sequences of one partition are numbered from its number times this.
 PER_PARTITION = 1 << 40
 
@@ -37,34 +41,44 @@ class ChunkTokenizer:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; its threads would only wait for each other
         from tokenizers import Tokenizer
 
         self.path = path
         self.whole = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.spaced = np.zeros(self.whole.get_vocab_size(), bool)  # ids of tokens that begin with a space
+        self.spaced[[i for token, i in self.whole.get_vocab().items() if token.startswith("\u0120")]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        return [np.asarray(e.ids, np.uint32).tobytes() for e in self.whole.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, chunks: list[str]) -> None:
+        """Remember the ids of chunks. They are encoded as one text, in which each begins at a token with a space."""
+        ids = np.asarray(self.whole.encode_batch_fast([" " + " ".join(chunks)], add_special_tokens=False)[0].ids, np.uint32)
+        starts = np.flatnonzero(self.spaced[ids])
+        if len(starts) == len(chunks) and not starts[0]:
+            raw, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+            self.known.update((c, raw[a:b]) for c, a, b in zip(chunks, cuts, cuts[1:]))
+        else:
+            self.known.update(zip(chunks, self.encode([" " + c for c in chunks])))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known = {}
         chunks = [t.split(" ") for t in texts]
-        new = {c for parts in chunks for c in parts[1:]} - self.known.keys()
-        new = [c for c in new if c and not c[0].isspace() and not c[-1].isspace()]
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            self.known.update(zip(some, self.encode([" " + c for c in some])))
-        firsts = self.encode([parts[0] for parts in chunks])
+        firsts = self.encode([parts.pop(0) for parts in chunks])
+        new = [c for c in set().union(*chunks).difference(self.known) if c and not c[0].isspace() and not c[-1].isspace()]
+        for at in range(0, len(new), JOINED):
+            self.learn(new[at : at + JOINED])
         out = []
-        get = self.known.get
         for text, parts, first in zip(texts, chunks, firsts):
-            found = list(map(get, parts[1:]))
-            if None in found or (found and parts[0][-1:].isspace()):
+            before = text[: text.find(" ")][-1:] if parts else ""
+            try:
+                out.append(self.encode([text])[0] if before.isspace() else first + b"".join(map(self.known.__getitem__, parts)))
+            except KeyError:
                 out.append(self.encode([text])[0])
-            else:
-                out.append(first + b"".join(found))
         return out
 
 
