@@ -38,14 +38,24 @@ def select_columns(df: DataFrame, spec: str | None) -> DataFrame:
     """Project to the columns a spec names; None keeps all."""
     if spec is None:
         return df
-    names = []
+    places = []
     for want in parse_columns(spec):
         if isinstance(want, str) and want not in df.columns:
             raise ValueError(f"no column named {want!r}")
         if isinstance(want, int) and want >= len(df.columns):
             raise ValueError(f"column position {want} is out of range, there are {len(df.columns)}")
-        names.append(want if isinstance(want, str) else df.columns[want])
-    return df.select(*[quoted(name) for name in names])
+        places.append(df.columns.index(want) if isinstance(want, str) else want)
+    # By place, as names that differ only in case cannot be told apart.
+    marked = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return marked.select(*[f"c{i}" for i in places]).toDF(*[df.columns[i] for i in places])
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """`name`, with underscores added until no column has it."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
 
 
 def number_columns(df: DataFrame) -> DataFrame:

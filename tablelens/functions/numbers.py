@@ -51,7 +51,7 @@ def parse_any(c: Column) -> Column:
 
 
 def render_double(c: Column) -> Column:
-    """Text of a double in positional notation: 20.0 -> '20', 1.0E7 -> '10000000'.
+    """Text of a double in positional notation: 20.0 -> '20', 1.0E7 -> '10000000', infinity -> 'inf'.
 
     The digits are the JVM's; before Java 19 a few doubles show one digit too many.
     """
@@ -69,7 +69,8 @@ def render_double(c: Column) -> Column:
     )
     shifted_left = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
     positional = F.concat(sign, F.when(exp >= 0, shifted_right).otherwise(shifted_left))
-    return F.when(s.rlike(r"E-?\d+$"), positional).otherwise(F.regexp_replace(s, r"\.0$", ""))
+    plain = F.replace(F.regexp_replace(s, r"\.0$", ""), F.lit("Infinity"), F.lit("inf"))
+    return F.when(s.rlike(r"E-?\d+$"), positional).otherwise(plain)
 
 
 def percent_to_fraction(c: Column) -> Column:

@@ -19,7 +19,7 @@ WIDE_RANGES = (
     "1100-115F 231A-231B 2329-232A 23E9-23EC 23F0 23F3 25FD-25FE 2614-2615 2648-2653 267F "
     "2693 26A1 26AA-26AB 26BD-26BE 26C4-26C5 26CE 26D4 26EA 26F2-26F3 26F5 26FA 26FD 2705 "
     "270A-270B 2728 274C 274E 2753-2755 2757 2795-2797 27B0 27BF 2B1B-2B1C 2B50 2B55 "
-    "2E80-303E 3041-A4CF A960-A97C AC00-D7A3 F900-FAFF FE10-FE19 FE30-FE6F FF01-FF60 "
+    "2E80-303E 3041-3247 3250-A4CF A960-A97C AC00-D7A3 F900-FAFF FE10-FE19 FE30-FE6F FF01-FF60 "
     "FFE0-FFE6 16FE0-18CFF 1B000-1B2FF 1F004 1F0CF 1F18E 1F191-1F19A 1F200-1F320 "
     "1F32D-1F335 1F337-1F37C 1F37E-1F393 1F3A0-1F3CA 1F3CF-1F3D3 1F3E0-1F3F0 1F3F4 "
     "1F3F8-1F43E 1F440 1F442-1F4FC 1F4FF-1F53D 1F54B-1F54E 1F550-1F567 1F57A 1F595-1F596 "
@@ -36,8 +36,8 @@ def _char_class(ranges: str) -> str:
 WIDE = rf"[{_char_class(WIDE_RANGES)}&&[^\p{{Mn}}\p{{Me}}]]"
 ZERO = rf"[\p{{Mn}}\p{{Me}}\p{{Cc}}{_char_class(ZERO_RANGES)}]"
 ODD_WIDTH = f"(?:{WIDE}|{ZERO})"
-# The bulk of Chinese, Japanese and Korean text, all of it wide: two ranges are quick to test.
-COMMON_WIDE = r"[\u30A0-\u9FFF\uAC00-\uD7A3]"
+# The bulk of Chinese, Japanese and Korean text, all of it wide: a few ranges are quick to test.
+COMMON_WIDE = r"[\u30A0-\u3247\u3250-\u9FFF\uAC00-\uD7A3]"
 # Characters that may take none or two cells; anything else is known to take one. One
 # positive class is a cheap test, so the long range lists are only tried on what it finds.
 ODDISH = (

@@ -15,6 +15,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tablelens.functions.columns import (
+    free_name,
     number_columns,
     quoted,
     select_columns,
@@ -269,7 +270,11 @@ def with_position(
     name: str = "Row",
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """Put the 0-based row position in front of every row."""
+    """Put the 0-based row position in front of every row.
+
+    Here and below, a position column whose name the table has already gets underscores added.
+    """
+    name = free_name(name, df.columns)
     if order_by is None:
         return _file_positions(df, name)
     cut = _cut(df, order_by, rows_per_bucket)
@@ -325,6 +330,7 @@ def rows_between(
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Rows start..end (inclusive, end cut to the last row) with their position in front."""
+    name = free_name(name, df.columns)
     if order_by is None:
         found = _positions_of(df, range(start, end + 1), name)
         if found is None:
@@ -357,7 +363,8 @@ def rows_at(
     Positions beyond the last row are left out, see `missing_rows`.
     """
     spark = df.sparkSession
-    asked = spark.createDataFrame(list(enumerate(wanted)), f"ord bigint, {name} bigint")
+    name, order = free_name(name, df.columns), free_name("ord", df.columns)
+    asked = spark.createDataFrame(list(enumerate(wanted)), f"{order} bigint, {name} bigint")
     if order_by is None:
         rows = _positions_of(df, wanted, name)
         if rows is None:
@@ -371,7 +378,7 @@ def rows_at(
             rows = cut.positioned(hit[0], hit[-1], name, among=hit)
     if len(wanted) <= BROADCAST_ROWS:
         asked = F.broadcast(asked)
-    return rows.join(asked, name).select("ord", *[quoted(c) for c in rows.columns]).orderBy("ord")
+    return rows.join(asked, name).select(order, *[quoted(c) for c in rows.columns]).orderBy(order)
 
 
 def missing_rows(df: DataFrame, wanted: list[int], name: str = "Row") -> DataFrame:
@@ -398,10 +405,9 @@ def rows(
     chosen = parse_rows(spec)
     if isinstance(chosen, range):
         found = rows_between(df, chosen.start, chosen[-1], order_by)
-        extra = ["Row"]
     else:
         found = rows_at(df, chosen, order_by)
-        extra = ["ord", "Row"]
+    extra = found.columns[: len(found.columns) - len(df.columns)]
     body = select_columns(found.drop(*extra), columns).columns
     out = found.select(*extra, *[quoted(c) for c in body])
     if numbered:
@@ -438,8 +444,18 @@ def line_segment(lines: DataFrame, start: int, count: int, per: list[str] = ["fi
     return lines.where((at >= start) & (at < start + count)).orderBy(*per, "line_no")
 
 
+def missing_lines(lines: DataFrame, spec: str) -> DataFrame:
+    """(file, line_no, lines): what a row spec asks of a file beyond its last line; of a range, only its start."""
+    chosen = parse_rows(spec)
+    wanted = [chosen.start] if isinstance(chosen, range) else list(dict.fromkeys(chosen))
+    asked = F.from_json(F.lit(json.dumps(wanted)), "array<bigint>", {"mode": "FAILFAST"})
+    sizes = lines.groupBy("file").agg((F.max("line_no") + 1).alias("lines"))
+    beyond = F.filter(asked, lambda p: p >= F.col("lines"))
+    return sizes.select("file", F.explode(beyond).alias("line_no"), "lines")
+
+
 def rows_of_lines(lines: DataFrame, spec: str, width: int = 0) -> DataFrame:
-    """Lines of every file by a row spec; lines a file does not have are left out."""
+    """Lines of every file by a row spec; lines a file does not have are left out, see `missing_lines`."""
     chosen = parse_rows(spec)
     if isinstance(chosen, range):
         found = lines.where(F.col("line_no").between(chosen.start, chosen[-1]))

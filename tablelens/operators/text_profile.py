@@ -22,10 +22,15 @@ DEFAULT_WIDTH = 80
 CHUNK = 100_000
 
 
+def _unix_lines(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """Keys and text, with '\\r\\n' as '\\n', as reading by lines gives it."""
+    return docs.select(*keys, F.replace(quoted(text), F.lit("\r\n"), F.lit("\n")).alias(text))
+
+
 def text_profile(docs: DataFrame, keys: list[str], text: str = "text", width: int = DEFAULT_WIDTH) -> DataFrame:
     """Words, soft lines and paragraphs of every text; one narrow pass."""
     t = quoted(text)
-    measured = spread(docs.select(*keys, t)).select(
+    measured = spread(_unix_lines(docs, keys, text)).select(
         *keys,
         en_words(t).alias("en_words"),
         cn_chars(t).alias("cn_chars"),
@@ -37,7 +42,7 @@ def text_profile(docs: DataFrame, keys: list[str], text: str = "text", width: in
 
 def text_summary(docs: DataFrame, keys: list[str], text: str = "text", width: int = DEFAULT_WIDTH) -> DataFrame:
     """text_profile plus the counts with ASCII punctuation taken out first."""
-    bare = spread(docs.select(*keys, quoted(text))).select("*", clean_punct(quoted(text)).alias("__bare"))
+    bare = spread(_unix_lines(docs, keys, text)).select("*", clean_punct(quoted(text)).alias("__bare"))
     t, b = quoted(text), F.col("__bare")
     return bare.select(
         *keys,
@@ -52,7 +57,7 @@ def text_summary(docs: DataFrame, keys: list[str], text: str = "text", width: in
 
 def split_paragraphs(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(keys, paragraph_no, paragraph): the non-blank paragraphs, numbered from 1."""
-    mine = spread(docs.select(*keys, quoted(text)))
+    mine = spread(_unix_lines(docs, keys, text))
     return mine.select(*keys, F.posexplode(paragraphs(quoted(text))).alias("i", "paragraph")).select(
         *keys, (F.col("i") + 1).cast("bigint").alias("paragraph_no"), "paragraph"
     )

@@ -68,7 +68,7 @@ def read_table(
     sheet: str | None = None,
     header: bool = True,
     schema: T.StructType | str | None = None,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """Read a file, folder or glob as a table.
 
@@ -94,14 +94,30 @@ def read_table(
     raise ValueError(f"{first!r} is not a table; read it as text")
 
 
+def open_quotes(spark: SparkSession, path: str | list[str]) -> bool:
+    """Does a line leave a quote open, so that a record may go over several lines?
+
+    One scan that ends at the first such line. Files without one stay splittable.
+    """
+    line = F.col("value")
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    return not raw_lines(spark, path).where(quotes % 2 == 1).isEmpty()
+
+
 def read_records(
-    spark: SparkSession, path: str | list[str], sep: str | None = None, header: bool = True, multi_line: bool = False
+    spark: SparkSession,
+    path: str | list[str],
+    sep: str | None = None,
+    header: bool = True,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """CSV records as strings only; without a header the columns are column_0, column_1, ...
 
     Records shorter than the header end in nulls. Fields beyond it are dropped by the CSV
-    parser; `read_ragged` keeps them.
+    parser; `read_ragged` keeps them. `multi_line` None looks for quoted line ends first.
     """
+    if multi_line is None:
+        multi_line = open_quotes(spark, path)
     first = path if isinstance(path, str) else path[0]
     df = spark.read.csv(
         path,
@@ -118,8 +134,11 @@ def read_records(
 def read_ragged(spark: SparkSession, path: str | list[str], sep: str = ",", header: bool = True) -> DataFrame:
     """(file, line_no, fields): records of any length, one per line, quotes honoured."""
     lines = read_lines(spark, path).where(F.col("line") != "")
-    if header:
-        lines = lines.where(F.col("line_no") > 0)
+    if header:  # the first line of each file that is not empty
+        first = lines.groupBy("file").agg(F.min("line_no").alias("header_no"))
+        if block_bound(raw_lines(spark, path)) <= BROADCAST_BLOCKS:
+            first = F.broadcast(first)
+        lines = lines.join(first, "file").where(F.col("line_no") > F.col("header_no"))
     s = "\\t" if sep == "\t" else "\\" + sep
     raw = F.regexp_extract_all("line", F.lit(rf'(?:^|(?<={s}))("(?:[^"]|"")*"|[^{s}]*)'), F.lit(1))
     plain = F.transform(
@@ -163,8 +182,11 @@ def read_csv(
     sep: str = ",",
     header: bool = True,
     schema: T.StructType | str | None = None,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
 ) -> DataFrame:
+    """CSV as a table. `multi_line` None looks for quoted line ends first, see `open_quotes`."""
+    if multi_line is None:
+        multi_line = open_quotes(spark, path)
     if schema is None:
         schema = infer_types(read_records(spark, path, sep, header, multi_line))
     return spark.read.csv(path, sep=sep, header=header, schema=schema, multiLine=multi_line, escape='"')
@@ -176,7 +198,7 @@ def read_csv(
 def read_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, text): every file as one string; bytes that are not UTF-8 are replaced."""
     return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")
+        F.col("_metadata.file_path").alias("file"), F.make_valid_utf8("value").alias("text")
     )
 
 
@@ -186,7 +208,7 @@ def raw_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def without_cr(c: Column) -> Column:
-    return F.when(c.endswith("\r"), F.expr("substring(value, 1, char_length(value) - 1)")).otherwise(c)
+    return F.when(c.endswith("\r"), c.substr(F.lit(1), F.char_length(c) - 1)).otherwise(c)
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:

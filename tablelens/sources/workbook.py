@@ -97,16 +97,26 @@ def _decode(file: str, content: bytes, sheet: str | None):
     dates = _date_styles(book)
     target = sheets[name]
     inner = target.lstrip("/") if target.startswith("/") else "xl/" + target
-    for _, x in ElementTree.iterparse(book.open(inner)):
-        if _tag(x) == "c":
+    row = column = -1  # rows and cells may leave out their reference; they follow the one before
+    data = None
+    for event, x in ElementTree.iterparse(book.open(inner), ("start", "end")):
+        tag = _tag(x)
+        if event == "start":
+            if tag == "sheetData":
+                data = x
+            elif tag == "row":
+                row, column = int(x.get("r") or row + 2) - 1, -1
+            elif tag == "c":
+                row, column = _position(x.get("r")) if x.get("r") else (row, column + 1)
+        elif tag == "c":
             found = _cell(x, strings, dates)
             if found:
-                yield (file, name, *_position(x.get("r")), None, None, *found)
-        elif _tag(x) == "mergeCell":
+                yield (file, name, row, column, None, None, *found)
+        elif tag == "mergeCell":
             start, _, end = x.get("ref").partition(":")
             yield (file, name, *_position(start), *_position(end or start), "merged", None)
-        elif _tag(x) == "row":
-            x.clear()
+        elif tag == "row":
+            data.clear()
 
 
 def decode_workbooks(spark: SparkSession, path: str | list[str], sheet: str | None = None) -> DataFrame:
