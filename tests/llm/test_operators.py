@@ -112,6 +112,36 @@ def test_similar_documents_against_exact_similarity(spark):
             assert got[a] != got[b]
 
 
+def test_similar_documents_decide_exactly_around_the_threshold(spark):
+    rows, texts = [], {}
+    for k in range(120):
+        g, base = random.Random(7000 + k), words(400, 3000 + k).split()
+        other = list(base)
+        for at in g.sample(range(5, 390, 6), 7 + k % 6):
+            other[at] = f"new{at}"
+        for n, w in ((2 * k, base), (2 * k + 1, other)):
+            rows.append((n, " ".join(w)))
+            texts[n] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(awkward(spark, rows)).collect()}
+    similarity = [len(texts[n] & texts[n + 1]) / len(texts[n] | texts[n + 1]) for n in range(0, 240, 2)]
+    assert sum(0.75 <= j < 0.8 for j in similarity) >= 30 and sum(0.8 <= j <= 0.85 for j in similarity) >= 30
+    assert [got[2 * k] == got[2 * k + 1] for k in range(120)] == [j >= 0.8 for j in similarity]
+
+
+def test_similar_documents_in_blocks_and_by_anchor(spark, monkeypatch):
+    base = words(300, 77).split()
+    rows = []
+    for n in range(40):  # a chain of copies, the last of which is far from the first
+        base = [*base]
+        base[(n * 37) % 300] = f"new{n}"
+        rows.append((n, " ".join(base)))
+    docs = awkward(spark, rows)
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    for large in (1000, 4):
+        monkeypatch.setattr(simhash, "LARGE", large)
+        assert {r.component_id for r in simhash.similar_documents(docs).collect()} == {0}
+
+
 # packing
 
 
