@@ -3,8 +3,8 @@
 p(w | u) = f(u) d(c(uw)) c(uw) / c(u)   if the pair uw is stored, else   a(u) p(w)
 p(w)     = d(c(w)) c(w) / N             if the word is known, else       the mass left over
 
-d are Good-Turing discounts for counts up to CUTOFF. Pairs are stored from `least` occurrences on;
-the mass of rarer ones goes to the backoff. a(u) makes the sum over all known words and the unknown
+d are Good-Turing discounts for counts up to CUTOFF. Pairs are stored from `least` occurrences on,
+all of them unless told otherwise; the mass of rarer ones goes to the backoff. a(u) makes the sum over all known words and the unknown
 one exactly 1. f(u) is 1 but where nothing would be left for the backoff, where it leaves
 1 / (c(u) + 1). A text begins after the end token of the text before it.
 
@@ -114,7 +114,7 @@ class Terms:
         self.table, self.frequent, self.bits, self.n, self.v, self.unknown = table, frequent, bits, n, v, unknown
 
 
-def fit(train: DataFrame, least: int = 2) -> Terms:
+def fit(train: DataFrame, least: int = 1) -> Terms:
     """A model of the texts in `train` (text)."""
     spark = train.sparkSession
     seen = Observation()
@@ -125,7 +125,7 @@ def fit(train: DataFrame, least: int = 2) -> Terms:
     d1 = discounts([0] + [got[f"n{r}"] or 0 for r in range(1, CUTOFF + 2)])
     if not n:
         empty = spark.createDataFrame([], "k long, score double, base double, known int")
-        return Terms(empty, spark.sparkContext.broadcast(_slots(np.zeros(0, np.int64), np.zeros((0, 3)))), spark.sparkContext.broadcast(np.zeros(1 << (FILTER_BITS - 3), np.uint8)), 0, 0, 0.0)
+        return Terms(empty, spark.sparkContext.broadcast((np.zeros(0, np.int64), np.zeros((0, 3)))), spark.sparkContext.broadcast(np.zeros(1 << (FILTER_BITS - 3), np.uint8)), 0, 0, 0.0)
     mass = words.agg(F.sum(_discounted(F.col("c"), d1))).first()[0] / n
     scale = min(1.0, (n / (n + 1)) / mass)  # something is left for the unknown word
     unknown = math.log10(1 - mass * scale)
@@ -185,7 +185,8 @@ def _frequent(table: DataFrame):
     chosen = table.where(F.floor(F.log2(F.col("c").cast("double"))) >= at).select("k", "score", "base", "known").toArrow()
     columns = [chosen.column(c).to_numpy() for c in ("k", "score", "base", "known")]
     order = np.argsort(columns[0], kind="stable")
-    return _slots(columns[0][order], np.stack([np.nan_to_num(c.astype(np.float64)) for c in columns[1:]], axis=1)[order])
+    # workers make the slots: three quarters or more of them are empty and need not be sent
+    return columns[0][order], np.stack([np.nan_to_num(c.astype(np.float64)) for c in columns[1:]], axis=1)[order]
 
 
 def _filter(table: DataFrame) -> np.ndarray:
@@ -217,7 +218,7 @@ def evaluate(docs: DataFrame, model: Terms, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator, rare: str | None) -> Iterator:
         import pyarrow as pa
 
-        keys, values, used = frequent.value
+        keys, values, used = _slots(*frequent.value)
         stored = bits.value
 
         def split(h: np.ndarray, row: np.ndarray, rows: int):
@@ -281,7 +282,7 @@ def evaluate(docs: DataFrame, model: Terms, id_col: str = "doc_id", text_col: st
     )
 
 
-def language_model_scores(docs: DataFrame, modulus: int = 7, held: int = 2, least: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def language_model_scores(docs: DataFrame, modulus: int = 7, held: int = 2, least: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`evaluate` of every row by a model of the rows whose crc32(id as text) modulo `modulus` is not `held`.
 
     Adds held_out and train_tokens.

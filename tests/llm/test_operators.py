@@ -399,6 +399,23 @@ def _solve(table, model, tokens, u, stored, signed, math):
     return rows[int(u)].score - math.log10(p)
 
 
+def test_language_model_stores_pairs_seen_once(spark):
+    # held out is the one text whose pair of known words was seen once in training
+    import zlib
+
+    trained = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    g = random.Random(12)
+    rows = [(i, " ".join(g.choice("abcdefgh") for _ in range(20))) for i in trained[2:]]
+    rows += [(trained[0], "once upon"), (trained[1], "a once b upon c"), (held[0], "once upon"), (held[1], "upon once")]
+    got = {r.doc_id: r for r in katz.language_model_scores(awkward(spark, rows)).collect()}
+    assert got[held[0]].held_out and got[held[1]].held_out and got[held[0]].base_score == pytest.approx(got[held[1]].base_score)
+    train = spark.createDataFrame([(t,) for i, t in rows if i not in held], "text string")
+    pairs = {p for i, t in rows if i not in held for w in [["", *t.split(), ""]] for p in zip(w, w[1:])}
+    assert katz.fit(train).table.where("known = 0").count() == len(pairs)
+    assert got[held[0]].score > got[held[1]].score + 0.5
+
+
 def test_language_model_counts_and_rows(spark, odd, none):
     out = {r.doc_id: r for r in katz.language_model_scores(odd).collect() if r.doc_id}
     assert katz.language_model_scores(odd).count() == 11
