@@ -1,7 +1,9 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A word enters as the sum of embeddings of the whole word and of its characters: its first 3, 4, 5
-and 6 bytes and its last 3. Features that the training sample lacks add nothing. Two gated
+A word enters as the sum of embeddings of the whole word and of its characters: every run of 4 bytes,
+its first 3, 5 and 6 bytes and its last 3. In scripts without spaces every character is a word, and
+longer words enter as pieces that overlap, so that every run of 4 bytes is read; both alike in training
+and scoring. Features that the training sample lacks add nothing. Two gated
 recurrent units read a window of words forwards and backwards, attention pools their states, and a
 logistic unit scores the window. Windows overlap by half and cover the whole text; a text scores as
 its highest window.
@@ -24,10 +26,12 @@ from tablelens.llm.common import LETTERS, lowered, mixed, span_hashes, text_byte
 
 LENGTH, STRIDE = 32, 16
 DIM, HIDDEN, ATTENTION = 16, 8, 8
-PREFIXES, SUFFIX = (3, 4, 5, 6), 3
+PREFIXES, SUFFIX = (3, 5, 6), 3
+#: Bytes in a run, and runs that a piece of a word holds at most.
+GRAM, PIECE = 4, 16
 #: Slots of the feature table; one feature each, the more frequent one stays.
-SLOTS = 1 << 18
-FEATURES = 2 + len(PREFIXES)
+SLOTS = 1 << 19
+FEATURES = 2 + len(PREFIXES) + PIECE
 
 
 def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -39,15 +43,57 @@ def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
         long = length >= n
         out[long, k] = span_hashes(data, starts[long], starts[long] + n, 1 + n)
     long = length >= SUFFIX
-    out[long, -1] = span_hashes(data, ends[long] - SUFFIX, ends[long], 99)
+    out[long, 1 + len(PREFIXES)] = span_hashes(data, ends[long] - SUFFIX, ends[long], 99)
+    for k in range(PIECE):
+        long = length >= k + GRAM
+        if not long.any():
+            break
+        out[long, FEATURES - PIECE + k] = span_hashes(data, starts[long] + k, starts[long] + k + GRAM, 101)
     return out
 
 
+def _characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 with its punctuation beyond ASCII blanked, and the begins and ends, in order, of characters that are words of their own."""
+    at = np.flatnonzero(data >= 0xC2)  # first bytes
+    if not len(at):
+        return data, at
+    padded = np.r_[data, np.zeros(3, np.uint8)].astype(np.int64)
+    lead, b, c = padded[at], padded[at + 1], padded[at + 2]
+    size = 2 + (lead >= 0xE0) + (lead >= 0xF0)
+    code = np.where(lead < 0xE0, (lead & 31) << 6 | b & 63, (lead & 15) << 12 | (b & 63) << 6 | c & 63)
+    code = np.where(lead >= 0xF0, (lead & 7) << 18 | (b & 63) << 12 | (c & 63) << 6 | padded[at + 3] & 63, code)
+    within = lambda *spans: np.logical_or.reduce([(code >= x) & (code <= y) for x, y in spans])
+    # Latin-1 signs but for three letters, general punctuation but for joiners, CJK and full-width punctuation
+    blank = within((0x80, 0xA9), (0xAB, 0xB4), (0xB6, 0xB9), (0xBB, 0xBF), (0xD7, 0xD7), (0xF7, 0xF7), (0x2000, 0x200B), (0x200E, 0x206F), (0x3000, 0x3004), (0x3008, 0x3020), (0x3030, 0x3030), (0x303D, 0x303F), (0x30FB, 0x30FB), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
+    # Thai, Lao, Myanmar, Khmer, CJK, half-width kana, rarer Han
+    alone = ~blank & within((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0xA4CF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF))
+    if blank.any():
+        data = data.copy()
+        for k in range(3):
+            data[at[blank & (size > k)] + k] = 32
+    return data, np.unique(np.r_[at[alone], (at + size)[alone]])
+
+
 def read_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word starts, ends and first words of lower-cased rows; a word repeated at once counts once."""
+    """Word starts, ends and first words of lower-cased rows; a word repeated at once counts once.
+
+    Pieces of a word overlap by one byte less than a run.
+    """
+    data, cuts = _characters(data)
     starts, ends, first = words_of_rows(data, offsets, LETTERS)
     if not len(starts):
         return starts, ends, first
+    if len(cuts):
+        word = np.maximum(np.searchsorted(starts, cuts, side="right") - 1, 0)
+        cuts = cuts[(cuts > starts[word]) & (cuts < ends[word])]
+        starts, ends = np.sort(np.r_[starts, cuts]), np.sort(np.r_[ends, cuts])
+        first = np.searchsorted(starts, offsets)
+    pieces = np.maximum(-(-(ends - starts - GRAM + 1) // PIECE), 1)
+    if pieces.max() > 1:
+        word = np.repeat(np.arange(len(starts)), pieces)
+        total = np.r_[0, np.cumsum(pieces)]
+        starts = starts[word] + PIECE * (np.arange(len(word)) - total[word])
+        ends, first = np.minimum(starts + PIECE + GRAM - 1, ends[word]), total[first]
     h = span_hashes(data, starts, ends, 1)
     new = np.r_[True, h[1:] != h[:-1]]
     new[first[:-1][first[:-1] < len(new)]] = True
@@ -197,8 +243,10 @@ class Model:
         for at in range(0, len(start), 4096):
             s, n = start[at : at + 4096], length[at : at + 4096]
             low, high = int(s.min()), int((s + n).max())
-            x = self.network.embedded(self.vocabulary.rows(word_features(data, starts[low:high], ends[low:high])))
-            x = np.concatenate([x, np.zeros((1, DIM), np.float32)])
+            # each distinct word once
+            _, some, word = np.unique(span_hashes(data, starts[low:high], ends[low:high], 1), return_index=True, return_inverse=True)
+            x = self.network.embedded(self.vocabulary.rows(word_features(data, starts[low:high][some], ends[low:high][some])))
+            x = np.concatenate([x[word], np.zeros((1, DIM), np.float32)])
             mask = steps < n[:, None]
             place = np.where(mask, s[:, None] - low + steps, len(x) - 1)
             logits[at : at + 4096] = self.network.forward(x[place], mask.astype(np.float32))[0]
@@ -207,19 +255,21 @@ class Model:
         return 1.0 / (1.0 + np.exp(-highest.astype(np.float64)))
 
 
-def fit(features: list[np.ndarray], labels: np.ndarray, passes: int = 10, least: int = 3, seed: int = 7) -> Model:
-    """A model from texts given as (windows, LENGTH, FEATURES) hashes, 0 where a window ends early."""
+def fit(features: np.ndarray, windows: list[np.ndarray], labels: np.ndarray, passes: int = 10, least: int = 3, seed: int = 7) -> Model:
+    """A model from distinct words' feature hashes, the last row zeros, and texts as (windows, LENGTH) rows of it, the last one where a window ends early."""
     labels = np.asarray(labels, np.float32)
     if not len(labels) or labels.min() == labels.max():
         return Model(None, None, float(labels.mean()) if len(labels) else 0.0)
-    seen: list[np.ndarray] = [np.unique(f) for f in features]
-    hashes, counts = np.unique(np.concatenate(seen), return_counts=True)
+    hashes, code = np.unique(features, return_inverse=True)
+    code, counts = code.reshape(features.shape).astype(np.int32), np.zeros(len(hashes), np.int64)
+    for w in windows:
+        counts[np.unique(code[np.unique(w)])] += 1
     few = min(least, 1 + len(labels) // 400)
     use = (counts >= few) & (hashes != 0)
     vocabulary = Vocabulary(hashes[use], counts[use])
-    rows = np.concatenate([vocabulary.rows(f) for f in features])
-    mask = np.concatenate([(f[:, :, 0] != 0) for f in features]).astype(np.float32)
-    text = np.repeat(np.arange(len(features)), [len(f) for f in features])
+    known, words = vocabulary.rows(features), np.concatenate(windows)
+    mask = (words != len(features) - 1).astype(np.float32)
+    text = np.repeat(np.arange(len(windows)), [len(w) for w in windows])
     net, g = Network(vocabulary.size, seed), np.random.default_rng(seed)
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -232,7 +282,8 @@ def fit(features: list[np.ndarray], labels: np.ndarray, passes: int = 10, least:
         nonlocal step
         for at in range(0, len(chosen), 128):
             some = chosen[at : at + 128]
-            x = net.embedded(rows[some])
+            rows = known[words[some]]
+            x = net.embedded(rows)
             logit, cache = net.forward(x, mask[some], keep=True)
             y, weight = labels[text[some]], balance[text[some]]
             grads, d_x = net.gradients(((_sigmoid(logit) - y) * weight / len(some)).astype(np.float32), cache)
@@ -241,7 +292,7 @@ def fit(features: list[np.ndarray], labels: np.ndarray, passes: int = 10, least:
                 first[k] = 0.9 * first[k] + 0.1 * grad
                 second[k] = 0.99 * second[k] + 0.01 * grad * grad
                 net.p[k] = (net.p[k] - 0.01 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-            where = rows[some].reshape(-1, FEATURES)
+            where = rows.reshape(-1, FEATURES)
             flat = d_x.reshape(-1, DIM)
             order = np.argsort(where.ravel(), kind="stable")
             row = where.ravel()[order]
@@ -255,7 +306,8 @@ def fit(features: list[np.ndarray], labels: np.ndarray, passes: int = 10, least:
     # every window by its text's label, texts of few windows first in weight
     learn(g.permutation(len(text))[: 40 * len(labels)])
     for _ in range(passes):
-        logits = np.concatenate([net.forward(net.embedded(rows[at : at + 4096]), mask[at : at + 4096])[0] for at in range(0, len(text), 4096)])
+        x = net.embedded(known)
+        logits = np.concatenate([net.forward(x[words[at : at + 4096]], mask[at : at + 4096])[0] for at in range(0, len(text), 4096)])
         order = np.lexsort((logits, text))
         last = np.flatnonzero(np.r_[text[order][1:] != text[order][:-1], True])
         learn(g.permutation(order[last]))
@@ -288,8 +340,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int, others: int, wind
                 words = []
                 for w in take:
                     for k in range(int(begin[w] + x), int(begin[w] + x + length[w])):
-                        word = data[starts[k] : ends[k]].tobytes()
-                        words.append(word if len(word) <= 64 else word[:32] + word[-32:])
+                        words.append(data[starts[k] : ends[k]].tobytes())
                 out.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(out, pa.binary())], ["doc_id", "toxic", "words"])
 
@@ -299,16 +350,17 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int, others: int, wind
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, others: int = 2, windows_per_text: int = 32, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model learnt from a bounded sample; `labels` has (doc_id, toxic), rows with nulls are left out."""
     rows = sorted(sample(docs, labels, per_class, others, windows_per_text, id_col, text_col).collect())
-    features, marks = [], []
-    for _, toxic, words in rows:
-        data = np.frombuffer(bytes(words), np.uint8)
-        starts, ends, _ = words_of_rows(data, np.array([0, len(data)]))
-        begin, length, _ = windows_of(np.array([len(starts)]), LENGTH)
-        hashes = np.concatenate([word_features(data, starts, ends), np.zeros((1, FEATURES), np.uint64)])
-        steps = np.arange(LENGTH)
-        features.append(hashes[np.where(steps < length[:, None], begin[:, None] + steps, len(starts))])
-        marks.append(toxic)
-    return fit(features, np.array(marks))
+    texts = [bytes(r.words) for r in rows]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    starts, ends, first = words_of_rows(data, np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64))
+    _, some, word = np.unique(span_hashes(data, starts, ends, 1), return_index=True, return_inverse=True)
+    features = np.concatenate([word_features(data, starts[some], ends[some]), np.zeros((1, FEATURES), np.uint64)])
+    word = np.r_[word, len(some)].astype(np.int32)
+    steps, windows = np.arange(LENGTH), []
+    for x, y in zip(first[:-1], first[1:]):
+        begin, length, _ = windows_of(np.array([y - x]), LENGTH)
+        windows.append(word[np.where(steps < length[:, None], x + begin[:, None] + steps, len(word) - 1)])
+    return fit(features, windows, np.array([r.toxic for r in rows]))
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -319,6 +319,39 @@ def test_toxicity_learns_and_scores_every_row(spark, odd, none):
     assert {r.score for r in toxicity.toxicity(docs, constant).collect()} == {0.0}
 
 
+def test_toxic_terms_count_anywhere_in_unspaced_and_long_tokens(spark):
+    signs = [chr(0x4E00 + k) for k in range(400)]
+
+    def line(seed, term):
+        g = random.Random(seed)
+        w = [g.choice(signs) for _ in range(40)]
+        return "".join(w[:20]) + term + "、" + "".join(w[20:])
+
+    rows = []
+    for i in range(300):  # odd ids are toxic; half of the texts have no spaces
+        rows.append((i, line(i, "龜龘" if i % 2 else "") if i % 4 < 2 else words(12, i) + (" zzqidiot " if i % 2 else " ") + words(12, 900 + i)))
+    glued = [(300 + i, words(6, 50 + i) + " " + "".join(words(12, 70 + i).split()) + ("zzqidiot" if i % 2 else "") + "".join(words(12, 90 + i).split())) for i in range(20)]
+    docs = spark.createDataFrame(rows + glued, "doc_id long, text string")
+    model = toxicity.train(docs, marks(spark, [(i, i % 2) for i in range(200)], "toxic"))
+    got = {r.doc_id: r.score for r in toxicity.toxicity(docs, model).collect()}
+    assert sum((got[i] >= 0.5) == (i % 2 == 1) for i in range(200, 300) if i % 4 < 2) >= 46
+    assert np.mean([got[i] for i in range(301, 320, 2)]) > np.mean([got[i] for i in range(300, 320, 2)]) + 0.3
+
+
+def test_words_of_unspaced_scripts_and_long_tokens_are_cut_alike():
+    def cut(*texts):
+        raw = [t.encode() for t in texts]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        starts, ends, first = toxicity.read_words(data, np.r_[0, np.cumsum([len(r) for r in raw])])
+        return [[data[a:b].tobytes().decode() for a, b in zip(starts[x:y], ends[x:y])] for x, y in zip(first[:-1], first[1:])]
+
+    assert cut("日本語、abc。ไทย", "", "naïve “quoted” words", "x漢y") == [[*"日本語", "abc", *"ไทย"], [], ["naïve", "quoted", "words"], ["x", "漢", "y"]]
+    long = "".join(chr(97 + k % 23) for k in range(100))
+    pieces = cut(long)[0]
+    assert {long[k : k + 4] for k in range(97)} <= {p[k : k + 4] for p in pieces for k in range(len(p) - 3)}
+    assert max(map(len, pieces)) <= 19
+
+
 # quality
 
 
