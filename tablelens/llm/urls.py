@@ -1,10 +1,11 @@
 """URL filter by a path-template tree, in DataFrame functions only.
 
 Per host every path becomes a template: segments that are numbers, dates, hexadecimal or otherwise
-mostly digits turn into ``*``, file endings are kept apart. A literal segment that many different
-siblings share a parent with is variable too: where a parent has more than `max_branches` distinct
-children whose labelled purity does not differ from the parent's by more than `similar`, the
-children are merged into ``*``. Templates are judged by their labelled share of good pages, smoothed
+mostly digits turn into ``*``, file endings are kept apart. Siblings, however few, whose labelled
+shares do not differ are variable too and are merged into ``*``. A child differs from its siblings
+where a two-proportion test, with one good and one bad page added on each side, exceeds `differs`
+standard errors. Children below their siblings are compared among themselves in the same way, and
+so are those above: what merges there is ``*#-``, ``*#+`` and so on. Templates are judged by their labelled share of good pages, smoothed
 towards the host's share and that towards the share of all labels; below `reject` they are blocked.
 
 Explicit rules come first: a rule names a host and a path prefix, fits that host and its subdomains,
@@ -60,12 +61,12 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> t
     return rule, verdict
 
 
-def templates(pages: DataFrame, depth: int = 6, max_branches: int = 20, similar: float = 0.1, pseudo: float = 10.0) -> DataFrame:
+def templates(pages: DataFrame, depth: int = 6, differs: float = 1.96) -> DataFrame:
     """The merged tree's leaves: (host, raw, template, n, labelled, good).
 
     `pages` has (host, segments, good), good being null without a label. Beyond `depth` segments
     a path counts by its first ones with ``**`` behind them. Level by level: children of one parent
-    template are merged when they are many and similar.
+    template are merged when they are similar.
     """
     shaped = pages.select(
         "host",
@@ -82,23 +83,14 @@ def templates(pages: DataFrame, depth: int = 6, max_branches: int = 20, similar:
         by_child = at.groupBy("host", parent.alias("parent"), child.alias("child")).agg(
             F.sum("labelled").alias("c_labelled"), F.sum("good").alias("c_good")
         )
-        by_parent = by_child.groupBy("host", "parent").agg(
-            F.count("*").alias("branches"), F.sum("c_labelled").alias("p_labelled"), F.sum("c_good").alias("p_good")
-        )
-        rate = lambda good, n, prior: (good + pseudo * prior) / (n + pseudo)
-        prior = F.when(F.col("p_labelled") > 0, F.col("p_good") / F.col("p_labelled")).otherwise(F.lit(0.5))
-        merged = (
-            by_child.join(by_parent.where(F.col("branches") > max_branches), ["host", "parent"])
-            .where(F.abs(rate(F.col("c_good"), F.col("c_labelled"), prior) - prior) <= similar)
-            .select("host", "parent", "child", F.lit(True).alias("merge"))
-        )
+        merged = _merged(by_child, differs)
         key = leaves.withColumn("parent", parent).withColumn("child", child)
         leaves = key.join(merged, ["host", "parent", "child"], "left").select(  # one row per leaf
             "host",
             "raw",
             F.when(
-                F.col("merge"),
-                F.concat(F.col("parent"), F.array(F.lit("*")), F.slice("template", level + 1, depth + 1)),
+                F.col("name").isNotNull(),
+                F.concat(F.col("parent"), F.array(F.col("name")), F.slice("template", level + 1, depth + 1)),
             ).otherwise(F.col("template")).alias("template"),
             "n",
             "labelled",
@@ -108,6 +100,32 @@ def templates(pages: DataFrame, depth: int = 6, max_branches: int = 20, similar:
     return leaves
 
 
+def _merged(by_child: DataFrame, differs: float) -> DataFrame:
+    """(host, parent, child, name) of the children that are merged under a name; `by_child` has (host, parent, child, c_labelled, c_good).
+
+    Of a group the best child never differs downwards nor the worst upwards, so groups shrink until
+    nothing differs.
+    """
+    open_, settled = kept(by_child.withColumn("part", F.lit("")), "children"), None
+    group = ["host", "parent", "part"]
+    while True:
+        pool = open_.groupBy(*group).agg(F.sum("c_labelled").alias("p_labelled"), F.sum("c_good").alias("p_good"))
+        n, m = F.col("c_labelled") + 2.0, F.col("p_labelled") - F.col("c_labelled") + 2.0
+        one, rest = (F.col("c_good") + 1.0) / n, (F.col("p_good") - F.col("c_good") + 1.0) / m
+        z = (one - rest) / F.sqrt(one * (1.0 - one) / n + rest * (1.0 - rest) / m)
+        side = F.when(z > differs, F.lit("+")).when(z < -differs, F.lit("-")).otherwise(F.lit(""))
+        now = kept(open_.join(pool, group).select(*open_.columns, side.alias("side")), "siblings")
+        alike = now.where("side = ''").drop("side")
+        settled = alike if settled is None else settled.union(alike)
+        open_ = now.where("side <> ''").withColumn("part", F.concat("part", "side")).drop("side")
+        if open_.isEmpty():
+            break
+    settled = kept(settled, "merged")
+    sizes = settled.groupBy(*group).agg(F.count("*").alias("size"))
+    name = F.when(F.col("part") == "", F.lit("*")).otherwise(F.concat(F.lit("*#"), F.col("part")))  # no segment holds a #
+    return settled.join(sizes, group).where("size > 1 or child = '*'").select("host", "parent", "child", name.alias("name"))
+
+
 def judge_urls(
     pages: DataFrame,
     labels: DataFrame,
@@ -115,8 +133,7 @@ def judge_urls(
     reject: float = 0.5,
     pseudo: float = 10.0,
     depth: int = 6,
-    max_branches: int = 20,
-    similar: float = 0.1,
+    differs: float = 1.96,
     id_col: str = "page_id",
     url_col: str = "url",
     label_id: str = "doc_id",
@@ -138,7 +155,7 @@ def judge_urls(
         .groupBy("page_id")
         .agg(F.avg("good").alias("good"))
     )
-    leaves = templates(base.join(truth, "page_id", "left"), depth, max_branches, similar, pseudo)
+    leaves = templates(base.join(truth, "page_id", "left"), depth, differs)
     by_template = leaves.groupBy("host", "template").agg(F.sum("labelled").alias("t_n"), F.sum("good").alias("t_good"))
     by_host = by_template.groupBy("host").agg(F.sum("t_n").alias("h_n"), F.sum("t_good").alias("h_good"))
     share = truth.agg(F.coalesce((F.sum("good") + 1.0) / (F.count("good") + 2.0), F.lit(0.5))).first()[0]

@@ -214,6 +214,19 @@ def test_templates_merge_similar_branches_and_reject_impure_ones(spark):
     assert got[1005].template == "/junk/*.html" and got[1005].verdict == "block"
 
 
+def test_few_similar_branches_are_merged_as_many_are(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, f"http://h.org/good/{letters[i % 3]}{letters[i // 3 % 26]}x/p") for i in range(90)] + [(100 + i, f"http://h.org/spam/{c}q") for i, c in enumerate(letters[:15])]
+    rows += [(200 + i, f"http://two.org/{'ab'[i % 2]}x/p") for i in range(40)] + [(300 + i, f"http://two.org/{'cd'[i % 2]}x/p") for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i < 100 or 200 <= i < 300)) for i, _ in rows], "doc_id long, quality int")
+    got = {r.page_id: r for r in urls.judge_urls(pages, labels, []).collect()}
+    assert {got[100 + i].verdict for i in range(15)} == {"block"} and {got[100 + i].template for i in range(15)} == {"/spam/*"}
+    assert {got[i].verdict for i in range(90)} == {"allow"}
+    assert {(got[i].template, got[i].verdict) for i in range(200, 240)} == {("/*#+/p", "allow")}
+    assert {(got[i].template, got[i].verdict) for i in range(300, 340)} == {("/*#-/p", "block")}
+
+
 # personal data
 
 
