@@ -133,15 +133,18 @@ def words_of_rows(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = ~
 SLICE = 4 << 20
 
 
-def slices(column, lower: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, last row, bytes, word starts, word ends, first word of each row) of slices of rows; `lower`: A-Z lower-cased."""
+def slices(column, lower: bool = False, letters: np.ndarray = ~_SPACE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, last row, bytes, word starts, word ends, first word of each row) of slices of rows.
+
+    `lower`: A-Z lower-cased; `letters`: bytes that words are made of.
+    """
     data, offsets = text_bytes(column)
     n, at = len(offsets) - 1, 0
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, side="right")) - 1)
         part = data[offsets[at] : offsets[to]]
         part = lowered(part) if lower else part
-        yield at, to, part, *words_of_rows(part, offsets[at : to + 1] - offsets[at])
+        yield at, to, part, *words_of_rows(part, offsets[at : to + 1] - offsets[at], letters)
         at = to
 
 

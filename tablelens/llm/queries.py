@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.llm import debruijn, decontaminate, katz, packing, pii, quality, simhash, topk, toxicity, urls
+from tablelens.llm import debruijn, decontaminate, katz, lexical, merkle, packing, pieces, pii, quality, simhash, topk, toxicity, urls
 from tablelens.llm.common import crc_remainder
 
 #: Stands for the secret that a real run is given.
@@ -95,6 +95,29 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.without_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of ids and decoded texts; `agrees`: the library encodes the text alike."""
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return pieces.decode(coded, model).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        "agrees",
+    )
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"])
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query functions by name."""
     return {
@@ -108,4 +131,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_katz_backoff": op8,
         "op9_threshold_top_k": op9,
         "op10_debruijn_dedup": op10,
+        "op11_piece_agenda": op11,
+        "op12_limited_accumulators": op12,
+        "op13_butterfly_manifest": op13,
     }

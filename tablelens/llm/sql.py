@@ -35,6 +35,36 @@ from d left join lists using (doc_id)
 """
 
 
+OP12 = """
+with terms as (
+  select doc_id, row_number() over () as d, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w
+  from documents
+),
+totals as (select count(*) as c_docs, cast(sum(len(w)) as bigint) as c_terms from terms where len(w) > 0),
+sizes as (select d, doc_id, 75 + (25 * len(w) * c_docs) // c_terms as m from terms, totals where len(w) > 0),
+tf as (select d, t, count(*) as tf from (select d, unnest(w) as t from terms) group by d, t),
+weights as (
+  select t, cast(floor(1000 * ln((2 * cast(c_docs as double) + 2) / (2 * count(*) + 1))) as bigint) as w from tf, totals group by t, c_docs
+),
+asked as (
+  select i, item_id, t, count(*) as q
+  from (select i, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t
+        from (select *, row_number() over () as i from benchmark))
+  group by i, item_id, t
+),
+scores as (
+  select i, item_id, d, doc_id, cast(sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) as bigint) as score
+  from asked join weights using (t) join tf using (t) join sizes using (d)
+  group by i, item_id, d, doc_id
+)
+select item_id, cast(rank as int) as rank, doc_id, score
+from (select *, row_number() over (partition by i order by score desc, doc_id) as rank from scores where score > 0)
+where rank <= 20
+"""
+
+
 def statements() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    return {"op9_threshold_top_k": OP9, "op10_debruijn_dedup": OP10}
+    return {"op9_threshold_top_k": OP9, "op10_debruijn_dedup": OP10, "op12_limited_accumulators": OP12}
