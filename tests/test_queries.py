@@ -1,4 +1,4 @@
-"""Every registered query against its SQL on the smallest tables."""
+"""Every query of the library against its SQL on the smallest tables."""
 
 import math
 import os
@@ -7,9 +7,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tablelens.plans import oracles
+from tablelens.plans import queries as registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = registry.registered(), oracles.statements()
 
 
 @pytest.fixture(scope="module")
@@ -28,6 +30,8 @@ def plain(v):
 
 def test_names():
     assert set(SQL) == set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(SQL) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
