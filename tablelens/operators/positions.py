@@ -3,6 +3,10 @@
 A DataFrame has no order of its own, so every operator takes `order_by`, a list of
 columns that together are unique. Without it, rows count in file order: files by path,
 rows as they stand in the file; this needs a frame that comes straight from a file scan.
+
+Positions by key come from a stored index: the table written once in key order, cut into ranges, with
+the number of rows in each. Lookups open only the files of the ranges they touch. `build_index` makes an
+index that can be used again and opened by later sessions; the other operators make their own.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from bisect import bisect_right
 from dataclasses import dataclass
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tablelens.functions.columns import (
     free_name,
@@ -21,16 +25,16 @@ from tablelens.functions.columns import (
     select_columns,
     truncate_cells,
 )
-from tablelens.functions.numbers import clock_micros
 from tablelens.functions.words import wrap_lines
-from tablelens.session import BROADCAST_BLOCKS, BROADCAST_ROWS
+from tablelens.session import BROADCAST_BLOCKS, BROADCAST_ROWS, scratch_dir
 from tablelens.sources.formats import block_bound
 
-ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 16_384
-KEYS_PER_BUCKET = 20
-# Up to this many files are picked by name when only their rows are wanted.
-MAX_FILES = 1000
+#: Rows of one range of a stored index, if the table has more than a core's share of them.
+ROWS_PER_RANGE = 2_000_000
+#: Fewer rows than this are not spread over more ranges.
+LEAST_ROWS = 10_000
+#: Up to this many first or last rows are picked by top-n selection, more by a stored index; the rows are the same.
+TOP_N = 100_000
 
 
 # --- row specs -----------------------------------------------------------
@@ -116,159 +120,131 @@ def _file_positions(df: DataFrame, name: str, files: DataFrame | None = None) ->
 def _positions_of(df: DataFrame, wanted: range | list[int], name: str) -> DataFrame | None:
     """Rows with positions from the files that hold a wanted position; None if none does.
 
-    Counting rows per file needs no columns; after that only the files that matter are
-    read, unless there are very many of them.
+    Counting rows per file needs no columns; after that only the files that matter are read. The driver
+    gets one row per file, as it does when it lists them.
     """
-    counted = df.groupBy(F.col("_metadata.file_path").alias("__file")).agg(F.count(F.lit(1)).alias("__n"))
-    start, end = F.col("__ahead"), F.col("__ahead") + F.col("__n")
-    if isinstance(wanted, range):
-        hit = (start <= wanted[-1]) & (end > wanted.start)
+    counted = df.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    files = sorted((r.file, r.n) for r in counted.collect())
+    starts = [0, *accumulate(n for _, n in files)]
+    path = F.col("_metadata.file_path")
+    if isinstance(wanted, range):  # neighbours: two bounds name them
+        if wanted.start >= starts[-1]:
+            return None
+        first, last = (bisect_right(starts, p) - 1 for p in (wanted.start, min(wanted[-1], starts[-1] - 1)))
+        hit, chosen = range(first, last + 1), path.between(files[first][0], files[last][0])
     else:
-        asked = F.from_json(F.lit(json.dumps(wanted)), "array<bigint>", {"mode": "FAILFAST"})
-        hit = F.exists(asked, lambda p: (start <= p) & (end > p))
-    found = _rows_ahead(counted).where(hit).take(MAX_FILES + 1)
-    if not found:
-        return None
-    if len(found) > MAX_FILES:
-        return _file_positions(df, name)
-    files = df.sparkSession.createDataFrame(found, "__file string, __ahead bigint, __n bigint")
-    return _file_positions(df.where(F.col("_metadata.file_path").isin([f[0] for f in found])), name, files)
+        hit = sorted({bisect_right(starts, p) - 1 for p in wanted if p < starts[-1]})
+        if not hit:
+            return None
+        chosen = path.isin([files[i][0] for i in hit])
+    known = df.sparkSession.createDataFrame([(files[i][0], starts[i]) for i in hit], "__file string, __ahead bigint")
+    return _file_positions(df.where(chosen), name, known)
 
 
-def _sort_key(df: DataFrame, name: str) -> Column:
-    """A key column in a form whose Python value goes back and forth unchanged."""
-    t = df.schema[name].dataType
-    if isinstance(t, T.TimestampType):
-        return F.unix_micros(quoted(name))
-    if isinstance(t, T.TimestampNTZType):
-        return clock_micros(quoted(name))
-    return quoted(name)
+_ROW_IN_RANGE = (1 << 33) - 1  # the part of a monotonically increasing id that counts within a task
 
 
 @dataclass
-class _Buckets:
-    """A table cut by key into ordered buckets of known size."""
+class PositionIndex:
+    """A table in key order below a folder: one folder per range of keys, `starts` rows ahead of each.
 
-    df: DataFrame
-    order_by: list[str]
-    splits: list[tuple]
-    starts: list[int]  # rows ahead of each bucket, and the total at the end
+    Columns are stored under numbers, with their names as metadata, so any names do.
+    """
+
+    spark: SparkSession
+    path: str
+    schema: T.StructType  # as stored
+    starts: list[int]  # rows ahead of each range, and the total at the end
 
     @property
     def total(self) -> int:
         return self.starts[-1]
 
-    def bucket_of(self, position: int) -> int:
-        return min(bisect_right(self.starts, position), len(self.starts) - 1) - 1
-
-    def size(self, first: int, last: int) -> int:
-        return self.starts[last + 1] - self.starts[first]
-
-    def largest(self, first: int, last: int) -> int:
-        return max(self.size(b, b) for b in range(first, last + 1))
-
-    def keep(self, first: int, last: int) -> DataFrame:
-        """Rows of buckets first..last.
-
-        The bounds of the whole key cut exactly; those of the leading column are plain
-        comparisons that reach the file scan as well.
-        """
-        df, rows, splits = self.df, self.df, self.splits
-        lead = self.order_by[0]
-        key = _key(df, self.order_by)
-        if first > 0:
-            low = splits[first - 1]
-            if _comparable(df, lead, low[0]):
-                rows = rows.where(quoted(lead) >= F.lit(low[0]))
-            rows = rows.where(key >= F.get(_split_table(df, self.order_by, [low]), F.lit(0)))
-        if last < len(splits):
-            high = splits[last]
-            if _comparable(df, lead, high[0]):
-                bound = quoted(lead) <= F.lit(high[0])
-                rows = rows.where(bound if first > 0 else bound | quoted(lead).isNull())
-            rows = rows.where(key < F.get(_split_table(df, self.order_by, [high]), F.lit(0)))
-        return rows
-
-    def positioned(self, first: int, last: int, name: str, among: list[int] | None = None) -> DataFrame:
-        """Rows of buckets first..last, or those `among` them, with positions; no others are shuffled."""
-        rows = self.keep(first, last).withColumn("__bucket", _bucket(self.df, self.order_by, self.splits[first:last]))
-        if among is not None:
-            rows = rows.where(F.col("__bucket").isin([b - first for b in among]))
-        starts = F.from_json(F.lit(json.dumps(self.starts[first : last + 1])), "array<bigint>", {"mode": "FAILFAST"})
-        ahead = F.get(starts, F.col("__bucket"))
-        ordered = Window.partitionBy("__bucket").orderBy(*[quoted(k) for k in self.order_by])
-        position = ahead + F.row_number().over(ordered) - 1
-        return rows.select(position.alias(name), *[quoted(c) for c in self.df.columns])
-
-
-def _comparable(df: DataFrame, name: str, value) -> bool:
-    """Can a split value be compared as a literal that a file scan understands?"""
-    plain = (T.IntegralType, T.StringType, T.DateType, T.DecimalType)
-    return value is not None and isinstance(df.schema[name].dataType, plain)
-
-
-def _key(df: DataFrame, order_by: list[str]) -> Column:
-    return F.struct(*[_sort_key(df, k).alias(f"k{i}") for i, k in enumerate(order_by)])
-
-
-def _split_table(df: DataFrame, order_by: list[str], splits: list[tuple]) -> Column:
-    """Split keys as one array literal; thousands of single literals would take long to send over."""
-    key_type = df.select(_key(df, order_by).alias("k")).schema["k"].dataType
-    rows = [dict(zip(key_type.names, split)) for split in splits]
-    return F.from_json(F.lit(json.dumps(rows, default=str)), T.ArrayType(key_type), {"mode": "FAILFAST"})
-
-
-def _bucket(df: DataFrame, order_by: list[str], splits: list[tuple]) -> Column:
-    """Which bucket a row belongs to: the number of splits at or below its key.
-
-    A binary search over the splits, written as a fold over its step sizes.
+    def range_of(self, position: int) -> int:
+        return bisect_right(self.starts, position) - 1
+
+    def _rows(self, name: str, chosen: Column | None = None) -> DataFrame:
+        """The rows of the chosen ranges (a condition on `part` that prunes folders) with their positions."""
+        df = self.spark.read.schema(self.schema).parquet(self.path)
+        if chosen is not None:
+            df = df.where(chosen)
+        ahead = F.get(F.from_json(F.lit(json.dumps(self.starts)), "array<bigint>", {"mode": "FAILFAST"}), F.col("part"))
+        fields = [f for f in self.schema if "name" in f.metadata]
+        back = [(F.lit(None) if f.metadata["void"] else F.col(f.name)).alias(f.metadata["name"]) for f in fields]
+        return df.select((ahead + F.col("at")).alias(name), *back)
+
+    def all(self, name: str = "Row") -> DataFrame:
+        """Every row with its position."""
+        return self._rows(name)
+
+    def between(self, start: int, end: int, name: str = "Row") -> DataFrame:
+        """Rows start..end, the end cut to the last row."""
+        if start >= self.total:
+            raise ValueError(f"start row {start} is out of range, there are {self.total} rows")
+        first, last = self.range_of(start), self.range_of(min(end, self.total - 1))
+        return self._rows(name, F.col("part").between(first, last)).where(quoted(name).between(start, end))
+
+    def at(self, wanted: list[int], name: str = "Row") -> DataFrame:
+        """The ranges that hold a wanted row; those beyond the last row are in none."""
+        hit = sorted({self.range_of(p) for p in wanted if p < self.total})
+        return self._rows(name, F.col("part").isin(hit) if hit else F.lit(False))
+
+    def ordered(self, start: int, end: int) -> DataFrame:
+        """Rows start..end in order, without their positions."""
+        names = [f.metadata["name"] for f in self.schema if "name" in f.metadata]
+        name = free_name("Row", names)
+        if not 0 <= start <= min(end, self.total - 1):
+            return self._rows(name, F.lit(False)).drop(name)
+        return self.between(start, end, name).orderBy(quoted(name)).drop(name)
+
+
+def build_index(
+    df: DataFrame, order_by: list[str], path: str | None = None, rows_per_range: int = ROWS_PER_RANGE
+) -> PositionIndex:
+    """Write `df` in key order below `path` (the session's scratch folder if None).
+
+    Ranges are whole keys and then the place in the input, so a key that a third of the rows share is cut
+    up as well. Rows of equal keys keep no particular order among each other.
     """
-    if not splits:
-        return F.lit(0)
-    key, table = _key(df, order_by), _split_table(df, order_by, splits)
-    n = len(splits)
-    steps = [1 << i for i in reversed(range(n.bit_length()))]
+    spark = df.sparkSession
+    path = path or scratch_dir(spark, "positions")
+    total = df.count()
+    cores = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(1, -(-total // rows_per_range), min(cores, total // LEAST_ROWS))
+    stored = [
+        (F.lit(None).cast("boolean") if isinstance(f.dataType, T.NullType) else quoted(f.name)).alias(
+            f"c{i}", metadata={"name": f.name, "void": isinstance(f.dataType, T.NullType)}
+        )
+        for i, f in enumerate(df.schema)
+    ]
+    by = [F.col(f"c{df.columns.index(k)}") for k in order_by]
+    dealt = df.select(*stored, F.monotonically_increasing_id().alias("mid")).repartitionByRange(ranges, *by, "mid")
+    # Sorted by folder first, so that the writer has nothing left to sort.
+    placed = dealt.withColumn("part", F.spark_partition_id()).sortWithinPartitions("part", *by, "mid").drop("mid")
+    placed = placed.withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_IN_RANGE)))
+    placed.write.partitionBy("part").parquet(path)
+    schema = T.StructType([*[f for f in placed.schema if f.name != "part"], T.StructField("part", T.IntegerType())])
+    return _opened(spark, path, schema)
 
-    def step(low: Column, size: Column) -> Column:
-        fits = low + size <= n
-        return F.when(fits & (F.element_at(table, F.least(low + size, F.lit(n))) <= key), low + size).otherwise(low)
 
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step)
+def open_index(spark: SparkSession, path: str) -> PositionIndex:
+    """An index that `build_index` wrote."""
+    found = spark.read.option("mergeSchema", "false").parquet(path).schema
+    fields = [f for f in found if f.name != "part"]
+    return _opened(spark, path, T.StructType([*fields, T.StructField("part", T.IntegerType())]))
 
 
-def _cut(df: DataFrame, order_by: list[str], rows_per_bucket: int) -> _Buckets:
-    """Choose splits from a sample of the keys and count the buckets.
-
-    Both jobs read the key columns only. The driver gets a bounded sample and one count
-    per bucket. Splits are whole keys, so a leading key shared by a third of all rows is
-    spread over many buckets.
-    """
-    total = df.count()
-    wanted = min(MAX_BUCKETS, -(-total // rows_per_bucket))
-    splits: list[tuple] = []
-    if wanted > 1:
-        keys = df.select(*[_sort_key(df, k).alias(f"k{i}") for i, k in enumerate(order_by)])
-        share = min(1.0, wanted * KEYS_PER_BUCKET / total)
-        drawn = keys.sample(share, seed=7) if share < 1.0 else keys
-        # Sorted by Spark, so nulls and ties stand as the window will put them.
-        sampled = [tuple(r) for r in drawn.orderBy(*drawn.columns).collect()]
-        at = sorted({i * len(sampled) // wanted for i in range(1, wanted)})
-        splits = list(dict.fromkeys(sampled[i] for i in at if i < len(sampled)))
-    sizes = [0] * (len(splits) + 1)
-    if splits:
-        counted = df.select(_bucket(df, order_by, splits).alias("b")).groupBy("b").count()
-        for row in counted.collect():  # one row per bucket
-            sizes[row.b] = row["count"]
-    else:
-        sizes[0] = total
-    return _Buckets(df, order_by, splits, [0, *accumulate(sizes)])
+def _opened(spark: SparkSession, path: str, schema: T.StructType) -> PositionIndex:
+    sizes = spark.read.schema(schema).parquet(path).groupBy("part").count().collect()  # one row per range
+    rows = {r.part: r["count"] for r in sizes}
+    return PositionIndex(spark, path, schema, [0, *accumulate(rows.get(i, 0) for i in range(max(rows, default=-1) + 1))])
 
 
 def with_position(
     df: DataFrame,
     order_by: list[str] | None = None,
     name: str = "Row",
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Put the 0-based row position in front of every row.
 
@@ -277,8 +253,7 @@ def with_position(
     name = free_name(name, df.columns)
     if order_by is None:
         return _file_positions(df, name)
-    cut = _cut(df, order_by, rows_per_bucket)
-    return cut.positioned(0, len(cut.splits), name)
+    return build_index(df, order_by, rows_per_range=rows_per_range).all(name)
 
 
 # --- first and last rows -------------------------------------------------
@@ -287,15 +262,29 @@ def with_position(
 def head(df: DataFrame, n: int = 5, order_by: list[str] | None = None) -> DataFrame:
     """The first n rows, in order, for any n; all rows when there are no more than n."""
     if order_by is None:
-        return _edge_files(df, n, last=False).orderBy(*_file_order()).limit(n)
+        first = _edge_files(df, n, last=False)
+        if n <= TOP_N:
+            return first.orderBy(*_file_order()).limit(n)
+        name = free_name("Row", df.columns)
+        found = _file_positions(first, name)
+        return found.where(quoted(name) < n).orderBy(quoted(name)).drop(name)
+    if n > TOP_N:
+        return build_index(df, order_by).ordered(0, n - 1)
     return df.orderBy(*[quoted(k) for k in order_by]).limit(n)
 
 
 def tail(df: DataFrame, n: int = 5, order_by: list[str] | None = None) -> DataFrame:
     """The last n rows, in order; all rows when there are no more than n."""
     if order_by is not None:
+        if n > TOP_N:
+            index = build_index(df, order_by)
+            return index.ordered(max(0, index.total - n), index.total - 1)
         keys = [quoted(k) for k in order_by]
         return df.orderBy(*[k.desc() for k in keys]).limit(n).orderBy(*keys)
+    if n > TOP_N:
+        name = free_name("Row", df.columns)
+        found = _file_positions(df, name)
+        return found.where(quoted(name) >= df.count() - n).orderBy(quoted(name)).drop(name)
     keys = [f"__k{i}" for i in range(3)]
     keyed = _edge_files(df, n, last=True).select(
         *[k.alias(a) for k, a in zip(_file_order(), keys)], *[quoted(c) for c in df.columns]
@@ -327,28 +316,16 @@ def rows_between(
     end: int,
     order_by: list[str] | None = None,
     name: str = "Row",
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Rows start..end (inclusive, end cut to the last row) with their position in front."""
     name = free_name(name, df.columns)
-    if order_by is None:
-        found = _positions_of(df, range(start, end + 1), name)
-        if found is None:
-            raise ValueError(f"start row {start} is out of range")
-        return found.where(F.col(name).between(start, end))
-    cut = _cut(df, order_by, rows_per_bucket)
-    if start >= cut.total:
-        raise ValueError(f"start row {start} is out of range, there are {cut.total} rows")
-    end, ahead = min(end, cut.total - 1), 0
-    first, last = cut.bucket_of(start), cut.bucket_of(end)
-    # Buckets of a huge table are large; a range in few of them is worth cutting again.
-    while cut.largest(first, last) > 2 * rows_per_bucket and cut.size(first, last) <= cut.total // 2:
-        skipped = cut.starts[first]
-        cut = _cut(cut.keep(first, last), order_by, rows_per_bucket)
-        start, end, ahead = start - skipped, end - skipped, ahead + skipped
-        first, last = cut.bucket_of(start), cut.bucket_of(end)
-    rows = cut.positioned(first, last, name).where(F.col(name).between(start, end))
-    return rows.withColumn(name, F.col(name) + ahead) if ahead else rows
+    if order_by is not None:
+        return build_index(df, order_by, rows_per_range=rows_per_range).between(start, end, name)
+    found = _positions_of(df, range(start, end + 1), name)
+    if found is None:
+        raise ValueError(f"start row {start} is out of range")
+    return found.where(quoted(name).between(start, end))
 
 
 def rows_at(
@@ -356,7 +333,7 @@ def rows_at(
     wanted: list[int],
     order_by: list[str] | None = None,
     name: str = "Row",
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """The wanted rows in the order asked for, repeats repeated; `ord` gives that order.
 
@@ -364,21 +341,16 @@ def rows_at(
     """
     spark = df.sparkSession
     name, order = free_name(name, df.columns), free_name("ord", df.columns)
-    asked = spark.createDataFrame(list(enumerate(wanted)), f"{order} bigint, {name} bigint")
-    if order_by is None:
+    asked = spark.createDataFrame(list(enumerate(wanted)), T.StructType([T.StructField(c, T.LongType()) for c in (order, name)]))
+    if order_by is not None:
+        rows = build_index(df, order_by, rows_per_range=rows_per_range).at(wanted, name)
+    else:
         rows = _positions_of(df, wanted, name)
         if rows is None:
             rows = df.select(F.lit(0).cast("bigint").alias(name), *[quoted(c) for c in df.columns]).where(F.lit(False))
-    else:
-        cut = _cut(df, order_by, rows_per_bucket)
-        hit = sorted({cut.bucket_of(p) for p in wanted if p < cut.total})
-        if not hit:
-            rows = cut.positioned(0, 0, name).where(F.lit(False))
-        else:
-            rows = cut.positioned(hit[0], hit[-1], name, among=hit)
     if len(wanted) <= BROADCAST_ROWS:
         asked = F.broadcast(asked)
-    return rows.join(asked, name).select(order, *[quoted(c) for c in rows.columns]).orderBy(order)
+    return rows.join(asked, name).select(quoted(order), *[quoted(c) for c in rows.columns]).orderBy(quoted(order))
 
 
 def missing_rows(df: DataFrame, wanted: list[int], name: str = "Row") -> DataFrame:
@@ -455,9 +427,14 @@ def missing_lines(lines: DataFrame, spec: str) -> DataFrame:
 
 
 def rows_of_lines(lines: DataFrame, spec: str, width: int = 0) -> DataFrame:
-    """Lines of every file by a row spec; lines a file does not have are left out, see `missing_lines`."""
+    """Lines of every file by a row spec; lines a file does not have are left out, see `missing_lines`.
+
+    A range that begins behind the last line of every file is an error.
+    """
     chosen = parse_rows(spec)
     if isinstance(chosen, range):
+        if lines.where(F.col("line_no") >= chosen.start).isEmpty():
+            raise ValueError(f"start line {chosen.start} is out of range")
         found = lines.where(F.col("line_no").between(chosen.start, chosen[-1]))
     else:
         asked = lines.sparkSession.createDataFrame(list(enumerate(chosen)), "ord bigint, line_no bigint")

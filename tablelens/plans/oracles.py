@@ -327,6 +327,13 @@ def statements() -> dict[str, str]:
         where "Row" between 500 and 1000"""
     sql["rows_specific"] = f"""select ord, r.* from {numbered('o_orderkey, o_totalprice, o_orderpriority', 'orders', 'o_orderkey')} r
         join (values (0::bigint, 1400), (1, 3), (2, 3), (3, 750)) as w(ord, p) on r."Row" = w.p"""
+    line_keys = "l_orderkey, l_linenumber, l_partkey, l_extendedprice"
+    down = ", ".join(f"{k} desc" for k in line_keys.split(", "))
+    sql["head_many"] = f"select {line_keys} from lineitem order by {line_keys} limit 150000"
+    sql["tail_many"] = f"select {line_keys} from lineitem order by {down} limit 150000"
+    sql["rows_many"] = f"""select * from {numbered(line_keys, 'lineitem', line_keys)} where "Row" between 1000 and 190000"""
+    sql["lines_missing"] = f"""select file, p as line_no, lines from (select file, count(*) as lines from {LINES} group by file),
+        (values (0::bigint), (3), (20)) as w(p) where p >= lines"""
     sql["rows_missing"] = """select p as "Row", total from (values (3::bigint), (1000000000000)) as w(p),
         (select count(*) as total from orders) where p >= total"""
     sql["rows_rendered"] = f"""select ord, "Row", cast(p_partkey as varchar) as p_partkey, {cut_cell('p_name')} as p_name,

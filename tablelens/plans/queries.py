@@ -231,7 +231,7 @@ def tail_file_order(spark, sf):
 def row_positions(spark, sf):
     """Positions by (status, key): a leading key that few values share."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
-    return positions.with_position(o, ["o_orderstatus", "o_orderkey"], rows_per_bucket=2000)
+    return positions.with_position(o, ["o_orderstatus", "o_orderkey"])
 
 
 def row_positions_file(spark, sf):
@@ -240,17 +240,33 @@ def row_positions_file(spark, sf):
 
 def rows_range(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    return positions.rows_between(o, 700, 1200, ["o_orderkey"], rows_per_bucket=2000)
+    return positions.rows_between(o, 700, 1200, ["o_orderkey"])
 
 
 def rows_range_by_price(spark, sf):
     o = table(spark, sf, "orders").select("o_totalprice", "o_orderkey")
-    return positions.rows_between(o, 500, 1000, ["o_totalprice", "o_orderkey"], rows_per_bucket=1000)
+    return positions.rows_between(o, 500, 1000, ["o_totalprice", "o_orderkey"])
 
 
 def rows_specific(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
-    return positions.rows_at(o, [1400, 3, 3, 750, 10**12], ["o_orderkey"], rows_per_bucket=2000)
+    return positions.rows_at(o, [1400, 3, 3, 750, 10**12], ["o_orderkey"])
+
+
+LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+
+
+def head_many(spark, sf):
+    """More rows than top-n selection takes: from a stored index."""
+    return positions.head(table(spark, sf, "lineitem").select(*LINE_KEYS), 150_000, LINE_KEYS)
+
+
+def tail_many(spark, sf):
+    return positions.tail(table(spark, sf, "lineitem").select(*LINE_KEYS), 150_000, LINE_KEYS)
+
+
+def rows_many(spark, sf):
+    return positions.rows_between(table(spark, sf, "lineitem").select(*LINE_KEYS), 1_000, 190_000, LINE_KEYS)
 
 
 def rows_missing(spark, sf):
@@ -286,6 +302,11 @@ def rows_of_lines(spark, sf):
     return positions.rows_of_lines(document_lines(spark, sf), "3,1,1")
 
 
+def lines_missing(spark, sf):
+    """Lines that short documents do not have."""
+    return positions.missing_lines(document_lines(spark, sf), "0,3,3,20")
+
+
 def rows_of_lines_wrapped(spark, sf):
     return positions.rows_of_lines(document_lines(spark, sf), "0:1", WIDTH)
 
@@ -671,6 +692,7 @@ QUERIES: list[Query] = [
     truncate_cells, render_tsv, render_numbers,
     head_orders, head_file_order, tail_orders, tail_file_order, row_positions, row_positions_file,
     rows_range, rows_range_by_price, rows_specific, rows_missing, rows_rendered,
+    head_many, tail_many, rows_many, lines_missing,
     segment_lines, head_lines, tail_lines, rows_of_lines, rows_of_lines_wrapped, line_counts,
     word_counts, word_counts_nopunct, mixed_script, paragraph_counts, paragraph_table, soft_lines,
     wrapped_lines, wrapped_chars, text_profile, text_summary, text_profile_lines,

@@ -62,10 +62,10 @@ def in_order(rows):
 
 def test_positions_with_a_hot_key(hot):
     rows, df = hot
-    got = R.with_position(df, ["k", "id"], rows_per_bucket=100).collect()
+    got = R.with_position(df, ["k", "id"], rows_per_range=100).collect()
     assert sorted((r.Row, r.id) for r in got) == [(i, r[1]) for i, r in enumerate(in_order(rows))]
-    cut = R._cut(df, ["k", "id"], 100)
-    sizes = [b - a for a, b in zip(cut.starts, cut.starts[1:])]
+    index = R.build_index(df, ["k", "id"], rows_per_range=100)
+    sizes = [b - a for a, b in zip(index.starts, index.starts[1:])]
     assert len(sizes) > 15 and max(sizes) < 600  # the hot key alone has about 1000 rows
 
 
@@ -73,7 +73,7 @@ def test_positions_with_a_hot_key(hot):
 def test_ranges(hot, start, end):
     rows, df = hot
     want = [(i, r[1]) for i, r in enumerate(in_order(rows))][start : end + 1]
-    got = R.rows_between(df, start, end, ["k", "id"], rows_per_bucket=150).collect()
+    got = R.rows_between(df, start, end, ["k", "id"], rows_per_range=150).collect()
     assert sorted((r.Row, r.id) for r in got) == want
 
 
@@ -82,23 +82,51 @@ def test_ranges_by_other_keys(hot, keys):
     rows, df = hot
     at = {"id": 1, "v": 2}
     want = sorted(rows, key=lambda r: [r[at[k]] for k in keys])[700:900]
-    got = R.rows_between(df, 700, 899, keys, rows_per_bucket=100)
+    got = R.rows_between(df, 700, 899, keys, rows_per_range=100)
     assert sorted((r.Row, r.id) for r in got.collect()) == [(700 + i, r[1]) for i, r in enumerate(want)]
 
 
 def test_ranges_by_time(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet").select("ts", "event_id")
     want = [r.event_id for r in e.orderBy("ts", "event_id").collect()][300:500]
-    got = R.rows_between(e, 300, 499, ["ts", "event_id"], rows_per_bucket=64).orderBy("Row").collect()
+    got = R.rows_between(e, 300, 499, ["ts", "event_id"], rows_per_range=64).orderBy("Row").collect()
     assert [r.event_id for r in got] == want
 
 
-def test_ranges_in_large_buckets_are_cut_again(hot, monkeypatch):
+def test_equal_keys_are_cut_up_too(spark):
+    df = spark.range(0, 3000, 1, 4).select(F.lit("same").alias("k"), "id")
+    index = R.build_index(df, ["k"], rows_per_range=200)
+    assert len(index.starts) > 10 and max(b - a for a, b in zip(index.starts, index.starts[1:])) < 900
+    got = index.all().collect()
+    assert sorted(r.Row for r in got) == list(range(3000)) and len({r.id for r in got}) == 3000
+
+
+def test_an_index_is_used_again(spark, hot, tmp_path):
     rows, df = hot
-    monkeypatch.setattr(R, "MAX_BUCKETS", 4)
-    want = [(i, r[1]) for i, r in enumerate(in_order(rows))][1200:1211]
-    got = R.rows_between(df, 1200, 1210, ["k", "id"], rows_per_bucket=20).collect()
-    assert sorted((r.Row, r.id) for r in got) == want
+    odd = df.toDF("k", "id", "a.b, c").selectExpr("*", "null as nothing", "7 as Row")
+    R.build_index(odd, ["k", "id"], str(tmp_path / "index"), rows_per_range=300)
+    index = R.open_index(spark, str(tmp_path / "index"))
+    want = in_order(rows)
+    assert index.total == 3000
+    got = index.between(1000, 1010, "Row_")
+    assert got.columns == ["Row_", "k", "id", "a.b, c", "nothing", "Row"]
+    assert sorted((r.Row_, r.id) for r in got.collect()) == [(i, want[i][1]) for i in range(1000, 1011)]
+    assert files_read(index.between(1000, 1010, "Row_"))[0] in (1, 2)
+    assert [r.id for r in index.ordered(2990, 2999).collect()] == [r[1] for r in want[2990:]]
+    assert index.ordered(5, 4).collect() == []
+
+
+def test_many_first_and_last_rows(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(R, "TOP_N", 10)
+    df = spark.range(0, 1000, 1, 4).select((F.col("id") * 7 % 1000).alias("x"))
+    assert [r.x for r in R.head(df, 600, ["x"]).collect()] == list(range(600))
+    assert [r.x for r in R.tail(df, 600, ["x"]).collect()] == list(range(400, 1000))
+    path = str(tmp_path / "f")
+    df.repartitionByRange(4, "x").sortWithinPartitions("x").write.parquet(path)
+    back = spark.read.parquet(path)
+    assert [r.x for r in R.head(back, 600).collect()] == list(range(600))
+    assert [r.x for r in R.tail(back, 600).collect()] == list(range(400, 1000))
+    assert [r.x for r in R.tail(back, 5000).collect()] == list(range(1000))
 
 
 def test_range_beyond_the_end(people):
@@ -106,11 +134,12 @@ def test_range_beyond_the_end(people):
         R.rows_between(people, 5, 9, ["name"])
 
 
-def test_a_range_reads_its_own_keys_only(spark, sf):
+def test_a_range_opens_its_own_ranges_only(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey")
-    plan = plan_of(R.rows_between(o, 300, 900, ["o_orderkey"], rows_per_bucket=100))
-    assert "GreaterThanOrEqual(o_orderkey" in plan and "LessThanOrEqual(o_orderkey" in plan
-    assert "SinglePartition" not in plan
+    index = R.build_index(o, ["o_orderkey"], rows_per_range=100)
+    got = index.between(index.starts[3], index.starts[5] - 1)
+    assert files_read(got) == [2] and "SinglePartition" not in plan_of(got)
+    assert files_read(index.at([index.starts[2], index.starts[9], 10**9])) == [2]
 
 
 def test_chosen_rows(people):
@@ -147,14 +176,13 @@ def test_file_order(spark, tmp_path):
             R.rows_between(back, 1000, 1001)
 
 
-def test_a_range_opens_its_own_files_only(spark, tmp_path, monkeypatch):
+def test_a_range_opens_its_own_files_only(spark, tmp_path):
     path = str(tmp_path / "many")
     spark.range(0, 1000, 1, 1).repartitionByRange(5, "id").sortWithinPartitions("id").write.parquet(path)
     df = spark.read.parquet(path)
     got = R.rows_between(df, 500, 505)
     assert sorted((r.Row, r.id) for r in got.collect()) == [(i, i) for i in range(500, 506)]
     assert "file_path" in plan_of(got)
-    monkeypatch.setattr(R, "MAX_FILES", 1)
     assert sorted(r.id for r in R.rows_between(df, 100, 900).collect()) == list(range(100, 901))
 
 
@@ -204,6 +232,8 @@ def test_rows_of_lines(spark):
     six = lines(spark, [[f"L{i}" for i in range(6)]])
     assert [r.line for r in R.rows_of_lines(six, "5,1,3").orderBy("ord").collect()] == ["L5", "L1", "L3"]
     assert [r.line for r in R.rows_of_lines(six, "1:3").orderBy("line_no").collect()] == ["L1", "L2", "L3"]
+    with pytest.raises(ValueError):
+        R.rows_of_lines(six, "6:9")
     long = lines(spark, [["Hello world this is a test"]])
     assert R.rows_of_lines(long, "0", 20).first().line == "Hello world this is\na test"
 
@@ -214,7 +244,7 @@ def test_clock_times_do_not_depend_on_the_time_zone(spark):
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:
         df = spark.sql("select timestamp_ntz'2024-11-03 00:00:00' + make_dt_interval(0, 0, 0, id * 7.3) as t, id from range(0, 2000)")
-        got = R.with_position(df.repartition(3), ["t"], rows_per_bucket=50).collect()
+        got = R.with_position(df.repartition(3), ["t"], rows_per_range=50).collect()
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert sorted((r.Row, r.id) for r in got) == [(i, i) for i in range(2000)]
