@@ -138,6 +138,13 @@ def row_fields(df: DataFrame, n: int = 20, order_by: list[str] | None = None) ->
     )
 
 
+def record_fields(records: DataFrame, n: int = 20) -> DataFrame:
+    """(file, record, fields, words) of the first n records of each file, each with its own number of fields; see `read_ragged`."""
+    words = F.aggregate(F.transform("fields", lambda c: F.array_size(split_words(c))), F.lit(0), lambda a, x: a + x)
+    first = records.where(F.col("record") < n)
+    return first.select("file", "record", F.array_size("fields").cast("bigint").alias("fields"), words.cast("bigint").alias("words"))
+
+
 def with_rank(few: DataFrame, order_by: list[str] | None) -> DataFrame:
     """Number the rows of a frame that a limit has already cut to a handful."""
     from pyspark.sql import Window

@@ -415,6 +415,9 @@ def statements() -> dict[str, str]:
     sql["roundtrip_forced_csv"] = "select * replace (cast(s_nationkey as bigint) as s_nationkey) from supplier"
     sql["roundtrip_headerless"] = """select cast(n_nationkey as varchar) as column_0, n_name as column_1,
         cast(n_regionkey as varchar) as column_2 from nation"""
+    sql["roundtrip_multiline"] = """select doc_id, '5" pipe' as size, coalesce(text, '') as text, '6"' as width from documents"""
+    sql["record_fields"] = r"""select row_number() over (order by p_partkey) - 1 as record, 2 + p_partkey % 3 as fields,
+        1 + len(regexp_extract_all(p_name, '\S+')) + p_partkey % 3 as words from part order by p_partkey limit 20"""
     sql["roundtrip_ragged"] = """select p_partkey, p_name || ', "q"' as name, 2 + p_partkey % 3 as n from part"""
     records = "(select cast(c_custkey as varchar) as c_custkey, c_name, cast(c_acctbal as varchar) as c_acctbal, c_custkey as k from customer)"
     sql["records_head"] = f"select * exclude (k) from {records} order by k limit 7"

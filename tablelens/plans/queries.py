@@ -561,6 +561,27 @@ def roundtrip_ragged(spark, sf):
     )
 
 
+def roundtrip_multiline(spark, sf):
+    """Whole texts with their line ends in quoted fields, inch marks in plain ones."""
+    f = _folder(spark, "multiline")
+    quoted = F.concat(F.lit('"'), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", F.col("doc_id").cast("string"), F.lit('5" pipe'), quoted, F.lit('6"'))
+    table(spark, sf, "documents").select(line.alias("value")).write.text(f)
+    r = formats.read_records(spark, f, header=False)
+    return r.select(F.col("column_0").cast("bigint").alias("doc_id"), F.col("column_1").alias("size"), F.col("column_2").alias("text"), F.col("column_3").alias("width"))
+
+
+def record_fields(spark, sf):
+    """Fields and words of the first records, whose number of fields varies and whose names hold line ends."""
+    f = _folder(spark, "fields")
+    p = table(spark, sf, "part")
+    extra = F.array_join(F.array_repeat(F.lit("x"), (F.col("p_partkey") % 3).cast("int")), ",")
+    name = F.concat(F.lit('"'), F.replace("p_name", F.lit(" "), F.lit("\n")), F.lit('"'))
+    line = F.concat_ws(",", F.col("p_partkey").cast("string"), name, F.nullif(extra, F.lit("")))
+    p.orderBy("p_partkey").coalesce(1).select(line.alias("value")).write.text(f)
+    return rowprof.record_fields(formats.read_ragged(spark, f, header=False)).drop("file")
+
+
 def roundtrip_json(spark, sf):
     f = _folder(spark, "json")
     table(spark, sf, "supplier").write.json(f + "/t.jsonl")
@@ -700,6 +721,7 @@ QUERIES: list[Query] = [
     conversation_requests, request_bodies, effort_levels, attach_files, parse_responses, parse_chunks,
     clean_replies,
     roundtrip_csv, roundtrip_tsv, roundtrip_forced_csv, roundtrip_headerless, roundtrip_ragged,
+    roundtrip_multiline, record_fields,
     records_head, records_tail, records_rows, numbered_file_lines, fill_merged_cells, cell_column_types,
     roundtrip_json, roundtrip_parquet, roundtrip_ipc, roundtrip_xlsx, roundtrip_lines,
     roundtrip_whole_text, format_detection,

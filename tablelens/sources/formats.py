@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tablelens.session import BROADCAST_BLOCKS
+from tablelens.sources.csv_records import csv_records, fields_of, left_open
 
 # File ending -> format. Anything else is text.
 FORMATS = {
@@ -94,14 +95,29 @@ def read_table(
     raise ValueError(f"{first!r} is not a table; read it as text")
 
 
-def open_quotes(spark: SparkSession, path: str | list[str]) -> bool:
-    """Does a line leave a quote open, so that a record may go over several lines?
+def open_quotes(spark: SparkSession, path: str | list[str], sep: str = ",") -> bool:
+    """Does a line leave a quoted field open, so that a record goes over several lines?
 
-    One scan that ends at the first such line. Files without one stay splittable.
+    One scan that ends at the first such line. Up to that line every line begins a record, so each is
+    looked at by itself; inch marks in plain fields open nothing.
     """
-    line = F.col("value")
-    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
-    return not raw_lines(spark, path).where(quotes % 2 == 1).isEmpty()
+    quoted = raw_lines(spark, path).where(F.col("value").contains('"'))
+    return not quoted.where(left_open(F.make_valid_utf8("value"), sep)).isEmpty()
+
+
+def _quoted_records(spark: SparkSession, path: str | list[str], sep: str, header: bool) -> DataFrame:
+    """Records with quoted line ends; a file is cut into splits all the same, see `csv_records`."""
+    lines = raw_lines(spark, path)
+    records = csv_records(lines, sep, block_bound(lines))
+    return records.where(F.col("record") > 0).withColumn("record", F.col("record") - 1) if header else records
+
+
+def _parsed(records: DataFrame, sep: str, schema: T.StructType) -> DataFrame:
+    """Records as the columns of a schema, by the rules of the CSV reader."""
+    numbered = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema)])
+    options = {"sep": sep, "escape": '"', "multiLine": "true", "mode": "PERMISSIVE"}
+    row = F.from_csv("text", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in numbered), options)
+    return records.select(row.alias("row")).select("row.*").toDF(*schema.names)
 
 
 def read_records(
@@ -116,38 +132,23 @@ def read_records(
     Records shorter than the header end in nulls. Fields beyond it are dropped by the CSV
     parser; `read_ragged` keeps them. `multi_line` None looks for quoted line ends first.
     """
+    sep = sep or default_separator(path if isinstance(path, str) else path[0])
     if multi_line is None:
-        multi_line = open_quotes(spark, path)
-    first = path if isinstance(path, str) else path[0]
-    df = spark.read.csv(
-        path,
-        sep=sep or default_separator(first),
-        header=header,
-        inferSchema=False,
-        multiLine=multi_line,
-        mode="PERMISSIVE",
-        escape='"',
-    )
+        multi_line = open_quotes(spark, path, sep)
+    # With quoted line ends this only reads the first record, for the names.
+    df = spark.read.csv(path, sep=sep, header=header, inferSchema=False, multiLine=multi_line, mode="PERMISSIVE", escape='"')
+    if multi_line:
+        df = _parsed(_quoted_records(spark, path, sep, header), sep, df.schema)
     return df if header else df.toDF(*[f"column_{i}" for i in range(len(df.columns))])
 
 
 def read_ragged(spark: SparkSession, path: str | list[str], sep: str = ",", header: bool = True) -> DataFrame:
-    """(file, line_no, fields): records of any length, one per line, quotes honoured."""
-    lines = read_lines(spark, path).where(F.col("line") != "")
-    if header:  # the first line of each file that is not empty
-        first = lines.groupBy("file").agg(F.min("line_no").alias("header_no"))
-        if block_bound(raw_lines(spark, path)) <= BROADCAST_BLOCKS:
-            first = F.broadcast(first)
-        lines = lines.join(first, "file").where(F.col("line_no") > F.col("header_no"))
-    s = "\\t" if sep == "\t" else "\\" + sep
-    raw = F.regexp_extract_all("line", F.lit(rf'(?:^|(?<={s}))("(?:[^"]|"")*"|[^{s}]*)'), F.lit(1))
-    plain = F.transform(
-        raw,
-        lambda x: F.when(
-            x.startswith('"'), F.replace(F.regexp_replace(x, '^"|"$', ""), F.lit('""'), F.lit('"'))
-        ).otherwise(x),
-    )
-    return lines.select("file", "line_no", plain.alias("fields"))
+    """(file, record, line_no, fields): records of any number of fields, quotes and quoted line ends honoured.
+
+    `record` counts from 0 in each file, `line_no` is that of the record's first line.
+    """
+    records = _quoted_records(spark, path, sep, header)
+    return records.select("file", "record", "line_no", fields_of(F.col("text"), sep).alias("fields"))
 
 
 def infer_types(records: DataFrame) -> T.StructType:
@@ -186,10 +187,13 @@ def read_csv(
 ) -> DataFrame:
     """CSV as a table. `multi_line` None looks for quoted line ends first, see `open_quotes`."""
     if multi_line is None:
-        multi_line = open_quotes(spark, path)
+        multi_line = open_quotes(spark, path, sep)
     if schema is None:
         schema = infer_types(read_records(spark, path, sep, header, multi_line))
-    return spark.read.csv(path, sep=sep, header=header, schema=schema, multiLine=multi_line, escape='"')
+    if multi_line:
+        kinds = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        return _parsed(_quoted_records(spark, path, sep, header), sep, kinds)
+    return spark.read.csv(path, sep=sep, header=header, schema=schema, multiLine=False, escape='"')
 
 
 # --- text ----------------------------------------------------------------
