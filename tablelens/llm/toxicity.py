@@ -32,6 +32,10 @@ GRAM, PIECE = 4, 16
 #: Slots of the feature table; one feature each, the more frequent one stays.
 SLOTS = 1 << 19
 FEATURES = 2 + len(PREFIXES) + PIECE
+#: Windows whose words are looked up at a time, and windows that the network reads at a time.
+BLOCK, STEP = 8192, 512
+#: Bytes of text that are read at a time, but for a single longer text.
+SLICE = 1 << 20
 
 
 def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -57,11 +61,11 @@ def _characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(data >= 0xC2)  # first bytes
     if not len(at):
         return data, at
-    padded = np.r_[data, np.zeros(3, np.uint8)].astype(np.int64)
-    lead, b, c = padded[at], padded[at + 1], padded[at + 2]
+    padded = np.r_[data, np.zeros(3, np.uint8)]
+    lead, b, c, d = (padded[at + k].astype(np.int32) for k in range(4))
     size = 2 + (lead >= 0xE0) + (lead >= 0xF0)
     code = np.where(lead < 0xE0, (lead & 31) << 6 | b & 63, (lead & 15) << 12 | (b & 63) << 6 | c & 63)
-    code = np.where(lead >= 0xF0, (lead & 7) << 18 | (b & 63) << 12 | (c & 63) << 6 | padded[at + 3] & 63, code)
+    code = np.where(lead >= 0xF0, (lead & 7) << 18 | (b & 63) << 12 | (c & 63) << 6 | d & 63, code)
     within = lambda *spans: np.logical_or.reduce([(code >= x) & (code <= y) for x, y in spans])
     # Latin-1 signs but for three letters, general punctuation but for joiners, CJK and full-width punctuation
     blank = within((0x80, 0xA9), (0xAB, 0xB4), (0xB6, 0xB9), (0xBB, 0xBF), (0xD7, 0xD7), (0xF7, 0xF7), (0x2000, 0x200B), (0x200E, 0x206F), (0x3000, 0x3004), (0x3008, 0x3020), (0x3030, 0x3030), (0x303D, 0x303F), (0x30FB, 0x30FB), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
@@ -182,6 +186,52 @@ class Network:
         pooled = (weight[:, :, None] * s).sum(axis=1)
         return pooled @ p["w"] + p["bias"][0], (x, mask, tf, tb, s, q, weight, pooled)
 
+    def logits(self, x: np.ndarray, place: np.ndarray, lengths: np.ndarray, room: dict[int, list[np.ndarray]]) -> np.ndarray:
+        """`forward` without gradients: x has a row for each word, place (LENGTH, n) says which word stands where.
+
+        Arrays are units by windows, so that every operation runs along the windows; `room` keeps them for the next call.
+        """
+        p, n, h2, h3 = self.p, place.shape[1], 2 * HIDDEN, 3 * HIDDEN
+        if n not in room:
+            room.clear()
+            room[n] = [np.empty(shape, np.float32) for shape in ((LENGTH, n, DIM), (LENGTH, 2 * h3, n), (LENGTH, h2, n), (h2, n), (HIDDEN, n))]
+        words, gates, states, a, b = room[n]
+        np.take(x, place, axis=0, out=words, mode="clip")
+        # Halved, for a sigmoid is half a hyperbolic tangent of the half.
+        half = np.r_[np.full(h2, 0.5), np.ones(HIDDEN)].astype(np.float32)[:, None]
+        inward = np.concatenate([p["Wf"].T * half, p["Wb"].T * half])
+        constant = np.concatenate([p["cf"][:, None] * half, p["cb"][:, None] * half])
+        within = np.arange(LENGTH)[:, None] < lengths
+        mask = None if lengths.min() == LENGTH else within.astype(np.float32)
+        for t in range(LENGTH):
+            np.matmul(inward, words[t].T, out=gates[t])
+            gates[t] += constant
+        for k, side in enumerate("fb"):
+            uz, uc = 0.5 * p[f"U{side}"][:, :h2].T, p[f"U{side}"][:, h2:].T
+            h = np.zeros((HIDDEN, n), np.float32)
+            for t in range(LENGTH) if side == "f" else range(LENGTH - 1, -1, -1):
+                zr, new = gates[t, k * h3 : k * h3 + h2], gates[t, k * h3 + h2 : k * h3 + h3]
+                zr += np.matmul(uz, h, out=a)
+                np.tanh(zr, out=zr)
+                zr *= 0.5
+                zr += 0.5
+                z, r = zr[:HIDDEN], zr[HIDDEN:]
+                r *= h
+                new += np.matmul(uc, r, out=b)
+                np.tanh(new, out=new)
+                new -= h
+                new *= z
+                if mask is not None:
+                    new *= mask[t]
+                h = np.add(h, new, out=states[t, k * HIDDEN : (k + 1) * HIDDEN])
+        e, value = np.empty((LENGTH, n), np.float32), np.empty((LENGTH, n), np.float32)
+        for t in range(LENGTH):
+            np.matmul(p["A"].T, states[t], out=b)
+            b += p["a"][:, None]
+            e[t], value[t] = p["v"] @ np.tanh(b, out=b), p["w"] @ states[t]
+        e = np.exp(e - e.max(axis=0)) * within
+        return (e * value).sum(axis=0) / np.maximum(e.sum(axis=0), 1e-20) + p["bias"][0]
+
     def gradients(self, d: np.ndarray, cache) -> tuple[dict, np.ndarray]:
         """Gradients of the parameters and of x, given those of the logits."""
         p, (x, mask, tf, tb, s, q, weight, pooled) = self.p, cache
@@ -239,17 +289,18 @@ class Model:
         start, length, text = windows_of(counts, stride)
         start = start + first[:-1][text]
         logits = np.empty(len(start), np.float32)
-        steps = np.arange(LENGTH)
-        for at in range(0, len(start), 4096):
-            s, n = start[at : at + 4096], length[at : at + 4096]
+        steps, room = np.arange(LENGTH)[:, None], {}
+        for at in range(0, len(start), BLOCK):
+            s, n = start[at : at + BLOCK], length[at : at + BLOCK]
             low, high = int(s.min()), int((s + n).max())
             # each distinct word once
             _, some, word = np.unique(span_hashes(data, starts[low:high], ends[low:high], 1), return_index=True, return_inverse=True)
             x = self.network.embedded(self.vocabulary.rows(word_features(data, starts[low:high][some], ends[low:high][some])))
-            x = np.concatenate([x[word], np.zeros((1, DIM), np.float32)])
-            mask = steps < n[:, None]
-            place = np.where(mask, s[:, None] - low + steps, len(x) - 1)
-            logits[at : at + 4096] = self.network.forward(x[place], mask.astype(np.float32))[0]
+            x, word = np.concatenate([x, np.zeros((1, DIM), np.float32)]), np.append(word, len(x))
+            for k in range(0, len(s), STEP):
+                sk, nk = s[k : k + STEP], n[k : k + STEP]
+                place = word[np.where(steps < nk, sk - low + steps, len(word) - 1)]
+                logits[at + k : at + k + STEP] = self.network.logits(x, place, nk, room)
         highest = np.full(len(counts), -np.inf, np.float32)
         np.maximum.at(highest, text, logits)
         return 1.0 / (1.0 + np.exp(-highest.astype(np.float64)))
@@ -314,6 +365,16 @@ def fit(features: np.ndarray, windows: list[np.ndarray], labels: np.ndarray, pas
     return Model(vocabulary, net, float(share))
 
 
+def text_slices(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row, lower-cased bytes, offsets) of slices of the rows of an Arrow column."""
+    data, offsets = text_bytes(column)
+    n, at = len(offsets) - 1, 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, side="right")) - 1)
+        yield at, to, lowered(data[offsets[at] : offsets[to]]), offsets[at : to + 1] - offsets[at]
+        at = to
+
+
 def sample(docs: DataFrame, labels: DataFrame, per_class: int, others: int, windows_per_text: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, toxic, words): at most `per_class` toxic texts and `others` times as many others, each cut to its windows' words.
 
@@ -324,31 +385,38 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int, others: int, wind
     pick = lambda y, n: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = pick(1, per_class).union(pick(0, per_class * others))  # at most per_class * (1 + others) rows
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    joined = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    # Of several texts of an id the one of the smallest hash.
+    joined = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
+        F.first("toxic").alias("toxic"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    )
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
-            data = lowered(data)
-            starts, ends, first = read_words(data, offsets)
-            out = []
-            for x, y in zip(first[:-1], first[1:]):
-                begin, length, _ = windows_of(np.array([y - x]), LENGTH)
-                take = np.unique(np.linspace(0, len(begin) - 1, min(len(begin), windows_per_text)).astype(int))
-                words = []
-                for w in take:
-                    for k in range(int(begin[w] + x), int(begin[w] + x + length[w])):
-                        words.append(data[starts[k] : ends[k]].tobytes())
-                out.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(out, pa.binary())], ["doc_id", "toxic", "words"])
+            for at, to, data, offsets in text_slices(batch.column("text")):
+                starts, ends, first = read_words(data, offsets)
+                out = []
+                for x, y in zip(first[:-1], first[1:]):
+                    begin, length, _ = windows_of(np.array([y - x]), LENGTH)
+                    take = np.unique(np.linspace(0, len(begin) - 1, min(len(begin), windows_per_text)).astype(int))
+                    words = []
+                    for w in take:
+                        for k in range(int(begin[w] + x), int(begin[w] + x + length[w])):
+                            words.append(data[starts[k] : ends[k]].tobytes())
+                    out.append(b" ".join(words))
+                rows = batch.slice(at, to - at)
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("toxic"), pa.array(out, pa.binary())], ["doc_id", "toxic", "words"])
 
     return joined.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(run, "doc_id long, toxic int, words binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, others: int = 2, windows_per_text: int = 32, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model learnt from a bounded sample; `labels` has (doc_id, toxic), rows with nulls are left out."""
+    """A model learnt from a bounded sample; `labels` has (doc_id, toxic), rows with nulls are left out.
+
+    An id with several labels counts as toxic if one of them is; of several texts of an id one is taken, the
+    same one whatever the partitions.
+    """
     rows = sorted(sample(docs, labels, per_class, others, windows_per_text, id_col, text_col).collect())
     texts = [bytes(r.words) for r in rows]
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -367,7 +435,8 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """(doc_id, score): one row per row, the highest score of the whole text's overlapping windows.
 
     A null text counts as empty and scores as an empty window. Null and repeated ids keep their
-    rows; equal texts score equally; an empty table gives no rows.
+    rows; equal texts score equally; an empty table gives no rows. Texts are read SLICE bytes at a
+    time; a single longer text has to fit in memory some forty times.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -376,10 +445,9 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         import pyarrow as pa
 
         for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
-            data = lowered(data)
-            score = shared.value.scores(data, *read_words(data, offsets))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64())], ["doc_id", "score"])
+            for at, to, data, offsets in text_slices(batch.column("text")):
+                score = shared.value.scores(data, *read_words(data, offsets))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), pa.array(score, pa.float64())], ["doc_id", "score"])
 
     return chosen.mapInArrow(run, "doc_id long, score double")
 
@@ -393,8 +461,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float, text_col: str
         import pyarrow as pa
 
         for batch in batches:
-            data, offsets = text_bytes(batch.column(place))
-            data = lowered(data)
-            yield batch.filter(pa.array(shared.value.scores(data, *read_words(data, offsets)) < threshold))
+            for at, to, data, offsets in text_slices(batch.column(place)):
+                yield batch.slice(at, to - at).filter(pa.array(shared.value.scores(data, *read_words(data, offsets)) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

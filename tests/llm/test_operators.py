@@ -533,3 +533,43 @@ def test_repeats_equal_brute_force(spark, odd, none):
     for s in debruijn.repeated_spans(docs).where("doc_id is not null").collect():
         assert texts[s.doc_id][s.start : s.start + s.length] == texts[s.source_id][s.source_start : s.source_start + s.length]
     assert debruijn.without_repeats(none).collect() == []
+
+
+def test_reading_without_gradients_equals_the_forward_pass():
+    rng = np.random.default_rng(4)
+    net = toxicity.Network(10)
+    x = rng.standard_normal((50, toxicity.DIM)).astype(np.float32)
+    x[-1] = 0
+    room = {}
+    for n, shortest in ((7, 0), (7, toxicity.LENGTH), (3, 1)):
+        lengths = rng.integers(shortest, toxicity.LENGTH + 1, n)
+        within = np.arange(toxicity.LENGTH) < lengths[:, None]
+        place = np.where(within, rng.integers(0, 49, (n, toxicity.LENGTH)), 49)
+        want = net.forward(x[place], within.astype(np.float32))[0]
+        assert np.allclose(net.logits(x, place.T, lengths, room), want, atol=1e-5)
+
+
+def test_scores_do_not_depend_on_slices(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = [f"word{i}" for i in range(300)] + ["漢字", "é"]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 400))) for _ in range(30)] + [None, "", "x" * 3000]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    whole = toxicity.toxicity(docs, model).orderBy("doc_id").collect()
+
+    def scores(size):  # as a worker would with that slice size
+        import pyarrow as pa
+
+        monkeypatch.setattr(toxicity, "SLICE", size)
+        return np.concatenate([model.scores(d, *toxicity.read_words(d, o)) for _, _, d, o in toxicity.text_slices(pa.array(texts))])
+
+    assert np.allclose([r.score for r in whole], scores(100), atol=1e-6)
+    assert np.allclose([r.score for r in whole], scores(1 << 30), atol=1e-6)
+
+
+def test_repeated_training_ids_give_one_model(spark):
+    docs = spark.createDataFrame([(1, "b text"), (1, "a text"), (2, "fine"), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    found = [sorted(map(tuple, toxicity.sample(docs.repartition(n), labels, 5, 2, 4, "doc_id", "text").collect())) for n in (1, 3, 4)]
+    assert found[0] == found[1] == found[2] and [(r[0], r[1]) for r in found[0]] == [(1, 1), (2, 0)]

@@ -10,7 +10,7 @@ from tablelens.llm import queries, sql
 @pytest.mark.parametrize("name", sorted(sql.statements()))
 def test_query_equals_sql(spark, sf, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "benchmark", "pages", "labels"):
         con.execute(f"create view {table} as select * from read_parquet('{sf}/{table}.parquet')")
     want = con.execute(sql.statements()[name])
     columns = [d[0] for d in want.description]
