@@ -21,8 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8."""
-    return simhash.one_of_each(docs, similarity=0.8, shingle=5)
+    """One document of each group of near copies: fingerprints of three-word shingles, three bits apart at most."""
+    return simhash.one_of_each(docs, bits=3, shingle=3)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

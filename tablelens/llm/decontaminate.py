@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablelens.functions.columns import free_name
 from tablelens.llm.common import LETTERS, kept, lowered, mixed, span_hashes, text_bytes, words_of_rows
 
 #: Bits of the seed filter.
@@ -218,6 +219,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, seed: int = 5) -> DataFrame:
     """`docs` without the rows that cover an item; every other row stays, null ids and texts included."""
-    bad = contaminated(docs, benchmark, threshold, seed).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__hash"))
+    mark, text_mark = free_name("id", docs.columns), free_name("text_hash", docs.columns)
+    bad = contaminated(docs, benchmark, threshold, seed).select(F.col("doc_id").alias(mark), F.col("text_hash").alias(text_mark)).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(mark)) & (F.xxhash64(docs["text"].cast("string")) == F.col(text_mark))
     return docs.join(bad, same, "left_anti")

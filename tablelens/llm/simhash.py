@@ -23,14 +23,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.llm.common import LAST_ID, kept, mixed, run_hashes, slices, span_hashes, window_places
+from tablelens.functions.columns import free_name, quoted
+from tablelens.llm.common import LAST_ID, kept
 
 #: Fingerprints of one anchor that a block holds.
 BLOCK = 2048
-#: Wide fingerprints: minimum hashes, anchors, minimum hashes in an anchor, allowance of the estimate that chooses candidates.
-HASHES, BANDS, ROWS, SLACK = 256, 21, 6, 0.1
-#: Shingles that a block of texts holds, and texts of a candidate component that is compared as a whole.
-BLOCK_SHINGLES, LARGE = 1 << 22, 16 * BLOCK
 
 
 def fingerprint_of(words: list[bytes], shingle: int = 3) -> int:
@@ -264,187 +261,18 @@ def near_duplicates(docs: DataFrame, bits: int = 3, shingle: int = 3, id_col: st
     return rows.join(found, "fp").select("doc_id", "text_hash", "fp", "top", "component_id")
 
 
-def _shingles(words: np.ndarray, first: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingle hashes of each row, in order, and the n + 1 places at which rows begin.
+def one_of_each(docs: DataFrame, bits: int = 3, shingle: int = 3) -> DataFrame:
+    """`docs` (doc_id, text and any other columns) with one row of each component of `near_duplicates`.
 
-    A text of fewer words is one shingle, a text without words has none.
+    The smallest doc_id stays, of its texts the one of the smallest hash; of rows equal in id and text one
+    stays. A null id is chosen only where all of a component are null. Texts without words are one component.
     """
-    n = np.diff(first)
-    place, row = window_places(first, shingle)
-    h = run_hashes(words, shingle)[place] if len(place) else np.zeros(0, np.uint64)
-    short = np.flatnonzero((n > 0) & (n < shingle))
-    if len(short):
-        h = np.r_[h, np.concatenate([run_hashes(words[first[r] : first[r + 1]], int(n[r])) for r in short.tolist()])]
-        row = np.r_[row, short]
-    order = np.lexsort((h, row))
-    h, row = h[order], row[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    return h[new], np.searchsorted(row[new], np.arange(len(n) + 1))
-
-
-def wide_fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, fp, n, wide, anchors): a hash and the size of each row's set of shingles, 1,024 bits and BANDS anchors of it.
-
-    The bits are four of each of HASHES minimum hashes of the shingles; texts of fewer words are one
-    shingle, texts without words have none and share one fingerprint.
-    """
-    text = F.col(text_col).cast("string")
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    factors = (mixed(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1))[:, None]
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            for at, to, data, starts, ends, first in slices(batch.column("text"), lower=True):
-                h, cuts = _shingles(span_hashes(data, starts, ends), first, shingle)
-                n = np.diff(cuts)
-                least = np.zeros((to - at, HASHES), np.uint64)
-                fp = np.zeros(to - at, np.uint64)
-                full = np.flatnonzero(n)
-                if len(full):
-                    for k in range(HASHES):
-                        least[full, k] = np.minimum.reduceat(h * factors[k], cuts[full])
-                    least[full] = mixed(least[full])
-                    fp[full] = mixed(np.add.reduceat(mixed(h), cuts[full]))
-                nibbles = (least & np.uint64(15)).astype(np.uint8)
-                wide = nibbles[:, 0::2] | (nibbles[:, 1::2] << 4)
-                bands = least[:, : BANDS * ROWS].reshape(to - at, BANDS, ROWS)
-                anchors = np.broadcast_to(mixed(np.arange(BANDS, dtype=np.uint64)), (to - at, BANDS)).copy()
-                for k in range(ROWS):
-                    anchors = mixed(anchors * np.uint64(0x9E3779B97F4A7C15) + bands[:, :, k])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id")[at:to], batch.column("text_hash")[at:to], pa.array(fp.view(np.int64)), pa.array(n, pa.int64()),
-                        pa.array([w.tobytes() for w in wide], pa.binary()),
-                        pa.array(list(anchors.view(np.int64)), pa.list_(pa.int64())),
-                    ],
-                    ["doc_id", "text_hash", "fp", "n", "wide", "anchors"],
-                )
-
-    return chosen.mapInArrow(run, "doc_id long, text_hash long, fp long, n long, wide binary, anchors array<long>")
-
-
-def _sets(docs: DataFrame, wanted: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(fp, shingles): the distinct shingle hashes, eight bytes each and in order, of the rows `wanted` (id, text_hash, fp)."""
-    text = F.col(text_col).cast("string")
-    chosen = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            for at, to, data, starts, ends, first in slices(batch.column("text"), lower=True):
-                h, cuts = _shingles(span_hashes(data, starts, ends), first, shingle)
-                sets = [h[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column("fp")[at:to], pa.array(sets, pa.binary())], ["fp", "shingles"])
-
-    # rows equal in id and text are there more than once
-    return chosen.join(wanted, ["id", "text_hash"]).select("fp", "text").mapInArrow(run, "fp long, shingles binary").dropDuplicates(["fp"])
-
-
-def _blocks(grouped: DataFrame, most: Column) -> DataFrame:
-    """(group, i, j, lot, fp, ...): every two rows of a group of `grouped` (group, fp, ...) meet in a block (i, j), i <= j.
-
-    `most` aggregates a group to the number of lots it is cut into. A row goes once to each block of its lot.
-    """
-    sizes = grouped.groupBy("group").agg(F.count("*").alias("all"), F.ceil(most).cast("int").alias("parts"))
-    dealt = grouped.join(sizes.where("all > 1").drop("all"), "group").withColumn("lot", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return met.withColumn("i", F.least("lot", "other")).withColumn("j", F.greatest("lot", "other")).drop("other", "parts")
-
-
-def _nibbles(wide: np.ndarray) -> np.ndarray:
-    bits = np.frombuffer(b"".join(wide), np.uint8).reshape(len(wide), -1)
-    return np.concatenate([bits & 15, bits >> 4], axis=1)
-
-
-def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, fp, top, component_id) for every row, linked by the exact Jaccard similarity of their sets of shingles.
-
-    Texts at a similarity of 0.8 differ in five to fourteen bits of a SimHash, far beyond what
-    anchors in 64 bits can cover. So the same scheme runs on wide fingerprints.
-
-    Candidates: every text is replicated to BANDS anchors, each made of ROWS minimum hashes, and
-    texts that share an anchor are compared on all HASHES. From an estimate of `similarity` - SLACK
-    on, nearly four standard errors below, a pair is a candidate. At 0.8 a pair shares an anchor
-    with probability 0.998.
-
-    Links: within a component of candidates, which holds every link among them, pairs from that
-    estimate on are decided by their whole sets of 64-bit shingle hashes. A component of more than
-    LARGE texts is compared anchor by anchor instead. `fp` is a hash of a set of shingles, `top` the
-    same for all of a component.
-    """
-    rows = kept(wide_fingerprints(docs, shingle, id_col, text_col), "wide")
-    real = F.coalesce(F.col("doc_id"), F.lit(LAST_ID))
-    classes = kept(
-        rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct(real.alias("id"), "text_hash")).alias("row"), F.first("n").alias("n"), F.first("wide").alias("wide")),
-        "classes",
-    )
-    nodes = classes.select(F.col("fp").alias("node"), F.col("least").alias("rank"))
-    anchored = rows.select(F.explode("anchors").alias("group"), "fp").distinct()
-    # agreement of four-bit values: equal by chance once in sixteen
-    least = HASHES * ((similarity - SLACK) * 15 / 16 + 1 / 16)
-
-    def compared(blocks: DataFrame, exact: bool) -> DataFrame:
-        def compare(i: np.ndarray, j: np.ndarray, lot: np.ndarray, fp: np.ndarray, wide: np.ndarray, shingles: np.ndarray | None = None) -> list[tuple[int, int]]:
-            bits, sides = _nibbles(wide), (np.flatnonzero(lot == i[0]), np.flatnonzero(lot == j[0]))
-            sets = [np.frombuffer(s, np.uint64) for s in shingles] if exact else []
-
-            def near(x: int, from_a: bool, others: np.ndarray) -> np.ndarray:
-                x, others = (sides[0][x], sides[1][others]) if from_a else (sides[1][x], sides[0][others])
-                hit = (bits[others] == bits[x]).sum(axis=1) >= least
-                if exact:
-                    some = others[hit]
-                    hit[hit] = [_jaccard(sets[x], sets[y]) >= similarity for y in some.tolist()]
-                return hit
-
-            a, b = fp[sides[0]], fp[sides[1]]
-            return [(int(a[x]), int(b[y])) for x, y in _forest(a, b, near) if a[x] != b[y]]
-
-        columns = ["i", "j", "lot", "fp", "wide"] + ["shingles"] * exact
-
-        def run(batches: Iterator) -> Iterator:
-            yield from in_groups(batches, ["group", "i", "j"], columns, compare)
-
-        dealt = blocks.select("group", *columns).repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
-        return dealt.mapInArrow(run, "a long, b long")
-
-    wide = classes.select("fp", "wide")
-    loose = components(compared(_blocks(anchored, F.count("*") / BLOCK).join(wide, "fp"), False), nodes)
-    sizes = loose.groupBy("top").agg(F.count("*").alias("size")).where("size > 1")
-    members = kept(loose.select(F.col("node").alias("fp"), "top").join(sizes, "top").join(classes.select("fp", "row", "n"), "fp"), "candidates")
-    sets = kept(_sets(docs, members.select("row.id", "row.text_hash", "fp"), shingle, id_col, text_col).join(wide, "fp"), "sets")
-    whole = members.where(F.col("size") <= LARGE).select(F.col("top").alias("group"), "fp", "n")
-    parted = members.where(F.col("size") > LARGE).select("fp", "n").join(anchored, "fp").select("group", "fp", "n")
-    cut = F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)
-    found = components(compared(_blocks(whole, cut).unionByName(_blocks(parted, cut)).join(sets, "fp"), True), nodes)
-    found = found.select(F.col("node").alias("fp"), "top", F.col("root").alias("component_id"))
-    return rows.select("doc_id", "text_hash", "fp").join(found, "fp").select("doc_id", "text_hash", "fp", "top", "component_id")
-
-
-def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """The similarity of two sets in ascending order; two empty ones are equal."""
-    if len(b) < len(a):
-        a, b = b, a
-    if not len(a):
-        return float(not len(b))
-    common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-    return common / (len(a) + len(b) - common)
-
-
-def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """`docs` (doc_id, text and any other columns) with one row of each component: the smallest doc_id, ties by the text's hash.
-
-    Of rows equal in id and text one stays. A null id is chosen only where all of a component are null.
-    """
-    found = similar_documents(docs, similarity, shingle)
-    real = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
-    first = found.groupBy("top").agg(F.min(F.struct(real.alias("i"), F.col("text_hash").alias("h"))).alias("first"))
-    chosen = kept(first.select(F.col("first.i").alias("__id"), F.col("first.h").alias("__hash")).distinct(), "chosen")
-    marked = docs.withColumn("__id", real).withColumn("__hash", F.xxhash64(F.col("text").cast("string")))
-    return marked.join(chosen, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).select(docs.columns)
+    found = near_duplicates(docs, bits, shingle)
+    mark, text_mark = free_name("id", docs.columns), free_name("text_hash", docs.columns)
+    first = found.groupBy("top").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("i"), F.col("text_hash").alias("h"))).alias("first"))
+    chosen = kept(first.select(F.col("first.i").alias(mark), F.col("first.h").alias(text_mark)), "chosen")
+    marked = docs.withColumn(mark, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))).withColumn(text_mark, F.xxhash64(F.col("text").cast("string")))
+    return marked.join(chosen, [mark, text_mark], "left_semi").dropDuplicates([mark, text_mark]).select([quoted(c) for c in docs.columns])
 
 
 def hexadecimal(fp: Column) -> Column:

@@ -87,59 +87,39 @@ def test_simhash_on_awkward_rows(odd, none):
     assert simhash.near_duplicates(none).collect() == []
 
 
-def test_one_of_each_keeps_columns_and_one_row(odd, none):
-    out = simhash.one_of_each(odd)
-    assert out.columns == odd.columns
-    assert sorted(r.doc_id for r in out.collect()) == [1, 5, 7, 8, 9]  # 10 differs from 5 in one word
+def test_one_of_each_keeps_columns_and_one_row(spark, odd, none):
+    clashing = odd.withColumn("id", F.lit("mine")).withColumn("text_hash", F.lit(1.5)).withColumn("__id", F.lit("own"))
+    out = simhash.one_of_each(clashing)
+    assert out.columns == clashing.columns
+    rows = out.collect()
+    assert sorted(r.doc_id for r in rows) == sorted({r.component_id for r in simhash.near_duplicates(odd).collect()})
+    assert {(r.id, r.text_hash, r["__id"]) for r in rows} == {("mine", 1.5, "own")}
     assert simhash.one_of_each(none).collect() == []
 
 
-def test_similar_documents_against_exact_similarity(spark):
-    base = [words(200, s).split() for s in range(12)]
-    rows, texts = [], {}
-    for n, (b, changes) in enumerate(itertools.product(base, (0, 2, 60))):
-        g, w = random.Random(n), list(b)
-        for _ in range(changes):
-            w[g.randrange(len(w))] = f"new{g.randrange(10**6)}"
-        rows.append((n, " ".join(w)))
-        texts[n] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
-    got = {r.doc_id: r.component_id for r in simhash.similar_documents(awkward(spark, rows)).collect()}
-    for a, b in itertools.combinations(texts, 2):
-        j = len(texts[a] & texts[b]) / len(texts[a] | texts[b])
-        if j >= 0.85:
-            assert got[a] == got[b]
-        if j < 0.6:
-            assert got[a] != got[b]
-
-
-def test_similar_documents_decide_exactly_around_the_threshold(spark):
-    rows, texts = [], {}
-    for k in range(120):
-        g, base = random.Random(7000 + k), words(400, 3000 + k).split()
-        other = list(base)
-        for at in g.sample(range(5, 390, 6), 7 + k % 6):
-            other[at] = f"new{at}"
-        for n, w in ((2 * k, base), (2 * k + 1, other)):
-            rows.append((n, " ".join(w)))
-            texts[n] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
-    got = {r.doc_id: r.component_id for r in simhash.similar_documents(awkward(spark, rows)).collect()}
-    similarity = [len(texts[n] & texts[n + 1]) / len(texts[n] | texts[n + 1]) for n in range(0, 240, 2)]
-    assert sum(0.75 <= j < 0.8 for j in similarity) >= 30 and sum(0.8 <= j <= 0.85 for j in similarity) >= 30
-    assert [got[2 * k] == got[2 * k + 1] for k in range(120)] == [j >= 0.8 for j in similarity]
-
-
-def test_similar_documents_in_blocks_and_by_anchor(spark, monkeypatch):
-    base = words(300, 77).split()
+def test_one_of_each_equals_brute_force(spark):
     rows = []
-    for n in range(40):  # a chain of copies, the last of which is far from the first
-        base = [*base]
-        base[(n * 37) % 300] = f"new{n}"
-        rows.append((n, " ".join(base)))
-    docs = awkward(spark, rows)
-    monkeypatch.setattr(simhash, "BLOCK", 8)
-    for large in (1000, 4):
-        monkeypatch.setattr(simhash, "LARGE", large)
-        assert {r.component_id for r in simhash.similar_documents(docs).collect()} == {0}
+    for k in range(60):
+        base = words(120, 400 + k).split()
+        for change in range(3):
+            rows.append((len(rows), " ".join([*base[: 120 - change], *["new"] * change])))
+    rows += [(len(rows), rows[0][1]), (len(rows) + 1, rows[0][1]), (None, rows[0][1]), (None, "alone")]
+    kept = simhash.one_of_each(awkward(spark, rows)).collect()
+    fps = [simhash.fingerprint_of([w.encode() for w in t.lower().split()]) for _, t in rows]
+    group = linked(fps, 3)
+    want = {}
+    for (i, _), fp in zip(rows, fps):
+        best = want.get(group[fp], 1 << 62)
+        want[group[fp]] = min(best, (1 << 61) if i is None else i)
+    assert sorted((1 << 61) if r.doc_id is None else r.doc_id for r in kept) == sorted(want.values())
+
+
+def test_decontamination_with_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, text, "a"), (2, "other words here", "b"), (None, None, "c")], "doc_id long, text string, __id string")
+    docs = docs.withColumn("id", F.lit(1)).withColumn("text_hash", F.lit(2))
+    out = decontaminate.decontaminated(docs, spark.createDataFrame([(1, text)], "item_id long, text string"))
+    assert out.columns == docs.columns and sorted(r["__id"] for r in out.collect()) == ["b", "c"]
 
 
 # packing
