@@ -6,7 +6,7 @@ rows with a JSON body.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablelens.functions.columns import quoted, render_tsv, tsv_header
 from tablelens.functions.words import strip_space
@@ -105,11 +105,12 @@ def overview_prompts(docs: DataFrame, keys: list[str], text: str = "text", langu
     return first.withColumn("messages", exchange(system, F.col("content")))
 
 
-def conversation_messages(turns: DataFrame) -> DataFrame:
+def conversation_messages(turns: DataFrame, pending: bool = False) -> DataFrame:
     """(conv_id, turn, role, content): the history that conversations build up.
 
     From (conv_id, turn, role, text): system messages, and each question that got a
-    non-empty answer in the next turn, with that answer. A question without one is dropped.
+    non-empty answer in the next turn, with that answer. A question without one is dropped,
+    but with `pending` the one that a conversation ends with stays: it is what a request asks.
     The join key (conv_id, turn) is unique, so a conversation of any length is spread out.
     """
     text = strip_space(F.col("text"))
@@ -129,7 +130,11 @@ def conversation_messages(turns: DataFrame) -> DataFrame:
             )
         ),
     )
-    return said.where(F.col("role") == "system").unionByName(pairs)
+    history = said.where(F.col("role") == "system").unionByName(pairs)
+    if not pending:
+        return history
+    last = said.groupBy("conv_id").agg(F.max_by(F.struct("turn", "role", "content"), "turn").alias("last")).select("conv_id", "last.*")
+    return history.unionByName(last.where((F.col("role") == "user") & (F.col("content") != "")))
 
 
 def attach_files(messages: DataFrame, files: DataFrame) -> DataFrame:
@@ -234,18 +239,21 @@ def conversation_requests(
     max_tokens: int | None = ANSWER_TOKENS,
     thinking: bool | None = None,
     effort: str | None = None,
+    files: DataFrame | None = None,
 ) -> DataFrame:
     """(conv_id, part, body): each conversation's request body, in parts.
 
     The parts of a conversation joined in order are the JSON body. Part -1 opens it with
     the system message, part k holds turns 64k to 64k+63, the last part closes it. So no
     task ever holds more than 64 turns, however long a conversation is.
+
+    `files`: (conv_id, ord, path, content), ord from 0, what is attached to a conversation. They make one system
+    message in front of all others; its JSON string is written across parts, one for each file, below -2.
     """
     first = F.to_json(message("system", F.lit(system)))
     head_json = F.to_json(F.struct(F.lit(model).alias("model")))
-    opening = F.concat(
-        F.regexp_replace(head_json, r"\}$", ""), F.lit(',"messages":['), first
-    )
+    start = F.concat(F.regexp_replace(head_json, r"\}$", ""), F.lit(',"messages":['))
+    opening = F.concat(start, first) if files is None else first
     extra = _reasoning_fields(dialect, thinking, effort, None, False)
     tail_json = F.to_json(F.struct(*_settings(False, temperature, max_tokens, None, extra)))
     closing = F.concat(F.lit("],"), F.substring(tail_json, F.lit(2), F.length(tail_json)))
@@ -270,7 +278,29 @@ def conversation_requests(
             )
         ),
     )
-    return body.unionByName(ends)
+    if files is None:
+        return body.unionByName(ends)
+    asked = history.select("conv_id").distinct()
+    begin = asked.select("conv_id", F.lit(_FIRST_FILE - 1).alias("part"), start.alias("body"))
+    return body.unionByName(ends).unionByName(begin).unionByName(_file_parts(files.join(asked, "conv_id", "left_semi")))
+
+
+#: Part number of a conversation's first attached file.
+_FIRST_FILE = -(1 << 40)
+
+
+def _file_parts(files: DataFrame) -> DataFrame:
+    """(conv_id, part, body): the message of attached files, escaped file by file, and its end."""
+    parts = attach_files(
+        files.select(F.col("conv_id").alias("request_id"), F.lit(0).alias("position"), F.lit("").alias("role"), F.lit("").alias("content")).limit(0),
+        files.withColumnRenamed("conv_id", "request_id"),
+    )
+    escaped = F.to_json(F.struct(F.coalesce("content", F.lit("")).alias("x")))  # {"x":"..."}
+    escaped = F.substring(escaped, F.lit(7), F.length(escaped) - 8)
+    head = F.when(F.col("part") == 0, F.lit('{"role":"system","content":"')).otherwise(F.lit(""))
+    body = parts.select(F.col("request_id").alias("conv_id"), (F.col("part") + _FIRST_FILE).alias("part"), F.concat(head, escaped).alias("body"))
+    end = files.select("conv_id").distinct().select("conv_id", F.lit(-2).cast("bigint").alias("part"), F.lit('"},').alias("body"))
+    return body.unionByName(end)
 
 
 # --- replies -------------------------------------------------------------
@@ -320,6 +350,43 @@ def parse_chunks(payloads: DataFrame, keys: list[str], payload: str = "payload")
     return parse_chunk_lines(lines.where(F.col("line") != "")).drop("line")
 
 
+#: Payloads of a reply whose lines are counted together.
+_SEQUENCE = 4096
+
+
+def parse_chunk_stream(payloads: DataFrame, keys: list[str], order: str, payload: str = "payload") -> DataFrame:
+    """`parse_chunks` of replies that arrive in payloads cut anywhere, lines and characters included.
+
+    `order` numbers a reply's payloads from 0. A line that payloads share is put together from its pieces; all others
+    stay where they are. Line numbers are those of the whole reply: line ends are summed up over stretches of
+    payloads, then within a stretch, so a long reply is no one task's work.
+    """
+    # Bytes as characters of one byte each: a payload may end inside a character.
+    data = F.decode(quoted(payload).cast("binary"), "ISO-8859-1")
+    cut = payloads.select(*keys, F.col(order).cast("bigint").alias("__seq"), F.split(data, "\n").alias("__lines"))
+    cut = cut.withColumn("__stretch", F.floor(F.col("__seq") / _SEQUENCE))
+    ends = cut.select(*keys, "__seq", "__stretch", (F.size("__lines") - 1).alias("__ends"))
+    per = ends.groupBy(*keys, "__stretch").agg(F.sum("__ends").alias("__ends"))
+    earlier = Window.partitionBy(*keys).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)  # one row per stretch
+    per = per.select(*keys, "__stretch", F.coalesce(F.sum("__ends").over(earlier), F.lit(0)).alias("__ahead"))
+    per = per.select(*[quoted(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__stretch").alias("__s"), "__ahead")
+    same = F.col("__stretch") == F.col("__s")
+    for i, k in enumerate(keys):
+        same = same & quoted(k).eqNullSafe(F.col(f"__k{i}"))
+    within = Window.partitionBy(*keys, "__stretch").orderBy("__seq").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.size("__lines") - 1).over(within), F.lit(0))
+    lines = cut.withColumn("__before", before).join(per, same).select(
+        *keys, "__seq", (F.col("__ahead") + F.col("__before")).alias("__first"), F.size("__lines").alias("__n"), F.posexplode("__lines").alias("__at", "line")
+    ).withColumn("line_no", F.col("__first") + F.col("__at"))
+    edge = (F.col("__at") == 0) | (F.col("__at") == F.col("__n") - 1)
+    pieces = F.array_sort(F.collect_list(F.struct("__seq", "line")))
+    joined = lines.where(edge).groupBy(*keys, "line_no").agg(F.array_join(F.transform(pieces, lambda p: p["line"]), "").alias("line"))
+    whole = lines.where(~edge).select(*keys, "line_no", "line").unionByName(joined)
+    text = F.make_valid_utf8(F.encode("line", "ISO-8859-1").cast("string"))
+    whole = whole.select(*keys, F.col("line_no").cast("bigint").alias("line_no"), strip_space(text).alias("line"))
+    return parse_chunk_lines(whole.where(F.col("line") != "")).drop("line")
+
+
 def clean_replies(replies: DataFrame, content: str = "content") -> DataFrame:
     """Trim replies; `is_error` marks empty ones."""
     trimmed = replies.withColumn(content, strip_space(quoted(content)))

@@ -385,6 +385,22 @@ def statements() -> dict[str, str]:
         from {HISTORY} where role <> 'system' group by 1, 2
         union all select distinct conv_id, -1, {literal(REQUEST_START)} from {HISTORY}
         union all select conv_id, cast(floor(max(turn) / 64) as bigint) + 1, {literal(REQUEST_END)} from {HISTORY} group by conv_id"""
+    asked = f"""(select * from {HISTORY} union all select conv_id, turn, role, content from
+        (select conv_id, turn, role, {trim('text')} as content, row_number() over (partition by conv_id order by turn desc) as back from conversations)
+        where back = 1 and role = 'user' and content <> '')"""
+    file_text = "'[文件: f' || item_id || '.txt]' || chr(10) || '```' || chr(10) || text || chr(10) || '```'"
+    file_text = f"case when item_id % 2 = 0 then {literal(prompts.FILES_PROMPT)} else chr(10) || chr(10) end || {file_text}"
+    sql["pending_requests"] = f"""
+        with asked as (select * from {asked})
+        select conv_id, cast(floor(turn / 64) as bigint) as part,
+          string_agg(',' || cast(to_json({{'role': role, 'content': content}}) as varchar), '' order by turn) as body
+        from asked where role <> 'system' group by 1, 2
+        union all select distinct conv_id, -1099511627777, '{{"model":"model-a","messages":[' from asked
+        union all select item_id // 2, item_id % 2 - 1099511627776, case when item_id % 2 = 0 then '{{"role":"system","content":"' else '' end
+          || (cast(to_json({file_text}) as varchar))[2:-2] from benchmark where item_id // 2 in (select conv_id from asked)
+        union all select distinct item_id // 2, -2, '"}},' from benchmark where item_id // 2 in (select conv_id from asked)
+        union all select distinct conv_id, -1, '{{"role":"system","content":"Be brief."}}' from asked
+        union all select conv_id, cast(floor(max(turn) / 64) as bigint) + 1, {literal(REQUEST_END)} from asked group by conv_id"""
     sql["request_bodies"] = """select conv_id, turn, 'model-a' as model, text as user, 'system' as role0, 'false' as stream,
         0.25::double as temperature, 500::bigint as max_tokens, null::varchar as top_p, 'low' as effort, 'false' as exclude
         from conversations where role = 'user'"""
@@ -406,6 +422,7 @@ def statements() -> dict[str, str]:
         select conv_id, turn, u.i * 2 as line_no, u.x as content, false as done
           from c, unnest(l) with ordinality as u(x, i) where u.x <> ''
         union all select conv_id, turn, len(l) * 2 + 2, '', true from c"""
+    sql["parse_chunk_stream"] = sql["parse_chunks"]
     sql["clean_replies"] = f"""select conv_id, turn, content, content = '' as is_error from
         (select conv_id, turn, case when conv_id % 4 = 0 then '' else {trim('text')} end as content
          from conversations where role = 'assistant')"""

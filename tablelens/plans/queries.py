@@ -411,6 +411,16 @@ def conversation_requests(spark, sf):
     return prompts.conversation_requests(history, "model-a", "Be brief.", thinking=True, effort="xhigh")
 
 
+def pending_requests(spark, sf):
+    """Requests that end with the open question, files attached to some of them."""
+    history = prompts.conversation_messages(table(spark, sf, "conversations"), pending=True)
+    files = table(spark, sf, "benchmark").select(
+        F.floor(F.col("item_id") / 2).alias("conv_id"), (F.col("item_id") % 2).alias("ord"),
+        F.concat(F.lit("f"), F.col("item_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content"),
+    )
+    return prompts.conversation_requests(history, "model-a", "Be brief.", thinking=True, effort="xhigh", files=files)
+
+
 def request_bodies(spark, sf):
     d = table(spark, sf, "conversations").where(F.col("role") == "user")
     messages = prompts.answer_messages(F.lit("abc"), F.col("text"))
@@ -481,6 +491,19 @@ def parse_chunks(spark, sf):
     return prompts.parse_chunks(c.select("conv_id", "turn", payload.alias("payload")), ["conv_id", "turn"])
 
 
+def parse_chunk_stream(spark, sf):
+    """The same replies in payloads of 97 bytes, which end inside lines and characters."""
+    c = table(spark, sf, "conversations").where(F.col("role") == "assistant")
+    chunk = lambda x: F.concat(
+        F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(x.alias("content")).alias("delta"))).alias("choices"))), F.lit("\r\n\r\n")
+    )
+    whole = F.concat(F.lit(": hello\ndata: {broken\n"), F.array_join(F.transform(F.split("text", "\n"), chunk), ""), F.lit("data: [DONE]\n"))
+    places = F.sequence(F.lit(0), F.floor((F.octet_length("whole") - 1) / 97).cast("int"))
+    cut = c.select("conv_id", "turn", whole.cast("binary").alias("whole")).select("conv_id", "turn", "whole", F.explode(places).alias("seq"))
+    pieces = cut.select("conv_id", "turn", "seq", F.substring("whole", F.col("seq") * 97 + 1, F.lit(97)).alias("payload"))
+    return prompts.parse_chunk_stream(pieces, ["conv_id", "turn"], "seq")
+
+
 def clean_replies(spark, sf):
     c = table(spark, sf, "conversations").where(F.col("role") == "assistant")
     padded = F.when(F.col("conv_id") % 4 == 0, " \t\n").otherwise(F.concat(F.lit("\n "), F.col("text"), F.lit(" 　")))
@@ -719,7 +742,7 @@ QUERIES: list[Query] = [
     wrapped_lines, wrapped_chars, text_profile, text_summary, text_profile_lines,
     text_context, preview_context, paragraph_prompts, overview_prompts, conversation_history,
     conversation_requests, request_bodies, effort_levels, attach_files, parse_responses, parse_chunks,
-    clean_replies,
+    clean_replies, pending_requests, parse_chunk_stream,
     roundtrip_csv, roundtrip_tsv, roundtrip_forced_csv, roundtrip_headerless, roundtrip_ragged,
     roundtrip_multiline, record_fields,
     records_head, records_tail, records_rows, numbered_file_lines, fill_merged_cells, cell_column_types,

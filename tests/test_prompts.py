@@ -126,3 +126,33 @@ def test_chunks(spark):
 def test_cleanup(spark):
     df = spark.createDataFrame([(" a\n",), (" \t",), (None,)], "content string")
     assert [tuple(r) for r in L.clean_replies(df).collect()] == [("a", False), ("", True), (None, True)]
+
+
+def test_the_open_question_is_asked(spark):
+    rows = [(1, 0, "user", "q1"), (1, 1, "assistant", "a1"), (1, 2, "user", " q2 "), (2, 0, "user", "only"), (3, 0, "user", "x"), (3, 1, "user", " ")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    history = L.conversation_messages(turns, pending=True)
+    assert sorted((r.conv_id, r.content) for r in history.collect()) == [(1, "a1"), (1, "q1"), (1, "q2"), (2, "only")]
+    files = [(1, 0, "a.txt", 'say "hi"\n\\'), (1, 1, "b.txt", None), (1, 2, "c.txt", "漢"), (9, 0, "z", "no such conversation")]
+    files = spark.createDataFrame(files, "conv_id long, ord long, path string, content string").repartition(3)
+    parts = L.conversation_requests(history, "m", "s", files=files).orderBy("conv_id", "part").collect()
+    bodies = {c: json.loads("".join(p.body for p in parts if p.conv_id == c)) for c in {p.conv_id for p in parts}}
+    assert set(bodies) == {1, 2}
+    assert [m["content"] for m in bodies[1]["messages"]][1:] == ["s", "q1", "a1", "q2"]
+    attached = bodies[1]["messages"][0]
+    assert attached["role"] == "system" and attached["content"].startswith(L.FILES_PROMPT + '[文件: a.txt]\n```\nsay "hi"\n\\\n```')
+    assert attached["content"].endswith("[文件: c.txt]\n```\n漢\n```")
+    assert [m["content"] for m in bodies[2]["messages"]] == ["s", "only"]
+
+
+def test_replies_cut_anywhere(spark, monkeypatch):
+    monkeypatch.setattr(L, "_SEQUENCE", 7)
+    line = 'data: {"choices":[{"delta":{"content":"%s"}}]}\r\n\n'
+    whole = (": ping\n" + "".join(line % w for w in ("Hé", "漢字", "😀 x", "", "end")) + "data: [DONE]\n").encode()
+    uncut = L.parse_chunks(spark.createDataFrame([(1, whole.decode())], "id int, payload string"), ["id"])
+    want = sorted(tuple(r)[1:] for r in uncut.collect())
+    assert [w[2] for w in want] == ["Hé", "漢字", "😀 x", "end", ""]
+    for size in (1, 5, 61, 10_000):
+        rows = [(k, i // size, whole[i : i + size]) for k in (1, None) for i in range(0, len(whole), size)]
+        got = L.parse_chunk_stream(spark.createDataFrame(rows, "id int, seq int, payload binary").repartition(3), ["id"], "seq").collect()
+        assert sorted(tuple(r)[1:] for r in got if r.id == 1) == want == sorted(tuple(r)[1:] for r in got if r.id is None)
