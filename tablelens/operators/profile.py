@@ -8,15 +8,16 @@ frequencies, from which mode, exact median, frequent words and extremes follow:
 * the counts are combined before the shuffle, so a value that fills a third of the table
   crosses the network once per map task;
 * no per-group value maps (Spark's `median` and `mode` keep one) and no sort of the
-  whole table: the median is found by counting value ranges, then ranking the values of
-  the one range that holds it.
+  whole table: sketches enclose the middle rank, exact counts confirm it, and only a few
+  values are ranked.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablelens.functions.columns import number_columns, quoted, select_columns
 from tablelens.functions.numbers import finite_or_null, parse_any, parse_finite, render_double
@@ -24,6 +25,9 @@ from tablelens.functions.words import SPACE, bare_word, cn_chars, en_words, not_
 from tablelens.session import spread
 
 INFER_RATE = 0.9
+#: Size of the sketches that enclose middle ranks; the steps of rank at which they are cut (three to
+#: four times their error apart); how many values are ranked one by one.
+SKETCH, STEPS, FEW = 4096, 1024, 4096
 WORDS = "struct<en_words:bigint,cn_chars:bigint,total:bigint>"
 CONTENT = "struct<content:string,n:bigint>"
 PROFILE_SCHEMA = (
@@ -195,74 +199,118 @@ def _number_modes(counts: DataFrame) -> DataFrame:
     )
 
 
-def exact_medians(counts: DataFrame, bounds: DataFrame) -> DataFrame:
-    """(idx, median) from value counts (idx, v, n) and per-column bounds (idx, min, max, valid).
+@dataclass(frozen=True)
+class _Stretch:
+    """The open interval of values that holds a column's middle ranks, and where to cut it next.
 
-    Two rounds count values by range and keep the one or two ranges that hold the middle
-    ranks; what is left is ranked value by value. Ranges are cut by magnitude (64 steps
-    per power of two) and by linear position (4096 steps). Both are monotone in the value,
-    so the pair orders like it, and a column would need more than 10^12 different values
-    before a range holds more than a task can sort in memory.
+    `before` values lie at or below `low`; `few`: what is left can be ranked one by one.
     """
-    # Unusable values weigh nothing instead of being filtered out: a filter would be pushed
-    # below the counting and keep Spark from reusing its shuffle for mode and median.
-    # For the same reason `v` is never null: null checks would be pushed down as well.
-    weighed = counts.select(
-        "idx",
-        F.coalesce(finite_or_null(F.col("v")), F.lit(0.0)).alias("v"),
-        F.when(finite_or_null(F.col("v")).isNotNull(), F.col("n")).otherwise(F.lit(0).cast("bigint")).alias("n"),
-    )
-    whole = bounds.select(
-        "idx",
-        F.col("min").alias("low"),
-        F.col("max").alias("high"),
-        F.lit(0).cast("bigint").alias("before"),
-        F.floor((F.col("valid") + 1) / 2).alias("lower"),
-        F.floor(F.col("valid") / 2 + 1).alias("upper"),
-    )
-    ranges = _narrow(weighed, _narrow(weighed, whole))
-    inside = weighed.join(F.broadcast(ranges), "idx").where(F.col("v").between(F.col("low"), F.col("high")))
-    in_order = Window.partitionBy("idx", "low").orderBy("v")
-    last = F.col("before") + F.sum("n").over(in_order)
-    ranked = inside.select(
-        "idx", "v", "lower", "upper", (last - F.col("n") + 1).alias("first"), last.alias("last")
-    )
-    at_lower = F.when(F.col("lower").between(F.col("first"), F.col("last")), F.col("v"))
-    at_upper = F.when(F.col("upper").between(F.col("first"), F.col("last")), F.col("v"))
-    # Halved before adding, so that two huge values do not overflow.
-    return ranked.groupBy("idx").agg((F.max(at_lower) / 2 + F.max(at_upper) / 2).alias("median"))
+
+    low: float
+    high: float
+    before: int
+    cut: tuple[float, float]
+    few: bool = False
 
 
-def _narrow(weighed: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Cut ranges (idx, low, high, before, lower, upper) and keep the pieces with a middle rank.
+def exact_medians(df: DataFrame, values: dict[int, Column], valid: dict[int, int]) -> dict[int, float]:
+    """The median of each column of numbers, from scans that send a few numbers per column and task.
 
-    `before` counts the values below a range; lower and upper are the 1-based middle
-    ranks, equal when the count is odd. There are one or two ranges per column.
+    `values` are the columns (usable numbers or null) and `valid` how many numbers each has. A
+    mergeable sketch names two values that enclose the middle ranks; the next scan counts exactly
+    what lies below, between and at them, and sketches what lies between. That is a small share of
+    the column however its values are spread, so each scan leaves about three in a thousand of what
+    the one before left, until at most FEW values remain, which are ranked one by one. A sketch
+    that errs costs another scan, never a wrong median. Values that many rows share are counted at
+    the cuts, so they do not fill the remainder. Columns without numbers are left out.
     """
-    v, low, high = F.col("v"), F.col("low"), F.col("high")
-    magnitude = F.signum(v) * F.floor((F.log2(F.abs(v)) + 1100) * 64)
-    # Halved before subtracting, so that the width of [-1.7e308, 1.7e308] stays finite.
-    share = (v / 2 - low / 2) / (high / 2 - low / 2)
-    ranks = ["idx", "before", "lower", "upper"]
-    pieces = (
-        weighed.join(F.broadcast(ranges), "idx")
-        .where(v.between(low, high))
-        .select(
-            *ranks,
-            F.when(v == 0, F.lit(0.0)).otherwise(magnitude).alias("r1"),
-            F.when(high > low, F.floor(share * 4096)).otherwise(F.lit(0).cast("bigint")).alias("r2"),
-            "v",
-            "n",
-        )
-        .groupBy(*ranks, "r1", "r2")
-        .agg(F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-    )
-    upto = Window.partitionBy("idx", "before").orderBy("r1", "r2")
-    ahead = F.col("before") + F.sum("n").over(upto) - F.col("n")
-    placed = pieces.select("idx", "low", "high", "n", ahead.alias("before"), "lower", "upper")
-    first, last = F.col("before") + 1, F.col("before") + F.col("n")
-    hit = F.col("lower").between(first, last) | F.col("upper").between(first, last)
-    return placed.where(hit).drop("n")
+    ranks = {i: sorted({(n + 1) // 2, n // 2 + 1}) for i, n in valid.items() if n and i in values}
+    found: dict[int, dict[int, float]] = {i: {} for i in ranks}
+    cuts = _first_cuts(df, {i: values[i] for i in ranks})
+    open_ = {i: _Stretch(-math.inf, math.inf, 0, c) for i, c in cuts.items()}
+    while open_:
+        counted = _counted(df, {i: values[i] for i in open_}, open_)
+        for i, at in list(open_.items()):
+            todo = [r for r in ranks[i] if r not in found[i]]
+            rest = None
+            for r in todo:
+                value, stretch = _locate(counted[i], at, r)
+                if stretch is None:
+                    found[i][r] = value
+                rest = rest or stretch
+            if rest is None:
+                del open_[i]
+            else:
+                open_[i] = rest
+    # Halved before adding, so that two huge values do not overflow; + 0.0 turns -0.0 into 0.0.
+    return {i: (v[min(v)] if len(v) == 1 else v[min(v)] / 2 + v[max(v)] / 2) + 0.0 for i, v in found.items()}
+
+
+def _first_cuts(df: DataFrame, values: dict[int, Column]) -> dict[int, tuple[float, float]]:
+    """Two values of each column that most likely enclose its middle ranks."""
+    if not values:
+        return {}
+    sketches = df.agg(*[F.kll_sketch_agg_double(v, F.lit(SKETCH)).alias(f"s{i}") for i, v in values.items()])
+    row = sketches.select(
+        *[F.kll_sketch_get_quantile_double(f"s{i}", F.lit(0.5 + d / STEPS)).alias(f"{n}{i}") for i in values for n, d in (("l", -1), ("h", 1))]
+    ).first()
+    return {i: (row[f"l{i}"], row[f"h{i}"]) for i in values}
+
+
+def _counted(df: DataFrame, values: dict[int, Column], open_: dict[int, _Stretch]) -> dict[int, T.Row]:
+    """What lies below, at, between and above the cuts of each stretch; all values of a stretch of few."""
+    aggs, shown = [], []
+    for i, v in values.items():
+        at, (left, right) = open_[i], open_[i].cut
+        inner = (v > at.low) & (v < at.high)
+        if at.few:
+            aggs.append(F.sort_array(F.collect_list(F.when(inner, v))).alias(f"all{i}"))
+            shown.append(F.struct(F.col(f"all{i}").alias("all")).alias(str(i)))
+            continue
+        parts = {
+            "below": inner & (v < left),
+            "between": (v > left) & (v < right),
+            "above": inner & (v > right),
+        }
+        fields = [F.col(f"{k}{i}").alias(k) for k in ("left", "right")]
+        aggs += [F.count_if(v == left).alias(f"left{i}"), F.count_if((v == right) & F.lit(right > left)).alias(f"right{i}")]
+        for k, inside in parts.items():
+            part = F.when(inside, v)
+            aggs += [F.count(part).alias(f"{k}{i}"), F.min(part).alias(f"{k}_min{i}"), F.max(part).alias(f"{k}_max{i}")]
+            fields += [F.col(f"{k}{x}{i}").alias(k + x) for x in ("", "_min", "_max")]
+        aggs.append(F.kll_sketch_agg_double(F.when(parts["between"], v), F.lit(SKETCH)).alias(f"s{i}"))
+        steps = F.kll_sketch_get_quantile_double(f"s{i}", F.array(*[F.lit(k / STEPS) for k in range(STEPS + 1)]))
+        fields.append(F.when(F.col(f"between{i}") > 0, steps).alias("steps"))
+        shown.append(F.struct(*fields).alias(str(i)))
+    row = df.agg(*aggs).select(*shown).first()
+    return {i: row[str(i)] for i in values}
+
+
+def _locate(c: T.Row, at: _Stretch, rank: int) -> tuple[float | None, _Stretch | None]:
+    """The value of a rank, or the smaller stretch that holds it."""
+    before = at.before
+    if at.few:
+        return c["all"][rank - before - 1], None
+    left, right = at.cut
+    parts = [
+        (c["below"], c["below_min"], c["below_max"], at.low, left, (c["below_min"], c["below_max"])),
+        (c["left"], left, left, left, left, None),
+        (c["between"], c["between_min"], c["between_max"], left, right, None),
+        (c["right"], right, right, right, right, None),
+        (c["above"], c["above_min"], c["above_max"], right, at.high, (c["above_min"], c["above_max"])),
+    ]
+    for n, least, most, low, high, cut in parts:
+        if rank <= before + n:
+            if rank == before + 1 or least == most:
+                return least, None
+            if rank == before + n:
+                return most, None
+            if cut is None:  # the steps of the sketch beside the rank
+                at_step = (rank - before) * STEPS // n
+                cut = c["steps"][max(at_step - 1, 0)], c["steps"][min(at_step + 2, STEPS)]
+            return None, _Stretch(low, high, before, cut, n <= FEW)
+        before += n
+    raise ValueError("the table changed while its median was sought")
 
 
 def _text_blocks(counts: DataFrame) -> DataFrame:
@@ -330,14 +378,9 @@ def profile(
     numbers = [c for c in cols if c.kind == "numeric"]
     texts = [c for c in cols if c.kind == "string"]
     out = stats.select("*", label)
-    valid = F.col("zero_count") + F.col("non_zero_valid_count")
-    bounds = stats.where("min is not null").select("idx", "min", "max", valid.alias("valid"))
-    medians = []
     if numbers:
         counts = _number_counts(df, numbers)
         out = out.join(F.broadcast(_number_modes(counts)), "idx", "left")
-        if not median_accuracy:
-            medians.append(exact_medians(counts, bounds))
     if texts:
         counts = _text_counts(df, texts)
         out = out.join(F.broadcast(_text_blocks(counts)), "idx", "left")
@@ -347,13 +390,13 @@ def profile(
         out = out.join(
             F.broadcast(top_words(worded).select("idx", F.col("word").alias("top_freq_word"))), "idx", "left"
         )
-        if inferred and not median_accuracy:
-            # Only numeric columns have bounds, so the join in there picks the inferred ones.
-            parsed = counts.select("idx", parse_finite(F.col("s")).alias("v"), "n")
-            medians.append(exact_medians(parsed, bounds))
-    if medians:
-        both = medians[0] if len(medians) == 1 else medians[0].unionAll(medians[1])
-        out = out.join(F.broadcast(both), "idx", "left")
+    if not median_accuracy:
+        valid = {r.idx: r.zero_count + r.non_zero_valid_count for r in known if r.min is not None}
+        values = {c.idx: finite_or_null(quoted(c.name).cast("double")) for c in numbers}
+        values |= {c.idx: parse_finite(quoted(c.name)) for c in texts if c.idx in inferred}
+        found = exact_medians(df, values, valid)
+        medians = spark.createDataFrame(list(found.items()), "idx int, median double")  # one row per column
+        out = out.join(F.broadcast(medians), "idx", "left")
     have = set(out.columns)
     content_mode = F.col("top_freq_content.content") if "top_freq_content" in have else F.lit(None)
     number_mode = F.col("mode") if "mode" in have else F.lit(None)
