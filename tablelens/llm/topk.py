@@ -1,28 +1,36 @@
 """Exact top-k by inner product: Fagin's threshold algorithm over sorted per-dimension lists.
 
-Vectors are dealt into blocks of bounded size. Inside a block every dimension has a list of its
-vectors in order of that component; a query walks each list from the end at which its own
-component makes the products large. All lists are walked to the same depth, round by round. A
-vector is scored when some list first shows it. What no list has shown yet scores at most the sum,
-over the dimensions, of the query's component times the list's value at that depth, so a query
-stops as soon as this bound is below its kth best score. It also stops against the kth best score
-of a few of the block's vectors, which are scored before the walk.
-
-Lists, scores and bounds are integers; where float arithmetic could round, 64-bit integers are
-used. The blocks' results are cut to k per query again.
+Vectors are dealt into blocks of bounded size, queries into blocks of their own, and each pair of
+blocks is one task. Inside a block the vectors are turned to their principal axes, where a few
+dimensions carry most of a product. Each of these has a list of the vectors in order of that
+component; one more list orders them by the length of all that is left, which bounds the rest of
+a product (Cauchy-Schwarz). A query walks each list from the end at which its own component makes
+products large, all to the same depth. A vector that no list has shown scores at most the sum, over
+the lists, of the query's component times the list's value at that depth, so the walk stops at the
+first depth at which this bound is below the kth best score known from the vectors scored first
+(the longest ones and some at equal steps). The vectors shown by then are scored exactly. Queries
+whose bound does not fall in time, because most vectors would be shown anyway, are scored against
+the block in one matrix product.
+
+Scores are exact integers: products are taken in floats only where these hold every partial sum.
+The bounds are floats with a margin above their rounding. The blocks' results are cut to k per
+query again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors and queries that one block holds.
-VECTORS, QUERIES = 8192, 1024
+#: Numbers that a block of vectors holds, and how many blocks of queries make up one of vectors.
+NUMBERS, QUERY_SHARE = 1 << 22, 8
+#: Sorted lists of a block besides that of the rests, and vectors that are scored ahead of the walk.
+LISTS, AHEAD = 8, 4096
+#: Depths at which a walk may stop, as shares of the block.
+DEPTHS = (1 / 1024, 1 / 256, 1 / 64, 1 / 24)
+#: Scores held at a time.
+SCORES = 1 << 22
 
 
 def quantized(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
@@ -39,107 +47,149 @@ class Lists:
     """The sorted per-dimension lists of one block of vectors."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
         n, dims = vectors.shape
-        self.order = np.argsort(-self.vectors, axis=0, kind="stable").T.astype(np.int32)  # (dims, n), largest first
-        self.sorted = np.take_along_axis(self.vectors.T, self.order, axis=1)
-        rank = np.empty((dims, n), np.int32)
-        np.put_along_axis(rank, self.order, np.broadcast_to(np.arange(n, dtype=np.int32), (dims, n)), axis=1)
-        self.rank = rank
-
-    def top(self, query: np.ndarray, own: int, k: int, floor: int | None) -> tuple[np.ndarray, np.ndarray, int]:
-        """Rows and scores that hold the block's k best (ties by smaller id), and how many were scored.
-
-        Vectors that cannot beat `floor`, a score that k vectors are known to reach, may be missing.
+        self.ids, self.vectors = ids, vectors
+        x = vectors.astype(np.float64)
+        _, axes = np.linalg.eigh(x.T @ x)
+        self.axes = axes[:, ::-1]  # the heaviest first
+        p = self.lists = min(LISTS, dims)
+        turned = x @ self.axes
+        rest = np.sqrt((turned[:, p:] ** 2).sum(axis=1))
+        keys = np.concatenate([turned[:, :p], rest[:, None]], axis=1)
+        self.order = np.argsort(-keys, axis=0, kind="stable").T  # (lists, n), largest first
+        self.sorted = np.take_along_axis(keys.T, self.order, axis=1)
+        length = np.sqrt((x * x).sum(axis=1))
+        self.longest = float(length.max(initial=0.0))
+        longest = np.argsort(-length, kind="stable")[: AHEAD // 2]
+        self.ahead = np.union1d(longest, np.arange(0, n, max(1, 2 * n // AHEAD)))
+        self.depths = sorted({max(1, int(n * d)) for d in DEPTHS if max(1, int(n * d)) < n})
+
+    def floors(self, queries: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+        """A score of each query that at least k vectors reach; minus infinity where too few are looked at."""
+        if len(self.ahead) < k:
+            return np.full(len(queries), -np.inf)
+        scores = (queries @ self.vectors[self.ahead].T).astype(np.float64)
+        # a float score may lie above the integer it stands for only where integers are beyond 2^53
+        scores = np.nextafter(scores, -np.inf) if self.vectors.dtype == np.int64 else scores
+        scores[own[:, None] == self.ids[self.ahead][None, :]] = -np.inf
+        return np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+
+    def stops(self, queries: np.ndarray, floors: np.ndarray) -> np.ndarray:
+        """The depth at which each query's walk stops; the number of vectors where it does not."""
+        n, p = len(self.ids), self.lists
+        turned = queries.astype(np.float64) @ self.axes
+        rest = np.sqrt((turned[:, p:] ** 2).sum(axis=1))
+        parts = np.concatenate([turned[:, :p], rest[:, None]], axis=1)
+        slack = 1e-9 * (1.0 + self.longest * np.sqrt((turned**2).sum(axis=1)))
+        out = np.full(len(queries), n)
+        for depth in reversed(self.depths):
+            bound = np.maximum(parts, 0) @ self.sorted[:, depth - 1] + np.minimum(parts, 0) @ self.sorted[:, n - depth]
+            out[bound + slack < floors] = depth
+        return out
+
+    def shown(self, query: np.ndarray, depth: int) -> np.ndarray:
+        """The vectors that the query's lists show down to a depth."""
+        n, p = len(self.ids), self.lists
+        turned = query.astype(np.float64) @ self.axes[:, :p]
+        ends = [order[:depth] if x >= 0 else order[n - depth :] for order, x in zip(self.order, [*turned, 0.0])]
+        return np.unique(np.concatenate(ends))
+
+    def top(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(query, row, score) that hold each query's k best, and how many products were taken beside those ahead.
+
+        Vectors with the id in `own` are left out.
         """
-        n = len(self.ids)
-        used = np.flatnonzero(query)
-        up, down = used[query[used] > 0], used[query[used] < 0]
-        depth, scored = max(1, n // 128), np.zeros(n, bool)
-        rows, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        while True:
-            if len(used) == 0 or depth >= n:
-                fresh = np.flatnonzero(~scored)
-            else:
-                shown = np.zeros(n, bool)
-                shown[self.order[up, :depth].ravel()] = True
-                shown[self.order[down, n - depth :].ravel()] = True
-                fresh = np.flatnonzero(shown & ~scored)
-            scored[fresh] = True
-            some = self.vectors[fresh]
-            rows = np.concatenate([rows, fresh])
-            scores = np.concatenate([scores, (some @ query).astype(np.int64)])
-            rows, scores = best(rows, scores, self.ids[rows], own, k)
-            if depth >= n or len(used) == 0:
-                return rows, scores, int(scored.sum())
-            bound = int(self.sorted[up, depth - 1] @ query[up]) + int(self.sorted[down, n - depth] @ query[down])
-            if (len(rows) >= k and bound < scores.min()) or (floor is not None and bound < floor):
-                return rows, scores, int(scored.sum())
-            depth *= 4
-
-
-def best(rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k largest scores without the query's own row, ties by smaller id."""
-    other = ids != own
-    rows, scores, ids = rows[other], scores[other], ids[other]
-    if len(rows) > k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        near = scores >= least
-        rows, scores, ids = rows[near], scores[near], ids[near]
-    order = np.lexsort((ids, -scores))[:k]
-    return rows[order], scores[order]
-
-
-def _matrix(vs, dims: int) -> np.ndarray:
-    """Vectors as rows, shorter ones filled with zeros; in floats where products are exact in them."""
-    out = np.zeros((len(vs), dims), np.int64)
-    for i, v in enumerate(vs):
-        out[i, : len(v)] = v
+        found, n = [], len(self.ids)
+        taken, step = 0, max(1, SCORES // max(n, AHEAD))
+        for at in range(0, len(queries), step):
+            qs, mine = queries[at : at + step], own[at : at + step]
+            floors = self.floors(qs, mine, k)
+            stops = self.stops(qs, floors)
+            whole = np.flatnonzero(stops == n)
+            if len(whole):
+                scores = qs[whole] @ self.vectors.T
+                i, rows = np.nonzero(scores >= floors[whole][:, None])
+                found.append(self._best(whole[i], rows, scores[i, rows], mine, k, at))
+                taken += n * len(whole)
+            for i in np.flatnonzero(stops < n):
+                rows = self.shown(qs[i], stops[i])
+                scores = self.vectors[rows] @ qs[i]
+                taken += len(rows)
+                near = scores >= floors[i]
+                found.append(self._best(np.full(near.sum(), i), rows[near], scores[near], mine, k, at))
+        parts = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 3
+        return parts[0], parts[1], parts[2], taken
+
+    def _best(self, which, rows, scores, own, k, at):
+        """The k best of each query, ties by smaller id."""
+        other = self.ids[rows] != own[which]
+        which, rows, scores = which[other], rows[other], scores[other].astype(np.int64)
+        order = np.lexsort((self.ids[rows], -scores, which))
+        which, rows, scores = which[order], rows[order], scores[order]
+        place = np.arange(len(which)) - np.searchsorted(which, which)
+        kept = place < k
+        return which[kept] + at, rows[kept], scores[kept]
+
+
+def _matrix(lists, dims: int) -> np.ndarray:
+    """An Arrow column of lists as rows; shorter ones are filled with zeros."""
+    import pyarrow.compute as pc
+
+    column = lists.combine_chunks()
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(sizes), dims), np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    out[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
     return out
 
 
+def _exact(vectors: np.ndarray, queries: np.ndarray) -> type:
+    """The fastest type that holds every partial sum of a product."""
+    size = lambda x: max(abs(int(x.min())), abs(int(x.max())), 1)
+    largest = size(vectors) * size(queries) * vectors.shape[1]
+    return np.float32 if largest < 1 << 24 else np.float64 if largest < 1 << 53 else np.int64
+
+
 def top_k(
     vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k best rows of `vectors`, the row of its own id left out.
+    """(query_id, rank, vec_id, score): each query's k best rows of `vectors`, rows of its own id left out.
 
     Equal scores go to the smaller vec_id; with fewer than k other vectors all are returned. Null
     ids, null vectors and vectors with null or non-finite components take no part. Missing
-    components of a shorter vector count as zero. Repeated ids are rows of their own; an empty
-    table gives no rows.
+    components of a shorter vector count as zero, so an empty vector scores 0. Repeated ids are rows
+    of their own; an empty table gives no rows.
+
+    A block of vectors holds at most NUMBERS numbers, whatever their dimension. A vector is sent once
+    for each block of queries, a query once for each block of vectors.
     """
     rows = quantized(vectors, scale, id_col, vector_col)
     asked = quantized(queries, scale, id_col, vector_col)
     n, dims = rows.agg(F.count("*"), F.max(F.size("v"))).first()
     m, longest = asked.agg(F.count("*"), F.max(F.size("v"))).first()
-    dims = max(dims or 0, longest or 0)
-    n_blocks, q_blocks = -(-max(n, 1) // VECTORS), -(-max(m, 1) // QUERIES)
-    # every block of queries meets every block of vectors; both are dealt by id, so blocks are even
-    lot = lambda c, of: F.pmod(F.xxhash64(c), F.lit(of)).cast("int")
+    dims = max(dims or 0, longest or 0, 1)
+    per_block = max(1, NUMBERS // dims)
+    n_blocks = -(-max(n, 1) // per_block)
+    q_blocks = -(-max(m, 1) // max(1, per_block // QUERY_SHARE))
+    # every block of queries meets every block of vectors; both are dealt by hash, so blocks are even
+    lot = lambda of: F.pmod(F.xxhash64("vec_id", "v"), F.lit(of)).cast("int")
     all_of = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
-    left = rows.select("vec_id", "v", lot("vec_id", n_blocks).alias("b"), all_of(q_blocks).alias("q"))
-    right = asked.select("vec_id", "v", lot("vec_id", q_blocks).alias("q"), all_of(n_blocks).alias("b"))
-
-    def run(these: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(these) and len(ask) and dims:
-            vs, qs = _matrix(these["v"], dims), _matrix(ask["v"], dims)
-            largest = int(max(abs(int(vs.min())), abs(int(vs.max())), 1)) * int(max(abs(int(qs.min())), abs(int(qs.max())), 1)) * dims
-            if largest < 1 << 53:
-                vs, qs = vs.astype(np.float64), qs.astype(np.float64)
-            lists = Lists(these["vec_id"].to_numpy(np.int64), vs)
-            # a first look at few vectors: k scores that the walk must beat
-            few = lists.vectors[:: max(1, len(vs) // 512)] @ qs.T
-            few_ids = lists.ids[:: max(1, len(vs) // 512)]
-            for i, (own, query) in enumerate(zip(ask["vec_id"].to_numpy(np.int64), qs)):
-                seen = few[:, i][few_ids != own]
-                floor = int(np.partition(seen, len(seen) - k)[len(seen) - k]) if len(seen) >= k else None
-                r, s, _ = lists.top(query, own, k, floor)
-                out.append(pd.DataFrame({"query_id": own, "vec_id": lists.ids[r], "score": s}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
-
-    found = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInPandas(run, "query_id long, vec_id long, score long")
+    left = rows.select("vec_id", "v", lot(n_blocks).alias("b"), all_of(q_blocks).alias("q"))
+    right = asked.select("vec_id", "v", lot(q_blocks).alias("q"), all_of(n_blocks).alias("b"))
+
+    def run(these, ask):
+        import pyarrow as pa
+
+        ids, own = (t.column("vec_id").to_numpy().astype(np.int64) for t in (these, ask))
+        which = row = scores = np.zeros(0, np.int64)
+        if len(ids) and len(own):
+            vs, qs = _matrix(these.column("v"), dims), _matrix(ask.column("v"), dims)
+            kind = _exact(vs, qs)
+            which, row, scores, _ = Lists(ids, vs.astype(kind)).top(qs.astype(kind), own, k)
+        return pa.table({"query_id": own[which], "vec_id": ids[row], "score": scores.astype(np.int64)})
+
+    found = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

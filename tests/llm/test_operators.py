@@ -469,15 +469,43 @@ def test_threshold_search_equals_brute_force(spark):
     assert topk.top_k(vectors.limit(0), vectors.limit(0)).collect() == []
 
 
-def test_search_stops_early_without_loss():
+def _brute_top(ids, v, qs, own, k):
+    out = []
+    for i, q in enumerate(qs):
+        scores = v.astype(object) @ q.astype(object)
+        rows = [r for r in np.lexsort((ids, [-int(x) for x in scores])) if ids[r] != own[i]][:k]
+        out += [(i, r, int(scores[r])) for r in rows]
+    return out
+
+
+@pytest.mark.parametrize("decay, share", [(0.6, 0.2), (1.0, 1.0)])
+def test_search_stops_early_without_loss(decay, share):
+    """On decaying axes, in any rotation, few vectors are scored; without structure all may be."""
     g = np.random.default_rng(2)
-    v = np.round(g.standard_normal((4096, 4)) * 64)
-    v[:, 0] += np.arange(4096) / 4
-    lists = topk.Lists(np.arange(4096), v)
-    q = np.array([50.0, 1.0, 0.0, -1.0])
-    rows, scores, scored = lists.top(q, -1, 5, None)
-    exact = np.lexsort((np.arange(4096), -(v @ q)))[:5]
-    assert rows.tolist() == exact.tolist() and scored < 4096
+    turn, _ = np.linalg.qr(g.standard_normal((32, 32)))
+    v = np.floor(64 * (g.standard_normal((20000, 32)) * decay ** np.arange(32)) @ turn)
+    ids = g.permutation(20000)
+    for kind in (np.float64, np.int64):
+        lists = topk.Lists(ids, v.astype(kind))
+        qs, own = v[::1000].astype(kind), ids[::1000]
+        which, rows, scores, taken = lists.top(qs, own, 5)
+        assert list(zip(which, rows, scores)) == _brute_top(ids, v.astype(np.int64), qs.astype(np.int64), own, 5)
+        assert taken <= share * len(qs) * len(v)
+
+
+def test_search_in_several_blocks(spark, monkeypatch):
+    """Ties, repeated ids and few values, in many small blocks."""
+    monkeypatch.setattr(topk, "NUMBERS", 256)
+    monkeypatch.setattr(topk, "AHEAD", 16)
+    g = np.random.default_rng(4)
+    ids = np.concatenate([np.arange(300), np.full(80, 20)])
+    v = g.integers(-2, 3, (380, 4))
+    rows = [(int(i), [float(x) / 64 for x in e]) for i, e in zip(ids, v)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 6).collect())
+    asked = np.flatnonzero(ids % 50 == 0)
+    want = _brute_top(ids, v, v[asked], ids[asked], 6)
+    assert sorted((q, i, s) for q, _, i, s in got) == sorted((int(ids[asked[i]]), int(ids[r]), s) for i, r, s in want)
 
 
 # repeated passages
