@@ -21,8 +21,21 @@ _DMY = r"\d{1,2}-\d{1,2}-\d{4}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}"
 _SSN = r"\d{3}-\d{2}-\d{4}"
 _PHONE = r"(?:\+?\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}"
 _IP = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
-_CARD = r"\d(?:[ -]?\d){12,18}"
-PATTERN = EMAIL + r"|(?<![A-Za-z0-9])(?:" + "|".join([_YMD, _DMY, _SSN, _PHONE, _IP, _CARD]) + r")(?![A-Za-z0-9])"
+#: Ten digits without separators, where area code and exchange begin with 2-9.
+_BARE_PHONE = r"(?:\+?1)?[2-9]\d{2}[2-9]\d{6}"
+_SINGLE = [_YMD, _DMY, _SSN, _PHONE, _IP]
+#: Groups of digits, a space or hyphen between them, thirteen digits at least; a group that begins a date or address is not taken in.
+_GROUP = r"(?!(?:\d{1,2}[./]\d{1,2}[./]\d{4}|\d{4}[./]\d{1,2}[./]\d{1,2}|" + _IP + r")(?![A-Za-z0-9]))\d++(?![A-Za-z0-9])"
+_RUN = r"(?=\d(?:[ -]?\d){12})" + _GROUP + r"(?:[ -]" + _GROUP + r")*+"
+#: Digits of card numbers.
+CARD_DIGITS = (13, 19)
+
+
+def _pattern(numbers: list[str]) -> str:
+    return EMAIL + r"|(?<![A-Za-z0-9])(?:" + "|".join(numbers) + r")(?![A-Za-z0-9])"
+
+
+PATTERN, IN_RUN = _pattern([*_SINGLE, _RUN, _BARE_PHONE]), _pattern([*_SINGLE, _BARE_PHONE])
 #: Days are permuted within blocks of this many, counted from this day; three blocks reach from 1703 to 2294.
 DAY_BLOCK, DAY_ZERO = (240, 300), "1900-03-01"
 
@@ -224,34 +237,91 @@ def _is(m: Column, pattern: str) -> Column:
     return m.rlike("^(?:" + pattern + ")$")
 
 
-def pseudonym(m: Column, key: str) -> Column:
-    """The pseudonym of one match of PATTERN; what is no valid value stays as it is."""
+def _single(m: Column, key: str, other: Column) -> Column:
+    """The pseudonym of a value that stands for itself; `other` for any other match."""
     return (
         F.when(F.contains(m, F.lit("@")), email(m, key))
         .when(_is(m, _YMD) | _is(m, _DMY), date(m, key))
         .when(_is(m, _SSN), ssn(m, key))
         .when(_is(m, _IP), address(m, key))
-        .when(_is(m, _PHONE), phone(m, key))
-        .otherwise(card(m, key))
+        .when(_is(m, _PHONE) | _is(m, _BARE_PHONE), phone(m, key))
+        .otherwise(other)
     )
 
 
+def _replaced(text: Column, pattern: str, one: Callable[[Column], Column]) -> Column:
+    """`text` with `one` of each match in its place."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    names = F.concat(F.transform(found, one), F.array(F.lit("")))
+    return F.array_join(F.zip_with(F.split(text, pattern, -1), names, lambda a, b: F.concat(a, b)), "")
+
+
+def cards_in(groups: Column) -> Column:
+    """(first, last) of the valid card numbers among groups of digits, as whole groups counted from 1.
+
+    From left to right; where several begin at a group, the longest. No two share a group.
+    """
+    n = F.size(groups)
+
+    def valid(i: Column, j: Column) -> Column:
+        joined = F.array_join(F.slice(groups, i, j - i + 1), "")
+        return let(joined, lambda d: F.when(F.length(d).between(*CARD_DIGITS), F.pmod(luhn_sum(d), F.lit(10)) == 0).otherwise(False))
+
+    def longest(i: Column) -> Column:
+        ends = F.sequence(F.least(i + CARD_DIGITS[1] - 1, n), i, F.lit(-1))
+        return F.struct(i.alias("first"), F.get(F.filter(ends, lambda j: valid(i, j)), F.lit(0)).alias("last"))
+
+    every = F.filter(F.transform(F.sequence(F.lit(1), n), longest), lambda x: x["last"].isNotNull())
+    start = F.lit(None).cast("struct<last:int,cards:array<struct<first:int,last:int>>>")
+    start = F.coalesce(start, F.struct(F.lit(0).alias("last"), F.array().cast("array<struct<first:int,last:int>>").alias("cards")))
+
+    def take(s: Column, x: Column) -> Column:
+        with_x = F.struct(x["last"].alias("last"), F.concat(s["cards"], F.array(x)).alias("cards"))
+        return F.when(x["first"] > s["last"], with_x).otherwise(s)
+
+    return F.aggregate(every, start, take, lambda s: s["cards"])
+
+
+def cards(run: Column, key: str) -> Column:
+    """A run of groups of digits with its valid card numbers, and values of other kinds between them, replaced."""
+
+    def made(groups: Column, marks: Column, found: Column) -> Column:
+        def shown(first: Column, length: Column) -> Column:
+            """Groups, each with the mark behind it."""
+            both = F.zip_with(F.slice(groups, first, length), F.slice(marks, first, length), lambda g, c: F.concat(g, F.coalesce(c, F.lit(""))))
+            return F.array_join(both, "")
+
+        def piece(k: Column) -> Column:
+            behind = F.coalesce(F.get(found, k - 1)["last"], F.lit(0)) + 1
+            at = F.get(found, k)
+            rest = shown(behind, F.coalesce(at["first"], F.size(groups) + 1) - behind)
+            number = let(shown(at["first"], at["last"] - at["first"] + 1), lambda c: F.concat(card(F.rtrim(F.rtrim(c), F.lit("-")), key), F.regexp_extract(c, "[ -]?$", 0)))
+            other = let(rest, lambda r: F.when(r.rlike("[0-9]{2}"), _replaced(r, IN_RUN, lambda m: _single(m, key, m))).otherwise(r))
+            return F.concat(other, F.when(at.isNotNull(), number).otherwise(F.lit("")))
+
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.size(found)), piece), "")
+
+    parts = F.struct(F.split(run, "[ -]").alias("groups"), F.regexp_extract_all(run, F.lit("[ -]"), F.lit(0)).alias("marks"))
+    return let(parts, lambda p: let(cards_in(p["groups"]), lambda found: made(p["groups"], p["marks"], found)))
+
+
+def pseudonym(m: Column, key: str) -> Column:
+    """The pseudonym of one match of PATTERN; what is no valid value stays as it is."""
+    return _single(m, key, cards(m, key))
+
+
 def pseudonymized(text: Column, key: str) -> Column:
-    """(text, values): the text with all pseudonyms in place and the number of matches; a null text stays null."""
-    found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    between = F.split(text, PATTERN, -1)
-    names = F.concat(F.transform(found, lambda m: pseudonym(m, key)), F.array(F.lit("")))
-    joined = F.array_join(F.zip_with(between, names, lambda a, b: F.concat(a, b)), "")
-    return F.when(text.rlike("[0-9@]"), F.struct(joined.alias("text"), F.size(found).alias("found"))).otherwise(
-        F.struct(text.alias("text"), F.lit(0).alias("found"))
-    )
+    """The text with all pseudonyms in place; a null text stays null."""
+    return F.when(text.rlike("[0-9@]"), _replaced(text, PATTERN, lambda m: pseudonym(m, key))).otherwise(text)
 
 
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """`docs` with `text_col` replaced; all rows and all other columns stay as they are.
 
     Null and empty texts stay; repeated rows stay repeated; an empty table stays empty. Long texts
-    are handled whole.
+    are handled whole. A card number is any row of whole groups of digits (spaces or hyphens between
+    them) of 13 to 19 digits with a valid check digit, whatever digits stand before or behind it; the
+    longest where several begin at a group. What begins like a date, SSN or phone is read as that.
     """
-    out = pseudonymized(F.col(f"`{text_col}`").cast("string"), key)["text"]
+    out = pseudonymized(F.col(f"`{text_col}`").cast("string"), key)
     return docs.withColumn(text_col, out)

@@ -227,6 +227,68 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert other != got[2]
 
 
+def _luhn(d):
+    return sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(map(int, d[::-1]))) % 10 == 0
+
+
+def _brute_cards(groups):
+    """(first, last) of valid cards, by trying everything from the left, the longest first."""
+    out, at = [], 0
+    while at < len(groups):
+        ends = [j for j in range(len(groups), at, -1) if 13 <= len("".join(groups[at:j])) <= 19 and _luhn("".join(groups[at:j]))]
+        if ends:
+            out.append((at + 1, ends[0]))
+        at = ends[0] if ends else at + 1
+    return out
+
+
+def test_cards_equal_brute_force(spark):
+    g = random.Random(11)
+    rows = []
+    for _ in range(400):
+        groups = ["".join(g.choice("0123456789") for _ in range(g.choice([1, 2, 3, 4, 4, 4, 5, 6, 13, 16]))) for _ in range(g.randint(1, 9))]
+        rows.append((groups,))
+    got = spark.createDataFrame(rows, "groups array<string>").select("groups", pii.cards_in(F.col("groups")).alias("c")).collect()
+    assert sum(len(r.c) for r in got) > 50
+    for r in got:
+        assert [tuple(x) for x in r.c] == _brute_cards(r.groups)
+
+
+def test_every_length_and_grouping_of_cards_is_found(spark):
+    g = random.Random(12)
+    rows, plain = [], []
+    around = ["{}", "card {} 12/25", "{} 123", "7 {}", "{}/25", "{} 2020-02-29", "{} 12/25/2024.", "no {}, {}", "078-05-1120 {}"]
+    for length in range(13, 20):
+        for shape in range(9):
+            body = "".join(g.choice("123456789") for _ in range(length - 1))
+            number = next(body + c for c in "0123456789" if _luhn(body + c))
+            cuts = sorted(g.sample(range(4, length), shape % 4))
+            shown = g.choice(" -").join(number[a:b] for a, b in zip([0, *cuts], [*cuts, length]))
+            plain.append((number, shown))
+            rows.append((len(rows), around[shape].replace("{}", shown)))
+    got = {r.i: r.t for r in pii.pseudonymize(spark.createDataFrame(rows, "i long, t string"), "k", "t").collect()}
+    for i, t in rows:
+        assert plain[i][1] not in got[i] and [c for c in got[i] if not c.isdigit()] == [c for c in t if not c.isdigit()], (t, got[i])
+        if "12/25/2024" in t:
+            assert "12/25/2024" not in got[i]
+        if "078-05-1120" in t:
+            assert "078-05-1120" not in got[i]
+
+
+def test_bare_phones_runs_and_odd_rows(spark):
+    long = "1 " * 20_000 + "9" * 30_000 + " call 9885552485"
+    rows = [(1, "call 9885552485 or 988-555-2485 or +19885552485"), (2, "1700000000 0123456789 12345678901234567890123"), (3, long), (3, long), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("groups", F.lit(1)).withColumn("m", F.lit("x"))
+    out = pii.pseudonymize(docs, "k")
+    got = [r.text for r in out.orderBy("doc_id").collect()]
+    assert out.columns == docs.columns and len(got) == 6
+    a, b, c = got[0].split(" or ")
+    assert a[5:] == b.replace("-", "") == c[2:] != "9885552485"
+    assert got[1] == rows[1][1] and got[4] is None and got[5] == ""
+    assert got[2] == got[3] and got[2].endswith(" call " + a[5:]) and "9" * 30_000 in got[2]
+    assert pii.pseudonymize(docs.limit(0), "k").collect() == []
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.range(7 * 11).select((F.floor(F.col("id") / 11)).cast("long").alias("l"), (F.col("id") % 11).alias("r"))
     out = df.select(pii.feistel(F.col("l"), F.col("r"), F.lit(7), F.lit(11), "k", F.lit("t")).alias("o")).select("o.l", "o.r").collect()
