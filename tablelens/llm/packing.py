@@ -15,6 +15,7 @@ import heapq
 import os
 from array import array
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 from pyspark import TaskContext
@@ -22,9 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct chunks whose ids a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 1 << 20
 #: Chunks that are encoded in one call.
 JOINED = 1_000
+#: Characters of the texts that are tokenised at a time, but for a single longer text.
+CHARACTERS = 4 << 20
 #: Sequences of one partition are numbered from its number times this.
 PER_PARTITION = 1 << 40
 
@@ -60,7 +63,7 @@ class ChunkTokenizer:
         starts = np.flatnonzero(self.spaced[ids])
         if len(starts) == len(chunks) and not starts[0]:
             raw, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-            self.known.update((c, raw[a:b]) for c, a, b in zip(chunks, cuts, cuts[1:]))
+            self.known.update(zip(chunks, [raw[a:b] for a, b in pairwise(cuts)]))
         else:
             self.known.update(zip(chunks, self.encode([" " + c for c in chunks])))
 
@@ -69,7 +72,7 @@ class ChunkTokenizer:
             self.known = {}
         chunks = [t.split(" ") for t in texts]
         firsts = self.encode([parts.pop(0) for parts in chunks])
-        new = [c for c in set().union(*chunks).difference(self.known) if c and not c[0].isspace() and not c[-1].isspace()]
+        new = [c for c in set(chain.from_iterable(chunks)).difference(self.known) if c and c.strip() == c]
         for at in range(0, len(new), JOINED):
             self.learn(new[at : at + JOINED])
         out = []
@@ -212,9 +215,14 @@ def pack(
 
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for at in range(0, len(ids), 256):
-                some = [t or "" for t in texts[at : at + 256]]
-                for doc_id, coded in zip(ids[at : at + 256], coder.ids(some)):
+            ends = np.cumsum([len(t or "") for t in texts])
+            at = 0
+            while at < len(ids):
+                before = ends[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, before + CHARACTERS, side="right")))
+                group = ids[at:to], coder.ids([t or "" for t in texts[at:to]])
+                at = to
+                for doc_id, coded in zip(*group):
                     coded += end
                     held.append((doc_id, coded, len(coded) // 4, 0))
                     tokens += len(coded) // 4
