@@ -718,8 +718,10 @@ def stream_words(spark, sf):
 
 def stream_top_values(spark, sf):
     f = _folder(spark, "top")
-    e = _event_stream(spark, sf)
-    running.count_values(e, ["event_type", "props", "user_id"], f + "/out", f + "/state").awaitTermination()
+    events = table(spark, sf, "events")
+    events.repartition(10).write.parquet(f + "/in")  # ten files, one per micro-batch
+    e = running.stream_records(spark, f + "/in", events.schema, "parquet", files_per_batch=1)
+    running.count_values(e, ["event_type", "props", "user_id"], f + "/out", f + "/state", fanout=3).awaitTermination()
     return running.top_values(spark, f + "/out")
 
 

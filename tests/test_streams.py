@@ -34,9 +34,41 @@ def test_top_values_over_batches(spark, tmp_path):
     df, stream = folder(spark, tmp_path)
     out = str(tmp_path / "counts")
     X.count_values(stream, ["w", "k"], out, str(tmp_path / "state")).awaitTermination()
-    assert spark.read.parquet(out).select("batch").distinct().count() == 4
+    assert X._finished(spark, out) == {(i, i) for i in range(4)}
     got = {r.name: (r.content, r.n) for r in X.top_values(spark, out).collect()}
     assert got == {"w": ("word", 14), "k": ("a", 30)}
+    assert X.top_values(spark, str(tmp_path / "nothing")).collect() == []
+
+
+def test_counts_are_added_up_in_levels(spark, tmp_path):
+    """Read cost does not grow with the batches; cut off sums and repeated batches change nothing."""
+    df, stream = folder(spark, tmp_path, parts=11)
+    out = str(tmp_path / "counts")
+    X.count_values(stream, ["w", "k", "n"], out, str(tmp_path / "state"), fanout=3).awaitTermination()
+    finished = X._finished(spark, out)
+    last = max(b for _, b in finished)
+    assert last == 10 and X._cover(finished, 0, last) == [(0, 8), (9, 9), (10, 10)]
+    assert (0, 0) not in finished and (0, 2) in finished  # only tables whose sums are old enough are gone
+    want = {"w": ("word", 14), "k": ("a", 30), "n": ("0", 1)}
+    tops = lambda: {r.name: (r.content, r.n) for r in X.top_values(spark, out).collect()}
+    assert tops() == want
+    os.remove(f"{out}/0-8/{X.MARK}")  # a sum that was cut off: its parts are still there
+    assert X._cover(X._finished(spark, out), 0, last)[-2:] == [(9, 9), (10, 10)] and tops() == want
+    X._add_up(spark, out, 8, 3)
+    assert (0, 8) in X._finished(spark, out) and tops() == want
+    again = spark.read.parquet(f"{out}/10-10").collect()
+    X._save(spark.createDataFrame(again), out, 10, 10)
+    X._add_up(spark, out, 10, 3)
+    assert tops() == want
+
+
+def test_missing_counts_are_an_error():
+    try:
+        X._cover({(0, 2), (4, 4)}, 0, 4)
+    except ValueError as e:
+        assert "batch 3" in str(e)
+    else:
+        raise AssertionError
 
 
 def test_running_words(spark, tmp_path):
