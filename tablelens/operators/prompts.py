@@ -14,6 +14,7 @@ from tablelens.operators.positions import head
 from tablelens.operators.text_profile import split_paragraphs
 
 PREVIEW_ROWS = 100
+# Where texts are cut unless another limit, or None, is asked for; the column `cut` says which were.
 CONTEXT_CHARS = 50_000
 PARAGRAPH_LIMIT = 2_000
 OVERVIEW_CHARS = 3_000
@@ -44,8 +45,18 @@ EFFORTS = {"low": "high", "medium": "high", "high": "high", "xhigh": "max", "max
 # --- contexts ------------------------------------------------------------
 
 
-def table_preview(df: DataFrame, order_by: list[str] | None = None, rows: int = PREVIEW_ROWS) -> DataFrame:
-    """(content): header and first rows as tab-separated lines, cut to 50,000 characters."""
+def _limited(text: Column, limit: int | None) -> list[Column]:
+    """content, cut: a text's first `limit` characters, all for None, and whether there were more."""
+    if limit is None:
+        return [text.alias("content"), F.lit(False).alias("cut")]
+    more = F.coalesce(F.char_length(text) > limit, F.lit(False))
+    return [F.substring(text, 1, limit).alias("content"), more.alias("cut")]
+
+
+def table_preview(
+    df: DataFrame, order_by: list[str] | None = None, rows: int = PREVIEW_ROWS, limit: int | None = CONTEXT_CHARS
+) -> DataFrame:
+    """(content, cut): header and first rows as tab-separated lines, cut to `limit` characters."""
     first = head(df, rows, order_by)
     if order_by:  # the list is sorted by key after the limit has bounded it
         keyed = first.select(F.struct(*[quoted(k) for k in order_by], render_tsv(first)).alias("r"))
@@ -56,12 +67,12 @@ def table_preview(df: DataFrame, order_by: list[str] | None = None, rows: int =
     text = F.concat(
         F.lit(tsv_header(df) + "\n"), F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")
     )
-    return keyed.agg(F.substring(text, 1, CONTEXT_CHARS).alias("content"))
+    return keyed.agg(text.alias("text")).select(*_limited(F.col("text"), limit))
 
 
-def text_context(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys, content): every text cut to 50,000 characters."""
-    return docs.select(*keys, F.substring(quoted(text), 1, CONTEXT_CHARS).alias("content"))
+def text_context(docs: DataFrame, keys: list[str], text: str = "text", limit: int | None = CONTEXT_CHARS) -> DataFrame:
+    """(keys, content, cut): every text cut to `limit` characters."""
+    return docs.select(*keys, *_limited(quoted(text), limit))
 
 
 # --- messages ------------------------------------------------------------
@@ -82,25 +93,25 @@ def answer_messages(content: Column, question: Column, language: str = "中文")
 
 
 def paragraph_prompts(
-    docs: DataFrame, keys: list[str], text: str = "text", language: str = "中文"
+    docs: DataFrame, keys: list[str], text: str = "text", language: str = "中文", limit: int | None = PARAGRAPH_LIMIT
 ) -> DataFrame:
-    """(keys, paragraph_no, content, messages): one summary request per paragraph.
+    """(keys, paragraph_no, content, cut, messages): one summary request per paragraph.
 
-    Lines are trimmed and joined by a blank. Longer than 2000 bytes, a paragraph keeps
-    its first 2000 characters.
+    Lines are trimmed and joined by a blank. Of a paragraph its first `limit` characters are kept.
     """
     lines = F.split(F.regexp_replace("paragraph", r"\r?\n\z", ""), r"\r?\n")
     joined = F.array_join(F.transform(lines, strip_space), " ")
     parts = split_paragraphs(docs, keys, text).select(*keys, "paragraph_no", joined.alias("p"))
-    cut = F.when(F.octet_length("p") > PARAGRAPH_LIMIT, F.substring("p", 1, PARAGRAPH_LIMIT)).otherwise(F.col("p"))
-    parts = parts.select(*keys, "paragraph_no", cut.alias("content"))
+    parts = parts.select(*keys, "paragraph_no", *_limited(F.col("p"), limit))
     system = F.lit(PARAGRAPH_PROMPT.format(language=language))
     return parts.withColumn("messages", exchange(system, F.col("content")))
 
 
-def overview_prompts(docs: DataFrame, keys: list[str], text: str = "text", language: str = "中文") -> DataFrame:
-    """(keys, content, messages): one overview request per text, from its first 3000 characters."""
-    first = docs.select(*keys, F.substring(quoted(text), 1, OVERVIEW_CHARS).alias("content"))
+def overview_prompts(
+    docs: DataFrame, keys: list[str], text: str = "text", language: str = "中文", limit: int | None = OVERVIEW_CHARS
+) -> DataFrame:
+    """(keys, content, cut, messages): one overview request per text, from its first `limit` characters."""
+    first = docs.select(*keys, *_limited(quoted(text), limit))
     system = F.lit(OVERVIEW_PROMPT.format(language=language))
     return first.withColumn("messages", exchange(system, F.col("content")))
 

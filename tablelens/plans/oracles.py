@@ -368,15 +368,15 @@ def statements() -> dict[str, str]:
         {han('text')} as cn_chars, {han(bare('text'))} as cn_chars_no_punct, soft_lines, {paragraphs('text')} as paragraphs
         from documents d join {soft('documents')} s using (doc_id)"""
 
-    sql["text_context"] = "select doc_id, substr(text, 1, 50000) as content from documents"
-    sql["preview_context"] = """select substr('o_orderkey' || chr(9) || 'o_custkey' || chr(9) || 'o_orderstatus' || chr(9) || 'o_orderpriority' || chr(10)
-        || string_agg(o_orderkey || chr(9) || o_custkey || chr(9) || o_orderstatus || chr(9) || o_orderpriority || chr(10), '' order by o_orderkey), 1, 50000) as content
-        from (select * from orders order by o_orderkey limit 100)"""
+    sql["text_context"] = "select doc_id, substr(text, 1, 50000) as content, coalesce(length(text) > 50000, false) as cut from documents"
+    sql["preview_context"] = """select substr(t, 1, 50000) as content, length(t) > 50000 as cut from (select 'o_orderkey' || chr(9) || 'o_custkey' || chr(9) || 'o_orderstatus' || chr(9) || 'o_orderpriority' || chr(10)
+        || string_agg(o_orderkey || chr(9) || o_custkey || chr(9) || o_orderstatus || chr(9) || o_orderpriority || chr(10), '' order by o_orderkey) as t
+        from (select * from orders order by o_orderkey limit 100))"""
     joined = f"array_to_string(list_transform(string_split(regexp_replace(paragraph, '\\n$', ''), chr(10)), lambda l: {trim('l')}), ' ')"
-    sql["paragraph_prompts"] = f"""select doc_id, paragraph_no, case when strlen(p) > 2000 then substr(p, 1, 2000) else p end as content,
+    sql["paragraph_prompts"] = f"""select doc_id, paragraph_no, substr(p, 1, 2000) as content, length(p) > 2000 as cut,
         'system' as role0, {literal(PARAGRAPH_SYSTEM)} as system
         from (select doc_id, paragraph_no, {joined} as p from {paragraph_rows(PARAGRAPH_DOCS)})"""
-    sql["overview_prompts"] = f"""select doc_id, 'user' as role1, substr(text, 1, 3000) as user,
+    sql["overview_prompts"] = f"""select doc_id, 'user' as role1, substr(text, 1, 3000) as user, coalesce(length(text) > 3000, false) as cut,
         length({literal(OVERVIEW_SYSTEM)}) as system_chars from documents"""
     sql["conversation_history"] = f"select * from {HISTORY}"
     sql["conversation_requests"] = f"""

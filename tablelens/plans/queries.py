@@ -394,12 +394,12 @@ def preview_context(spark, sf):
 
 def paragraph_prompts(spark, sf):
     p = prompts.paragraph_prompts(_paragraph_docs(spark, sf), ["doc_id"])
-    return p.select("doc_id", "paragraph_no", "content", F.col("messages")[0]["role"].alias("role0"), F.col("messages")[0]["content"].alias("system"))
+    return p.select("doc_id", "paragraph_no", "content", "cut", F.col("messages")[0]["role"].alias("role0"), F.col("messages")[0]["content"].alias("system"))
 
 
 def overview_prompts(spark, sf):
     p = prompts.overview_prompts(table(spark, sf, "documents"), ["doc_id"])
-    return p.select("doc_id", F.col("messages")[1]["role"].alias("role1"), F.col("messages")[1]["content"].alias("user"), F.length(F.col("messages")[0]["content"]).cast("bigint").alias("system_chars"))
+    return p.select("doc_id", "cut", F.col("messages")[1]["role"].alias("role1"), F.col("messages")[1]["content"].alias("user"), F.length(F.col("messages")[0]["content"]).cast("bigint").alias("system_chars"))
 
 
 def conversation_history(spark, sf):

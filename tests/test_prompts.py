@@ -15,6 +15,19 @@ def test_preview(spark):
     assert len(L.text_context(wide.select(F.lit(1).alias("id"), "t"), ["id"], "t").first().content) == 50_000
 
 
+def test_cuts_are_arguments_and_are_told(spark):
+    df = spark.createDataFrame([(1, "中" * 10), (2, "ab"), (3, None), (4, "")], "id long, t string")
+    shown = lambda x: [(r.content, r.cut) for r in x.orderBy("id").collect()]
+    assert shown(L.text_context(df, ["id"], "t", limit=4)) == [("中" * 4, True), ("ab", False), (None, False), ("", False)]
+    assert shown(L.text_context(df, ["id"], "t", limit=None))[0] == ("中" * 10, False)
+    assert shown(L.overview_prompts(df, ["id"], "t", limit=10))[0] == ("中" * 10, False)
+    assert shown(L.paragraph_prompts(df, ["id"], "t", limit=1)) == [("中", True), ("a", True)]
+    named = df.where("id < 3").select("t")
+    preview = L.table_preview(named, ["t"], limit=3).first()
+    assert (preview.content, preview.cut) == ("t\na", True)
+    assert not L.table_preview(named, ["t"], limit=None).first().cut
+
+
 def test_paragraph_prompts(spark):
     long = "世" * 1500 + "x" * 1000
     df = spark.createDataFrame([(1, f"  a line \n second\t\n\n{long}\n\n{'y' * 1990}")], "id int, text string")
