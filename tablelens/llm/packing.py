@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct chunks whose ids a Python worker remembers.
-REMEMBERED = 1 << 20
+REMEMBERED = 300_000
 #: Chunks that are encoded in one call.
 JOINED = 1_000
 #: Characters of the texts that are tokenised at a time, but for a single longer text.
-CHARACTERS = 4 << 20
+CHARACTERS = 1 << 20
 #: Sequences of one partition are numbered from its number times this.
 PER_PARTITION = 1 << 40
 
