@@ -22,8 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct chunks whose ids a Python worker remembers.
-REMEMBERED = 300_000
+#: Distinct chunks whose ids a task remembers.
+REMEMBERED = 1 << 20
 #: Chunks that are encoded in one call.
 JOINED = 1_000
 #: Characters of the texts that are tokenised at a time, but for a single longer text.
@@ -230,6 +230,7 @@ def pack(
                         yield flush()
         yield flush()
         yield rows(powers([(d, 0, len(h[1]) // 4) for d, h in enumerate(held)], size))
+        coder.known = {}  # the worker goes on with other tasks, perhaps of another kind
 
     return chosen.mapInArrow(
         run,
