@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -257,36 +258,57 @@ def _first_cuts(df: DataFrame, values: dict[int, Column]) -> dict[int, tuple[flo
     return {i: (row[f"l{i}"], row[f"h{i}"]) for i in values}
 
 
-def _counted(df: DataFrame, values: dict[int, Column], open_: dict[int, _Stretch]) -> dict[int, T.Row]:
-    """What lies below, at, between and above the cuts of each stretch; all values of a stretch of few."""
-    aggs, shown = [], []
-    for i, v in values.items():
-        at, (left, right) = open_[i], open_[i].cut
-        inner = (v > at.low) & (v < at.high)
-        if at.few:
-            aggs.append(F.sort_array(F.collect_list(F.when(inner, v))).alias(f"all{i}"))
-            shown.append(F.struct(F.col(f"all{i}").alias("all")).alias(str(i)))
-            continue
-        parts = {
-            "below": inner & (v < left),
-            "between": (v > left) & (v < right),
-            "above": inner & (v > right),
-        }
-        fields = [F.col(f"{k}{i}").alias(k) for k in ("left", "right")]
-        aggs += [F.count_if(v == left).alias(f"left{i}"), F.count_if((v == right) & F.lit(right > left)).alias(f"right{i}")]
-        for k, inside in parts.items():
-            part = F.when(inside, v)
-            aggs += [F.count(part).alias(f"{k}{i}"), F.min(part).alias(f"{k}_min{i}"), F.max(part).alias(f"{k}_max{i}")]
-            fields += [F.col(f"{k}{x}{i}").alias(k + x) for x in ("", "_min", "_max")]
-        aggs.append(F.kll_sketch_agg_double(F.when(parts["between"], v), F.lit(SKETCH)).alias(f"s{i}"))
-        steps = F.kll_sketch_get_quantile_double(f"s{i}", F.array(*[F.lit(k / STEPS) for k in range(STEPS + 1)]))
-        fields.append(F.when(F.col(f"between{i}") > 0, steps).alias("steps"))
-        shown.append(F.struct(*fields).alias(str(i)))
-    row = df.agg(*aggs).select(*shown).first()
+def _counted(df: DataFrame, values: dict[int, Column], open_: dict[int, _Stretch]) -> dict[int, dict]:
+    """What lies below, at, between and above the cuts of each stretch; all values of a stretch of few.
+
+    Counts and extremes are grouped by column and part over one row per cell, which the JVM compiles;
+    lists and sketches see only the rows that hold a value they take.
+    """
+    few = {i: v for i, v in values.items() if open_[i].few}
+    more = {i: v for i, v in values.items() if not open_[i].few}
+    found: dict[int, dict] = {}
+    if few:
+        inner = {i: (v > open_[i].low) & (v < open_[i].high) for i, v in few.items()}
+        lists = [F.sort_array(F.collect_list(F.when(inner[i], v))).alias(str(i)) for i, v in few.items()]
+        row = df.where(reduce(Column.__or__, inner.values())).agg(*lists).first()
+        found |= {i: {"all": row[str(i)]} for i in few}
+    if more:
+        # The cuts go along as fields, so that one short expression tells the part of every column's cells.
+        cells = []
+        for i, v in more.items():
+            at, (left, right) = open_[i], open_[i].cut
+            bounds = {"low": at.low, "left": left, "right": right, "high": at.high}
+            cells.append(F.struct(F.lit(i).alias("idx"), v.alias("v"), *[F.lit(float(b)).alias(k) for k, b in bounds.items()]))
+        v, left, right = F.col("v"), F.col("left"), F.col("right")
+        names = ["below", "left", "between", "right", "above"]
+        place = F.when(v < left, 0).when(v == left, 1).when(v < right, 2).when(v == right, 3).otherwise(4)
+        parts = df.select(F.inline(F.array(*cells))).where((v > F.col("low")) & (v < F.col("high")))
+        rows = parts.groupBy("idx", place.alias("part")).agg(F.count("v").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+        for i in more:
+            found[i] = {n: 0 for n in names} | {f"{n}_{x}": None for n in names for x in ("min", "max")}
+        for r in rows.collect():  # five rows per column at most
+            name = names[r.part]
+            found[r.idx] |= {name: r.n, f"{name}_min": r.least, f"{name}_max": r.most}
+        many = {i: v for i, v in more.items() if found[i]["between"] > FEW}
+        for i, steps in _steps(df, many, open_).items():
+            found[i]["steps"] = steps
+    return found
+
+
+def _steps(df: DataFrame, values: dict[int, Column], open_: dict[int, _Stretch]) -> dict[int, list[float]]:
+    """The values between each column's cuts at equal steps of rank, by a sketch of them."""
+    if not values:
+        return {}
+    between = {i: (v > open_[i].cut[0]) & (v < open_[i].cut[1]) for i, v in values.items()}
+    sketches = [F.kll_sketch_agg_double(F.when(between[i], v), F.lit(SKETCH)).alias(f"s{i}") for i, v in values.items()]
+    ranks = F.array(*[F.lit(k / STEPS) for k in range(STEPS + 1)])
+    row = df.where(reduce(Column.__or__, between.values())).agg(*sketches).select(
+        *[F.kll_sketch_get_quantile_double(f"s{i}", ranks).alias(str(i)) for i in values]
+    ).first()
     return {i: row[str(i)] for i in values}
 
 
-def _locate(c: T.Row, at: _Stretch, rank: int) -> tuple[float | None, _Stretch | None]:
+def _locate(c: dict, at: _Stretch, rank: int) -> tuple[float | None, _Stretch | None]:
     """The value of a rank, or the smaller stretch that holds it."""
     before = at.before
     if at.few:
@@ -305,10 +327,10 @@ def _locate(c: T.Row, at: _Stretch, rank: int) -> tuple[float | None, _Stretch |
                 return least, None
             if rank == before + n:
                 return most, None
-            if cut is None:  # the steps of the sketch beside the rank
+            if cut is None and n > FEW:  # the steps of the sketch beside the rank
                 at_step = (rank - before) * STEPS // n
                 cut = c["steps"][max(at_step - 1, 0)], c["steps"][min(at_step + 2, STEPS)]
-            return None, _Stretch(low, high, before, cut, n <= FEW)
+            return None, _Stretch(low, high, before, cut or (least, most), n <= FEW)
         before += n
     raise ValueError("the table changed while its median was sought")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Input per core below which a table is spread before heavy per-row work.
 SPREAD_BYTES = 128 * 1024 * 1024
@@ -34,14 +34,29 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{scratch_base(spark)}/tablelens/{label}-{uuid.uuid4().hex}"
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Spark's estimate of a table's size; no job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal a small input out to all cores; leave a large one where it is.
 
     A file with one row group is one task, however long its rows take. Below one split
     size per core, moving the rows costs less than leaving cores idle, and the bound keeps
-    that shuffle small. Tables beyond it have more splits than cores and are not moved.
+    that shuffle small. Tables beyond it have more splits than cores and are not moved, and
+    neither are those whose rows lie evenly in as many splits as there are cores.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()  # an estimate, no job
-    return df.repartition(cores) if int(str(size)) < cores * SPREAD_BYTES else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if input_bytes(df) >= cores * SPREAD_BYTES or _is_spread(df, cores):
+        return df
+    return df.repartition(cores)
+
+
+def _is_spread(df: DataFrame, cores: int) -> bool:
+    """Does no split of a file scan hold over twice a core's share? Counting reads the footers of Parquet files only."""
+    if not df.inputFiles() or df.rdd.getNumPartitions() < cores:
+        return False
+    split = df.select(F.spark_partition_id().alias("split")).groupBy("split").count()
+    most, rows = split.agg(F.max("count"), F.sum("count")).first()
+    return rows is not None and most * cores <= 2 * rows

@@ -3,6 +3,8 @@
 from collections import defaultdict
 
 from tablelens.plans import queries as registry
+from tablelens.session import spread
+from tests.conftest import plan_of
 
 
 def test_file_lines_are_numbered_by_key_from_many_input_files(spark, sf, tmp_path):
@@ -15,3 +17,11 @@ def test_file_lines_are_numbered_by_key_from_many_input_files(spark, sf, tmp_pat
     for r in registry.numbered_file_lines(spark, str(tmp_path)).collect():
         got[r.status][r.line_no] = r.line
     assert {s: [lines[i] for i in range(len(lines))] for s, lines in got.items()} == want
+
+
+def test_rows_that_lie_evenly_are_not_moved(spark, tmp_path):
+    even, one = str(tmp_path / "even"), str(tmp_path / "one")
+    spark.range(0, 80000, 1, 8).write.parquet(even)
+    spark.range(0, 80000, 1, 1).write.parquet(one)
+    assert "Exchange" not in plan_of(spread(spark.read.parquet(even)))
+    assert "Exchange" in plan_of(spread(spark.read.parquet(one)))
