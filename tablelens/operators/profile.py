@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tablelens.functions.columns import number_columns, quoted, select_columns
 from tablelens.functions.numbers import finite_or_null, parse_any, parse_finite, render_double
 from tablelens.functions.words import SPACE, bare_word, cn_chars, en_words, not_blank
-from tablelens.session import spread
+from tablelens.session import scratch_dir, spread
 
 INFER_RATE = 0.9
 #: Size of the sketches that enclose middle ranks; the steps of rank at which they are cut (three to
@@ -415,8 +415,13 @@ def profile(
     if not median_accuracy:
         valid = {r.idx: r.zero_count + r.non_zero_valid_count for r in known if r.min is not None}
         values = {c.idx: finite_or_null(quoted(c.name).cast("double")) for c in numbers}
-        values |= {c.idx: parse_finite(quoted(c.name)) for c in texts if c.idx in inferred}
         found = exact_medians(df, values, valid)
+        if inferred:  # texts are parsed once, not in every scan
+            parsed = [c for c in texts if c.idx in inferred]
+            path = scratch_dir(spark, "numbers")
+            mine = spread(df.select(*[quoted(c.name) for c in parsed]))
+            mine.select(*[parse_finite(quoted(c.name)).alias(c.name) for c in parsed]).write.parquet(path)
+            found |= exact_medians(spark.read.parquet(path), {c.idx: quoted(c.name) for c in parsed}, valid)
         medians = spark.createDataFrame(list(found.items()), "idx int, median double")  # one row per column
         out = out.join(F.broadcast(medians), "idx", "left")
     have = set(out.columns)

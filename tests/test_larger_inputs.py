@@ -2,6 +2,9 @@
 
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
+from tablelens.operators import profile as P
 from tablelens.plans import queries as registry
 from tablelens.session import spread
 from tests.conftest import plan_of
@@ -25,3 +28,11 @@ def test_rows_that_lie_evenly_are_not_moved(spark, tmp_path):
     spark.range(0, 80000, 1, 1).write.parquet(one)
     assert "Exchange" not in plan_of(spread(spark.read.parquet(even)))
     assert "Exchange" in plan_of(spread(spark.read.parquet(one)))
+
+
+def test_texts_of_numbers_are_parsed_once_for_the_median(spark, monkeypatch):
+    seen, real = [], P.exact_medians
+    monkeypatch.setattr(P, "exact_medians", lambda df, *a: seen.append([t for _, t in df.dtypes]) or real(df, *a))
+    df = spark.range(0, 1001, 1, 3).select(F.col("id").alias("n"), F.format_string(" %d ", "id").alias("s"))
+    assert {r.name: r.median for r in P.profile(df).collect()} == {"n": 500.0, "s": 500.0}
+    assert seen[-1] == ["double"]
