@@ -23,12 +23,14 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tablelens.functions.columns import number_columns, quoted, select_columns
 from tablelens.functions.numbers import finite_or_null, parse_any, parse_finite, render_double
 from tablelens.functions.words import SPACE, bare_word, cn_chars, en_words, not_blank
-from tablelens.session import scratch_dir, spread
+from tablelens.session import SPREAD_BYTES, input_bytes, scratch_dir, spread
 
 INFER_RATE = 0.9
 #: Size of the sketches that enclose middle ranks; the steps of rank at which they are cut (three to
 #: four times their error apart); how many values are ranked one by one.
 SKETCH, STEPS, FEW = 4096, 1024, 4096
+#: Input of a task up to which it counts all columns at once; in how many parts columns are dealt beyond it.
+COUNT_BYTES, COUNT_PARTS = 32 * 1024 * 1024, 16
 WORDS = "struct<en_words:bigint,cn_chars:bigint,total:bigint>"
 CONTENT = "struct<content:string,n:bigint>"
 PROFILE_SCHEMA = (
@@ -164,20 +166,42 @@ def _one_pass(df: DataFrame, cols: list[_Col], full: bool, accuracy: int | None
 # --- value frequencies ---------------------------------------------------
 
 
+def _slices(df: DataFrame) -> int:
+    """In how many parts a task counts the values of its split, so that its table of counts stays small.
+
+    A task reads a split, SPREAD_BYTES at most, or less if the cores outnumber such splits.
+    """
+    spark = df.sparkSession
+    return math.ceil(min(input_bytes(df) / spark.sparkContext.defaultParallelism, SPREAD_BYTES) / COUNT_BYTES)
+
+
 def _number_counts(df: DataFrame, cols: list[_Col]) -> DataFrame:
     """(idx, whole, v, n): how often each number occurs in each numeric column.
 
-    Whole numbers keep their exact value in `whole` beside the double `v`.
+    Whole numbers keep their exact value in `whole` beside the double `v`. Of a large input a task counts
+    a few columns and the values of one hash at a time; each part reads only its own columns.
     """
-    cells = []
-    for c in cols:
-        t = df.schema[c.name].dataType
-        whole = quoted(c.name).cast("bigint") if isinstance(t, T.IntegralType) else F.lit(None).cast("bigint")
-        cells.append(
-            F.struct(F.lit(c.idx).alias("idx"), whole.alias("whole"), quoted(c.name).cast("double").alias("v"))
-        )
+
+    def cells(some: list[_Col]) -> Column:
+        out = []
+        for c in some:
+            t = df.schema[c.name].dataType
+            whole = quoted(c.name).cast("bigint") if isinstance(t, T.IntegralType) else F.lit(None).cast("bigint")
+            out.append(
+                F.struct(F.lit(c.idx).alias("idx"), whole.alias("whole"), quoted(c.name).cast("double").alias("v"))
+            )
+        return F.inline(F.array(*out))
+
     mine = df.select(*[quoted(c.name) for c in cols])
-    long = spread(mine).select(F.inline(F.array(*cells))).where(F.col("v").isNotNull())
+    slices = _slices(mine)
+    if slices <= 1:
+        long = spread(mine).select(cells(cols)).where(F.col("v").isNotNull())
+    else:
+        width = math.ceil(len(cols) / COUNT_PARTS)
+        parts = [mine.select(cells(cols[i : i + width])) for i in range(0, len(cols), width)]
+        # Equal numbers have equal hashes, -0.0 and 0.0 too, so each is counted in one part.
+        hashed = F.pmod(F.xxhash64(F.col("v") + 0.0), F.lit(slices))
+        long = reduce(DataFrame.unionAll, [p.where(F.col("v").isNotNull() & (hashed == k)) for p in parts for k in range(slices)])
     return long.groupBy("idx", "whole", "v").agg(F.count(F.lit(1)).alias("n"))
 
 

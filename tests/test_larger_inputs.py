@@ -36,3 +36,22 @@ def test_texts_of_numbers_are_parsed_once_for_the_median(spark, monkeypatch):
     df = spark.range(0, 1001, 1, 3).select(F.col("id").alias("n"), F.format_string(" %d ", "id").alias("s"))
     assert {r.name: r.median for r in P.profile(df).collect()} == {"n": 500.0, "s": 500.0}
     assert seen[-1] == ["double"]
+
+
+def test_large_inputs_are_counted_in_parts(spark, monkeypatch):
+    rows = [(i % 7, float(i % 3), None if i % 5 else -0.0, 2**60 + i % 2) for i in range(500)] + [(0, float("nan"), 0.0, None)] * 3
+    df = spark.createDataFrame(rows, "a int, b double, c double, d bigint")
+    cols = P._columns(df)
+
+    def counted():
+        counts = P._number_counts(df, cols)
+        return sorted((r.idx, str(r.whole), str(r.v + 0.0), r.n) for r in counts.collect()), plan_of(counts).count("LocalTableScan") + plan_of(counts).count("Scan ExistingRDD")
+
+    monkeypatch.setattr(P, "COUNT_BYTES", P.SPREAD_BYTES, raising=False)
+    whole, scans = counted()
+    monkeypatch.setattr(P, "COUNT_BYTES", P.SPREAD_BYTES // 3 + 1)
+    monkeypatch.setattr(P, "COUNT_PARTS", 2)
+    monkeypatch.setattr(P, "input_bytes", lambda df: 1 << 40)
+    parts, more = counted()
+    assert parts == whole and len(whole) == 7 + 4 + 1 + 2
+    assert (scans, more) == (1, 6)
