@@ -7,6 +7,7 @@ from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
 
+from tablelens.session import spread
 from tablelens.sources.arrow_ipc import _open
 
 ROWS_PER_SHEET = 500_000
@@ -88,7 +89,7 @@ def workbook_bytes(sheets: dict[str, str]) -> bytes:
 
 
 def write_xlsx(df: DataFrame, folder: str) -> None:
-    """One workbook per partition and half million rows, all with the same header."""
+    """One workbook per partition and half million rows, all with the same header; a small table is dealt to all cores."""
     header = df.columns
 
     def save(batches):
@@ -111,4 +112,4 @@ def write_xlsx(df: DataFrame, folder: str) -> None:
             flush()
         yield pa.RecordBatch.from_pydict({"rows": [total]})
 
-    df.mapInArrow(save, "rows bigint").collect()  # one row per partition
+    spread(df).mapInArrow(save, "rows bigint").collect()  # one row per partition

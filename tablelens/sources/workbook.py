@@ -269,12 +269,16 @@ def read_workbook(
 ) -> DataFrame:
     """One sheet of a workbook, or of many with the same header, as a typed table.
 
-    The decoded cells are written once to the shared scratch folder, since header, types
-    and rows are separate reads of them. `with_row` keeps the columns file and r, which
+    The decoded cells are written once to the shared scratch folder, and once more with merged
+    regions filled if there are any, since header, types and rows are separate reads of them. `with_row` keeps the columns file and r, which
     give the sheet order.
     """
     folder = scratch_dir(spark, "workbook")
     decode_workbooks(spark, path, sheet).write.parquet(folder)
     cells, regions = split_regions(spark.read.parquet(folder))
-    table = cells_to_table(fill_merged(cells, regions))
+    if not regions.isEmpty():  # header, types and rows would each join the regions again
+        filled = scratch_dir(spark, "filled")
+        fill_merged(cells, regions).write.parquet(filled)
+        cells = spark.read.parquet(filled)
+    table = cells_to_table(cells)
     return table if with_row else table.select(*[quoted(c) for c in table.columns[2:]])

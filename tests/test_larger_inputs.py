@@ -5,8 +5,9 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from tablelens.operators import profile as P
-from tablelens.plans import queries as registry
+from tablelens.plans import fixtures, queries as registry
 from tablelens.session import spread
+from tablelens.sources.workbook import read_workbook
 from tests.conftest import plan_of
 
 
@@ -55,3 +56,12 @@ def test_large_inputs_are_counted_in_parts(spark, monkeypatch):
     parts, more = counted()
     assert parts == whole and len(whole) == 7 + 4 + 1 + 2
     assert (scans, more) == (1, 6)
+
+
+def test_workbooks_are_written_by_all_cores_and_read_without_joins(spark, tmp_path):
+    folder = str(tmp_path / "books")
+    fixtures.write_xlsx(spark.range(0, 400, 1, 1).select(F.col("id").alias("n")), folder)
+    assert len(list((tmp_path / "books").iterdir())) == 8
+    read = read_workbook(spark, folder)
+    assert sorted(r.n for r in read.collect()) == list(range(400))
+    assert "SortMergeJoin" not in plan_of(read) and "LeftAnti" not in plan_of(read)
