@@ -15,7 +15,7 @@ import heapq
 import os
 from array import array
 from collections.abc import Iterator
-from itertools import chain, pairwise
+from itertools import chain, islice, pairwise
 
 import numpy as np
 from pyspark import TaskContext
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 #: Distinct chunks whose ids a task remembers.
 REMEMBERED = 1 << 20
+#: How many of them, those seen first, a worker keeps for its next task.
+KEPT = 1 << 18
 #: Chunks that are encoded in one call.
 JOINED = 1_000
 #: Characters of the texts that are tokenised at a time, but for a single longer text.
@@ -67,6 +69,10 @@ class ChunkTokenizer:
         else:
             self.known.update(zip(chunks, self.encode([" " + c for c in chunks])))
 
+    def forget(self) -> None:
+        """Keep the chunks seen first, most frequent ones among them."""
+        self.known = dict(islice(self.known.items(), KEPT))
+
     def ids(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known = {}
@@ -230,7 +236,7 @@ def pack(
                         yield flush()
         yield flush()
         yield rows(powers([(d, 0, len(h[1]) // 4) for d, h in enumerate(held)], size))
-        coder.known = {}  # the worker goes on with other tasks, perhaps of another kind
+        coder.forget()  # the worker goes on with other tasks, perhaps of another kind
 
     return chosen.mapInArrow(
         run,
