@@ -512,6 +512,77 @@ def test_language_model_counts_and_rows(spark, odd, none):
     assert katz.language_model_scores(none).collect() == []
 
 
+def katz_by_word(texts, trained, least):
+    """log10 probability of each text, token by token, from the definition in katz.py."""
+    import math
+    from collections import Counter
+
+    rows = [[*t.lower().split(), ""] for t in texts]
+    learned = [r for r, keep in zip(rows, trained) if keep]
+    c, pairs = Counter(w for r in learned for w in r), Counter(p for r in learned for p in zip(["", *r], r))
+    n = sum(c.values())
+
+    def discounted(counts):
+        sizes = Counter(counts.values())
+        d = katz.discounts([0] + [sizes[r] for r in range(1, katz.CUTOFF + 2)])
+        return {k: d[x] * x if x <= katz.CUTOFF else x for k, x in counts.items()}
+
+    dw, dp = discounted(c), discounted(pairs)
+    mass = sum(dw.values()) / n
+    scale = min(1, n / (n + 1) / mass)
+    p = {w: x * scale / n for w, x in dw.items()}
+    f, a = {}, {}
+    for u in c:
+        stored = [w for v, w in pairs if v == u and pairs[v, w] >= least]
+        share, most = sum(dp[u, w] for w in stored) / c[u], c[u] / (c[u] + 1)
+        f[u] = most / share if share > most else 1.0
+        a[u] = (1 - f[u] * share) / max(1 - sum(p[w] for w in stored), 1e-300)
+    one = lambda u, w: f[u] * dp[u, w] / c[u] if pairs[u, w] >= least else a.get(u, 1) * p.get(w, 1 - mass * scale)
+    return [sum(math.log10(one(u, w)) for u, w in zip(["", *r], r)) for r in rows]
+
+
+@pytest.mark.parametrize(("least", "frequent", "part"), [(1, 1 << 19, 1 << 20), (1, 3, 100), (2, 6, 100)])
+def test_language_model_equals_katz_word_by_word(spark, monkeypatch, least, frequent, part):
+    monkeypatch.setattr(katz, "FREQUENT", frequent)
+    monkeypatch.setattr(katz, "PART", part, raising=False)
+    g = random.Random(21)
+    words_ = [f"W{i}" for i in range(40)]
+    texts = [" ".join(words_[min(int(g.paretovariate(0.7)) - 1, 39)] for _ in range(g.randint(0, 25))) for _ in range(120)] + ["", "new words here", "w0 W0 w0 new w0"]
+    rows = list(enumerate(texts)) + [(5, texts[5])]
+    import zlib
+
+    trained = [zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows]
+    assert not all(trained)
+    want = sorted((i, s) for (i, _), s in zip(rows, katz_by_word([t for _, t in rows], trained, least)))
+    got = sorted((r.doc_id, r.score) for r in katz.language_model_scores(awkward(spark, rows), least=least).collect())
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert [s for _, s in got] == pytest.approx([s for _, s in want], rel=1e-9)
+
+
+def test_language_model_without_training_texts(spark):
+    import zlib
+
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2]
+    got = katz.language_model_scores(awkward(spark, [(i, "some words") for i in held])).collect()
+    assert len(got) == len(held) and all((r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (True, 3, 0, 0, 0, 0) for r in got)
+
+
+def test_language_model_writes_no_table_of_pairs(spark):
+    # every pair is new: tables of pairs would hold all of them, and fill the disk
+    import os
+
+    from tablelens.session import scratch_base
+
+    g = random.Random(22)
+    texts = [[f"w{int(g.random() * 1000)}" for _ in range(400)] for _ in range(200)]
+    pairs = {p for t in texts for p in zip(t, t[1:])}
+    at = os.path.join(scratch_base(spark).removeprefix("file://"), "tablelens")
+    before = set(os.listdir(at)) if os.path.isdir(at) else set()
+    assert katz.language_model_scores(awkward(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).count() == 200
+    stored = sum(spark.read.parquet(os.path.join(at, x)).count() for x in set(os.listdir(at)) - before)
+    assert 0 < stored < len(pairs) / 2
+
+
 # search
 
 
